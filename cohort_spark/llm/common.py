@@ -40,13 +40,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows, else unchanged.
+def at_most(df: DataFrame, most: int, entries: F.Column | None = None) -> bool:
+    """Whether ``df`` has at most ``most`` rows, or entries where ``entries`` counts a row's."""
+    if entries is None:
+        return df.limit(most + 1).count() <= most
+    return (df.agg(F.sum(entries)).first()[0] or 0) <= most
+
+
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, entries: F.Column | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows (or entries), else unchanged.
 
     Beyond the bound Spark plans a shuffled join, whose hot keys adaptive
     execution splits.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if at_most(df, most, entries) else df
 
 
 def split_words(text: str | None) -> list[bytes]:

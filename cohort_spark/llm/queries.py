@@ -1,6 +1,6 @@
 """The subpackage's queries, with SQL where SQL can express them."""
 
-from cohort_spark.llm import mixing, packing, quality, substring
+from cohort_spark.llm import mixing, packing, quality, substring, topk, toxicity, urls, warc
 from cohort_spark.llm.simhash import near_duplicates
 
 
@@ -10,8 +10,12 @@ def op9_simhash(spark, sf_dir: str):
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_substring": substring.op4_substring,
+    "op5_topk": topk.op5_topk,
     "op6_host_rules": quality.op6_host_rules,
+    "op7_warc": warc.op7_warc,
+    "op8_url_rules": urls.op8_url_rules,
     "op9_simhash": op9_simhash,
     "op10_packing": packing.op10_packing,
 }
@@ -19,5 +23,8 @@ QUERIES = {
 SQL = {
     "op2_mixing": mixing.OP2_SQL,
     "op4_substring": substring.OP4_SQL,
+    "op5_topk": topk.OP5_SQL,
     "op6_host_rules": quality.OP6_SQL,
+    "op7_warc": warc.OP7_SQL,
+    "op8_url_rules": urls.OP8_SQL,
 }

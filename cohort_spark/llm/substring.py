@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import WordHasher, checked_broadcast, mixed, rolled, saved, split_words, text_slices
+from cohort_spark.llm.common import WordHasher, at_most, checked_broadcast, mixed, rolled, saved, split_words, text_slices
 
 #: Words of a window.
 WINDOW = 13
@@ -28,6 +28,8 @@ WINDOW = 13
 RUN = 5
 #: Id of rows without one: larger than any other, so that such rows yield to all others.
 NO_ID = (1 << 63) - 1
+#: List entries (8 to 40 bytes each) up to which a side is broadcast, so that texts need no shuffle.
+BROADCAST_ENTRIES = 4_000_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 _HASHER = WordHasher(0x100000001B3)
@@ -148,12 +150,14 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW, run: int = RUN) -> tuple[Da
     alone = found.join(later, "doc", "left_anti")
     listed = alone.select("doc", F.explode("anchors").alias("h"))
     hot = saved(listed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "hot")
-    wanted = listed.join(checked_broadcast(hot, 4_000_000), "h", "left_semi").groupBy("doc").agg(F.collect_list("h").alias("hot"))
-    candidates = saved(docs.join(wanted, "doc").select("doc", "text", "hot"), "candidates")
+    wanted = saved(listed.join(checked_broadcast(hot), "h", "left_semi").groupBy("doc").agg(F.collect_list("h").alias("hot")), "wanted")
+    if at_most(wanted, BROADCAST_ENTRIES, F.size("hot")):
+        candidates = docs.join(F.broadcast(wanted), "doc")
+    else:  # the texts are shuffled once and kept, as their edges are read twice
+        candidates = saved(docs.join(wanted, "doc").select("doc", "text", "hot"), "candidates")
     rows = edges(candidates, k, run)
-    source = F.min(F.struct("doc", "pos"))
-    repeated = rows.groupBy("h1", "h2").agg(source.alias("source"), F.max("doc").alias("last")).where("source.doc < last")
-    repeated = repeated.select("h1", "h2", F.col("source.doc").alias("source"), F.col("source.pos").alias("source_pos"))
+    repeated = rows.groupBy("h1", "h2").agg(F.min("doc").alias("source"), F.max("doc").alias("last"), F.min_by("pos", "doc").alias("source_pos"))
+    repeated = repeated.where("source < last").select("h1", "h2", "source", "source_pos")
     hits = rows.join(repeated, ["h1", "h2"]).where("doc > source").select("doc", "pos", "source", "source_pos")
     return found.select("doc", "same"), compact(hits)
 
@@ -196,6 +200,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append((n, n - len(kept), joined.decode() if len(kept) < n else None, hashlib.sha256(joined).hexdigest()))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept", "kept_sha256"])
 
+    marks = checked_broadcast(marks, BROADCAST_ENTRIES, 1 + F.coalesce(F.size("_spans"), F.lit(0)))
     return rows.join(marks, "_doc", "left").withColumn("_dedup", cut(F.col(text_col), "_spans", "_copy")).drop("_doc", "_spans", "_copy")
 
 
