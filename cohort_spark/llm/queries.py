@@ -1,6 +1,6 @@
 """The subpackage's queries, with SQL where SQL can express them."""
 
-from cohort_spark.llm import mixing, packing, quality, substring, topk, toxicity, urls, warc
+from cohort_spark.llm import licences, mixing, packing, quality, substring, topk, toxicity, urls, warc
 from cohort_spark.llm.simhash import near_duplicates
 
 
@@ -9,6 +9,7 @@ def op9_simhash(spark, sf_dir: str):
 
 
 QUERIES = {
+    "op1_licences": licences.op1_licences,
     "op2_mixing": mixing.op2_mixing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_substring": substring.op4_substring,
@@ -21,6 +22,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_licences": licences.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op4_substring": substring.OP4_SQL,
     "op5_topk": topk.OP5_SQL,
