@@ -150,7 +150,7 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW, run: int = RUN) -> tuple[Da
     alone = found.join(later, "doc", "left_anti")
     listed = alone.select("doc", F.explode("anchors").alias("h"))
     hot = saved(listed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "hot")
-    wanted = saved(listed.join(checked_broadcast(hot), "h", "left_semi").groupBy("doc").agg(F.collect_list("h").alias("hot")), "wanted")
+    wanted = saved(listed.join(hot, "h", "left_semi").groupBy("doc").agg(F.collect_list("h").alias("hot")), "wanted")
     if at_most(wanted, BROADCAST_ENTRIES, F.size("hot")):
         candidates = docs.join(F.broadcast(wanted), "doc")
     else:  # the texts are shuffled once and kept, as their edges are read twice
