@@ -63,23 +63,37 @@ def sample_priority(c) -> Column:
     """The two-digit code that starts the barcode's fourth part, else 99."""
     parts = F.split(F.replace(clean(c), F.lit("."), F.lit("-")), "-")
     code = F.regexp_extract(F.coalesce(F.try_element_at(parts, F.lit(4)), F.lit("")), "^([0-9]{2})", 1)
-    return F.coalesce(F.try_cast(code, "int") if hasattr(F, "try_cast") else F.nullif(code, F.lit("")).cast("int"), F.lit(99))
+    return F.coalesce(F.nullif(code, F.lit("")).cast("int"), F.lit(99))
 
 
 def sample_code(c) -> Column:
-    """The code NN of a last part of the form NN or NNA, else 999."""
-    code = F.regexp_extract(F.element_at(F.split(clean(c), "-"), -1), "^([0-9]{2})[A-Z]?$", 1)
+    """The two digits that start the last part of a barcode, else 999."""
+    code = F.regexp_extract(F.element_at(F.split(clean(c), "-"), -1), "^([0-9]{2})", 1)
     return F.coalesce(F.nullif(code, F.lit("")).cast("int"), F.lit(999))
 
 
 # Sample types by code.
-SAMPLE_TYPES = {"01": "primary tumor", "02": "recurrent tumor", "03": "primary blood cancer", "05": "additional primary", "06": "metastatic", "07": "additional metastatic", "10": "blood normal", "11": "solid tissue normal"}
+SAMPLE_TYPES = {
+    "01": "primary tumor",
+    "02": "recurrent tumor",
+    "03": "primary blood-derived cancer",
+    "05": "additional new primary",
+    "06": "metastatic tumor",
+    "07": "additional metastatic tumor",
+    "10": "blood-derived normal",
+    "11": "solid tissue normal",
+}
+
+
+def sample_type_code(c) -> Column:
+    """The code NNA that ends a barcode, upper case, else empty."""
+    return F.regexp_extract(F.upper(clean(c)), "-([0-9]{2}[A-Z])$", 1)
 
 
 def sample_type_label(c) -> Column:
-    """Label of a two-digit sample type, else ``sample type NN``; empty for blanks."""
-    code = clean(c)
-    out = F.when(code == "", "").otherwise(F.concat(F.lit("sample type "), code))
+    """Label of a barcode's sample type; others keep their code in the text."""
+    code = F.substring(sample_type_code(c), 1, 2)
+    out = F.concat(F.lit("sample type code "), F.when(code == "", "unknown").otherwise(code))
     for k, label in SAMPLE_TYPES.items():
         out = F.when(code == k, label).otherwise(out)
     return out
@@ -212,7 +226,7 @@ def export_split(c, default: str = "train") -> Column:
 
 def number(c) -> Column:
     """Text as a finite double, else null."""
-    x = F.expr(f"try_cast(`{c}` as double)") if isinstance(c, str) else c.try_cast("double")
+    x = col(c).try_cast("double")
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
@@ -292,15 +306,17 @@ def uri(scheme: str, *parts) -> Column:
     return F.concat(F.lit(f"{scheme}://"), F.concat_ws("/", *[col(p) for p in parts]))
 
 
-# Header words that mark images to reject.
-LOCALIZER_WORDS = ("LOCALIZER", "SCOUT", "TOPOGRAM", "SURVIEW", "LOC")
-DERIVED_WORDS = ("DERIVED", "MIP", "MPR", "REFORMAT", "RECON", "3D")
+# Header words and classes that mark images to reject.
+LOCALIZER_WORDS = ("LOCALIZER", "SCOUT", "TOPOGRAM", "SCANOGRAM", "SURVEY", "LOCATOR", "PILOT")
+DERIVED_WORDS = ("DERIVED", "SECONDARY", "REFORMATTED", "MPR", "MIP", "MINIP", "AVERAGE", "SUB")
 SECONDARY_CAPTURE = "1.2.840.10008.5.1.4.1.1.7"
+SECONDARY_CAPTURES = (SECONDARY_CAPTURE, *[f"{SECONDARY_CAPTURE}.{i}" for i in range(1, 5)])
+HEADER_TEXTS = ("image_type", "series_description", "protocol_name")
 
 
 def tokens(*cols) -> Column:
     """Upper-cased words of several columns."""
-    text = F.upper(F.concat_ws(" ", *[clean(c) for c in cols]))
+    text = F.upper(F.concat_ws(" ", *[F.coalesce(col(c), F.lit("")) for c in cols]))
     return F.filter(F.split(F.regexp_replace(text, "[^A-Z0-9]+", " "), " "), lambda x: x != "")
 
 
@@ -308,19 +324,39 @@ def has_word(words: Sequence[str], *cols) -> Column:
     return F.arrays_overlap(tokens(*cols), F.array(*[F.lit(w) for w in words]))
 
 
-def image_reject_reason(modalities: Sequence[str] = ("CT", "MR"), smallest: int = 64, reject_derived: bool = True) -> Column:
-    """First reason to reject an image header row, or null.
+def is_localizer() -> Column:
+    return has_word(LOCALIZER_WORDS, *HEADER_TEXTS)
 
-    Order: unreadable, modality, secondary capture, localizer, multiframe,
-    missing tags, tiny matrix, derived.
-    """
-    text = ("image_type", "series_description", "protocol_name")
-    missing = (clean("study_instance_uid") == "") | (clean("series_instance_uid") == "") | (clean("sop_instance_uid") == "") | F.col("rows").isNull() | F.col("cols").isNull()
-    out = F.when(~F.coalesce("readable_dicom", F.lit(False)), "unreadable_dicom")
-    out = out.when(~modality("modality").isin(*modalities), "unsupported_modality")
-    out = out.when(clean("sop_class_uid").startswith(SECONDARY_CAPTURE), "secondary_capture")
-    out = out.when(has_word(LOCALIZER_WORDS, *text), "localizer")
-    out = out.when(F.coalesce("number_of_frames", F.lit(1)) > 1, "multiframe")
-    out = out.when(missing, "missing_tags")
-    out = out.when(F.least("rows", "cols") < smallest, "tiny_matrix")
-    return out.when(has_word(DERIVED_WORDS, *text), "derived") if reject_derived else out
+
+def is_derived() -> Column:
+    return has_word(DERIVED_WORDS, *HEADER_TEXTS)
+
+
+def is_secondary_capture() -> Column:
+    return F.coalesce(F.col("sop_class_uid").isin(*SECONDARY_CAPTURES), F.lit(False))
+
+
+def frames() -> Column:
+    return F.when(F.col("number_of_frames") > 0, F.col("number_of_frames")).otherwise(1)
+
+
+def image_reject_reason(modalities: Sequence[str] = ("CT", "MR"), least_rows: int = 64, least_cols: int = 64, multiframe: bool = True, derived: bool = True) -> Column:
+    """The first reason to reject an image header row, or null."""
+    out = F.when(~F.coalesce("readable_dicom", F.lit(False)), F.coalesce("reject_reason", F.lit("unreadable_dicom_header")))
+    out = out.when(~F.coalesce(F.col("modality").isin(*modalities), F.lit(False)), "unsupported_modality")
+    out = out.when(is_secondary_capture(), "secondary_capture_sop").when(is_localizer(), "localizer_or_scout")
+    if multiframe:
+        out = out.when(frames() > 1, "multiframe_instance")
+    out = out.when(F.col("rows").isNull() | F.col("cols").isNull() | F.col("bits_allocated").isNull(), "missing_required_image_tags")
+    out = out.when((F.col("rows") < least_rows) | (F.col("cols") < least_cols), "tiny_matrix")
+    return out.when(is_derived(), "derived_or_reformatted_image") if derived else out
+
+
+# Body regions by words of the header text, first match wins.
+REGION_WORDS = (
+    ("head_neck", "thyroid|neck|c-spine|cervical|laryn|pharyn"),
+    ("thorax", "lung|thorax|chest|mediast|pulmo|pleura"),
+    ("thorax_abdomen", "esoph|esophagus"),
+    ("abdomen_pelvis", "abd|abdomen|pelvis|liver|hepatic|kidney|renal|bladder|prostate|ovar|uter|endometr|colon|rect|stomach|gastric|pancre|adrenal|testi"),
+    ("mixed_sarc", "sarcoma|extrem|arm|leg|femur|tibia|fibula|humerus|shoulder|pelvic bone|osseous|bone|soft tissue mass"),
+)
