@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohort_spark.functions.text import clean, col
 
+
 def no_items(kind: str = "string") -> Column:
     return F.array().cast(f"array<{kind}>")
 
@@ -35,7 +36,7 @@ def parsed_list(c) -> Column:
     quoted = F.regexp_extract_all(t, F.lit("'([^']*)'|\"([^\"]*)\""), F.lit(0))
     quoted = F.transform(quoted, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
     quoted = F.filter(quoted, lambda x: F.trim(x) != "")
-    numbers = F.transform(F.filter(F.split(inner, ","), lambda x: F.trim(x) != ""), F.trim)
+    numbers = F.transform(F.filter(F.split(inner, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
     numeric = inner.rlike(r"^\s*[-+]?[0-9.]+(\s*,\s*[-+]?[0-9.]+)*\s*,?\s*$")
     listed = F.when(F.trim(inner) == "", no_items()).when(F.size(quoted) > 0, quoted).when(numeric, numbers).otherwise(F.array(t))
     return F.when(t == "", no_items()).when(t.startswith("[") & t.endswith("]"), listed).otherwise(F.array(t))
@@ -113,7 +114,11 @@ def drivers_then_others(c, drivers: Sequence[str], n: int, m: int) -> Column:
 def preferred_pair(pairs, terms: Sequence[str]) -> Column:
     """First (centre, width, explanation) whose explanation has a term, by term order, else the first; widths must be positive."""
     good = F.filter(col(pairs), lambda p: p["width"] > 0)
-    by_term = [F.try_element_at(F.filter(good, lambda p, t=t: F.lower(p["explanation"]).contains(t)), F.lit(1)) for t in terms]
+
+    def with_term(term: str) -> Column:
+        return F.try_element_at(F.filter(good, lambda p: F.lower(p["explanation"]).contains(term)), F.lit(1))
+
+    by_term = [with_term(t) for t in terms]
     return F.coalesce(*by_term, F.try_element_at(good, F.lit(1)))
 
 

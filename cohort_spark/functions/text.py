@@ -237,7 +237,7 @@ def integer(c) -> Column:
 
 def fixed_decimals(c, digits: int) -> Column:
     """``%.Nf`` text, empty where the value is no number."""
-    return F.coalesce(F.format_string(f"%.{digits}f", number(c)), F.lit(""))
+    return F.when(number(c).isNotNull(), F.format_string(f"%.{digits}f", number(c))).otherwise("")
 
 
 def integer_text(c) -> Column:

@@ -175,7 +175,7 @@ def a16_gene_flags(t):
 
 
 @Q("""WITH f AS (SELECT l_orderkey, 'p' || l_partkey % 4 AS path, l_returnflag AS m, min(l_linenumber) AS p FROM lineitem GROUP BY 1, 2, 3),
-      g AS (SELECT l_orderkey, path, string_agg(m, '|' ORDER BY p) AS m FROM f GROUP BY 1, 2)
+      g AS (SELECT l_orderkey, path, string_agg(m, '|' ORDER BY p, m) AS m FROM f GROUP BY 1, 2)
       SELECT l_orderkey, list(path ORDER BY path) AS paths, list(m ORDER BY path) AS modalities FROM g GROUP BY 1""")
 def a17_modalities_by_path(t):
     l = t("lineitem").withColumn("path", F.concat(F.lit("p"), F.col("l_partkey") % 4))

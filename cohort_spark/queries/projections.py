@@ -161,8 +161,8 @@ def so2_union(t):
 
 
 @Q("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus FROM orders
-      UNION ALL SELECT -o_orderkey, 'new' FROM orders WHERE o_orderkey % 4 = 0""")
+      UNION ALL SELECT -o_orderkey - 1, 'new' FROM orders WHERE o_orderkey % 4 = 0""")
 def so3_upsert(t):
     old = t("orders").select("o_orderkey", "o_orderstatus")
     hit = old.where("o_orderkey % 4 = 0").select("o_orderkey", F.lit("new").alias("o_orderstatus"))
-    return sets.upsert(old, hit.union(hit.select(-F.col("o_orderkey"), "o_orderstatus")), "o_orderkey")
+    return sets.upsert(old, hit.union(hit.select(-F.col("o_orderkey") - 1, "o_orderstatus")), "o_orderkey")

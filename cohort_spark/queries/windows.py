@@ -38,16 +38,15 @@ def w5_kept_first(t):
     return W.kept_first(t("orders"), ["o_custkey"], [F.col("o_orderkey")]).select("o_custkey", "o_orderkey")
 
 
-@Q("""WITH v AS (SELECT l_orderkey, l_linenumber, unnest([{'n': 'l_discount', 'v': l_discount}, {'n': 'l_quantity', 'v': l_quantity}, {'n': 'l_tax', 'v': l_tax}, {'n': 'l_suppkey', 'v': CAST(l_suppkey AS DOUBLE)}]) AS s FROM lineitem),
-      r AS (SELECT l_orderkey, l_linenumber, l_k, s, row_number() OVER (PARTITION BY l_k ORDER BY s.v DESC, s.n) AS r FROM (SELECT *, l_orderkey * 10 + l_linenumber AS l_k FROM v) WHERE s.v > 0)
-      SELECT l_orderkey, l_linenumber, list(s.n ORDER BY r) AS names, list(s.v ORDER BY r) AS values FROM r WHERE r <= 3 GROUP BY 1, 2""")
+@Q("""WITH v AS (SELECT c_custkey, unnest([{'n': 'c_acctbal', 'v': c_acctbal}, {'n': 'c_nationkey', 'v': CAST(c_nationkey AS DOUBLE)}, {'n': 'c_custkey', 'v': CAST(c_custkey AS DOUBLE)}]) AS s FROM customer),
+      r AS (SELECT c_custkey, s, row_number() OVER (PARTITION BY c_custkey ORDER BY s.v DESC, s.n) AS r FROM v WHERE s.v > 0)
+      SELECT c_custkey, list(s.n ORDER BY r) AS names, list(s.v ORDER BY r) AS values FROM r WHERE r <= 2 GROUP BY 1""")
 def w6_top_columns(t):
-    """The three largest positive columns of each row."""
+    """The two largest positive columns of each row."""
     from cohort_spark.functions.arrays import top_columns
 
-    l = t("lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
-    top = l.select("l_orderkey", "l_linenumber", top_columns(["l_discount", "l_quantity", "l_tax", "l_suppkey"]).alias("t"))
-    return top.select("l_orderkey", "l_linenumber", F.col("t.name").alias("names"), F.col("t.value").alias("values"))
+    top = t("customer").select("c_custkey", top_columns(["c_acctbal", "c_nationkey", "c_custkey"], 2).alias("t")).where(F.size("t") > 0)
+    return top.select("c_custkey", F.col("t.name").alias("names"), F.col("t.value").alias("values"))
 
 
 @Q("""SELECT l_orderkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 ELSE 2 END, -l_quantity, l_partkey, l_linenumber) - 1 AS INTEGER) AS rank FROM lineitem""")
