@@ -28,6 +28,8 @@ WINDOW = 13
 RUN = 5
 #: Id of rows without one: larger than any other, so that such rows yield to all others.
 NO_ID = (1 << 63) - 1
+#: A position is tag << TAG_AT | word number; the tag tells rows with one id but different texts apart.
+TAG_AT, TAGS = 40, 1 << 22
 #: List entries (8 to 40 bytes each) up to which a side is broadcast, so that texts need no shuffle.
 BROADCAST_ENTRIES = 4_000_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -53,8 +55,12 @@ def _keys(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rolled(words, k, BASES[0]), rolled(other, k, BASES[1])
 
 
+def tag_of(text: str) -> F.Column:
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(TAGS)).cast("long")
+
+
 def anchors(docs: DataFrame, k: int = WINDOW, run: int = RUN) -> DataFrame:
-    """(doc, same, anchors): the distinct minimizers of each document's windows.
+    """(doc, tag, same, anchors): the distinct minimizers of each document's windows.
 
     ``docs`` has doc and text; ``same`` is the SHA-256 of the text.
     """
@@ -77,18 +83,19 @@ def anchors(docs: DataFrame, k: int = WINDOW, run: int = RUN) -> DataFrame:
                 low, own = low[fresh], own[fresh]
                 offsets = np.searchsorted(own, np.arange(n + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(low.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(first, n), batch.column("same").slice(first, n), lists], ["doc", "same", "anchors"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(first, n) for c in ("doc", "tag", "same")], lists], ["doc", "tag", "same", "anchors"])
 
-    rows = docs.select("doc", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("same"), "text")
-    return rows.mapInArrow(find, "doc long, same binary, anchors array<long>")
+    rows = docs.select("doc", tag_of("text").alias("tag"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("same"), "text")
+    return rows.mapInArrow(find, "doc long, tag long, same binary, anchors array<long>")
 
 
 def edges(candidates: DataFrame, k: int = WINDOW, run: int = RUN) -> DataFrame:
-    """(h1, h2, doc, pos) of the windows whose minimizer is in the row's list ``hot``."""
+    """(h1, h2, doc, pos) of the windows whose minimizer is in the row's list ``hot``; pos is tagged."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, hot = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("hot")
+            tags = batch.column("tag").to_numpy(zero_copy_only=False)
             for first, data, cuts in text_slices(batch.column("text")):
                 words, of = _HASHER.words(data, cuts)
                 bounds = np.searchsorted(of, np.arange(len(cuts)))
@@ -99,18 +106,18 @@ def edges(candidates: DataFrame, k: int = WINDOW, run: int = RUN) -> DataFrame:
                     a, b = bounds[i], bounds[i + 1] - k + 1
                     if b > a:
                         pos = np.flatnonzero(np.isin(low[a:b], hot[first + i].values.to_numpy().view(np.uint64)))
-                        parts.append((h1[a + pos], h2[a + pos], np.full(len(pos), docs[first + i]), pos))
+                        parts.append((h1[a + pos], h2[a + pos], np.full(len(pos), docs[first + i]), (int(tags[first + i]) << TAG_AT) + pos))
                 if parts:
                     cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
                     for at in range(0, len(cols[0]), 50_000):
                         part = [c[at : at + 50_000].view(np.int64) for c in cols]
-                        yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), pa.array(part[2]), pa.array(part[3].astype(np.int32))], ["h1", "h2", "doc", "pos"])
+                        yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), pa.array(part[2]), pa.array(part[3])], ["h1", "h2", "doc", "pos"])
 
-    return candidates.select("doc", "text", "hot").mapInArrow(find, "h1 long, h2 long, doc long, pos int")
+    return candidates.select("doc", "text", "hot", tag_of("text").alias("tag")).mapInArrow(find, "h1 long, h2 long, doc long, pos long")
 
 
 def compact(found: DataFrame) -> DataFrame:
-    """(doc, spans): nonbranching paths of repeated edges, as (start, edges, source, source_start).
+    """(doc, tag, spans): nonbranching paths of repeated edges, as (start, edges, source, source_start).
 
     ``found`` has doc, pos, source, source_pos, one row an edge. Edges follow
     one another on a path if their positions and their source coordinates both
@@ -121,7 +128,8 @@ def compact(found: DataFrame) -> DataFrame:
     def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, at in zip(frame["doc"], frame["at"], strict=True):
+            word = (1 << TAG_AT) - 1
+            for doc, tag, at in zip(frame["doc"], frame["tag"], frame["at"], strict=True):
                 pos = np.array([x["pos"] for x in at], np.int64)
                 src = np.array([x["source"] for x in at], np.int64)
                 spos = np.array([x["source_pos"] for x in at], np.int64)
@@ -129,25 +137,25 @@ def compact(found: DataFrame) -> DataFrame:
                 pos, src, spos = pos[order], src[order], spos[order]
                 cut = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1] + 1) | (src[1:] != src[:-1]) | (spos[1:] != spos[:-1] + 1)])
                 size = np.diff(np.r_[cut, len(pos)])
-                out.append((doc, [dict(start=int(pos[c]), edges=int(n), source=int(src[c]), source_start=int(spos[c])) for c, n in zip(cut, size, strict=True)]))
-            yield pd.DataFrame(out, columns=["doc", "spans"])
+                out.append((doc, tag, [dict(start=int(pos[c]) & word, edges=int(n), source=int(src[c]), source_start=int(spos[c]) & word) for c, n in zip(cut, size, strict=True)]))
+            yield pd.DataFrame(out, columns=["doc", "tag", "spans"])
 
-    grouped = found.groupBy("doc").agg(F.collect_list(F.struct("pos", "source", "source_pos")).alias("at"))
-    return grouped.mapInPandas(join, "doc long, spans array<struct<start:int,edges:int,source:long,source_start:int>>")
+    grouped = found.groupBy("doc", F.shiftright("pos", TAG_AT).alias("tag")).agg(F.collect_list(F.struct("pos", "source", "source_pos")).alias("at"))
+    return grouped.mapInPandas(join, "doc long, tag long, spans array<struct<start:int,edges:int,source:long,source_start:int>>")
 
 
 def repeated_spans(docs: DataFrame, k: int = WINDOW, run: int = RUN) -> tuple[DataFrame, DataFrame]:
     """(texts, spans) for ``docs`` (doc, text) with non-null doc.
 
-    ``texts``: (doc, same) of every row. ``spans``: (doc, spans) of the words
+    ``texts``: (doc, tag, same) of every row. ``spans``: (doc, tag, spans) of the words
     that repeat a smaller doc, for one document of each distinct text; what a
     text repeats from a copy of itself follows from ``same``.
     """
     found = saved(anchors(docs, k, run), "anchors")
     firsts = found.groupBy("same").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
     copied = firsts.where("n > 1").select("same", F.col("doc").alias("first"))
-    later = checked_broadcast(found.select("doc", "same").join(copied, "same").where("doc <> first").select("doc").distinct())
-    alone = found.join(later, "doc", "left_anti")
+    later = checked_broadcast(found.select("doc", "same").join(copied, "same").where("doc <> first").select("doc", "same").distinct())
+    alone = found.join(later, ["doc", "same"], "left_anti")
     listed = alone.select("doc", F.explode("anchors").alias("h"))
     hot = saved(listed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "hot")
     wanted = saved(listed.join(hot, "h", "left_semi").groupBy("doc").agg(F.collect_list("h").alias("hot")), "wanted")
@@ -159,7 +167,7 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW, run: int = RUN) -> tuple[Da
     repeated = rows.groupBy("h1", "h2").agg(F.min("doc").alias("source"), F.max("doc").alias("last"), F.min_by("pos", "doc").alias("source_pos"))
     repeated = repeated.where("source < last").select("h1", "h2", "source", "source_pos")
     hits = rows.join(repeated, ["h1", "h2"]).where("doc > source").select("doc", "pos", "source", "source_pos")
-    return found.select("doc", "same"), compact(hits)
+    return found.select("doc", "tag", "same"), compact(hits)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:
@@ -170,14 +178,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text without the removed words (null if none are: the text stays as it is);
     kept_sha256 is over the kept words joined by one space. Null and empty texts
     have no words. Rows without an id yield to all others, and neither they nor
-    rows that share an id remove anything from each other.
+    rows that share an id (with equal or different texts) remove anything from
+    each other.
     """
-    rows = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    rows = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tag": tag_of(text_col)})
     texts, spans = repeated_spans(rows.select(F.col("_doc").alias("doc"), F.col(text_col).alias("text")), k)
     first = texts.groupBy("same").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = texts.join(first, "same").where("doc > first").select(F.col("doc").alias("_doc"), F.lit(True).alias("_copy")).distinct()
-    cuts = spans.select(F.col("doc").alias("_doc"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (s["edges"] + k - 1).alias("words"))).alias("_spans"))
-    marks = saved(cuts.join(copies, "_doc", "full"), "marks")
+    copies = texts.join(first, "same").where("doc > first").select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.lit(True).alias("_copy")).distinct()
+    cuts = spans.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (s["edges"] + k - 1).alias("words"))).alias("_spans"))
+    marks = saved(cuts.join(copies, ["_doc", "_tag"], "full"), "marks")
 
     @F.pandas_udf("n_words long, n_removed long, kept string, kept_sha256 string")
     def cut(texts: pd.Series, spans: pd.Series, copied: pd.Series) -> pd.DataFrame:
@@ -201,7 +210,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept", "kept_sha256"])
 
     marks = checked_broadcast(marks, BROADCAST_ENTRIES, 1 + F.coalesce(F.size("_spans"), F.lit(0)))
-    return rows.join(marks, "_doc", "left").withColumn("_dedup", cut(F.col(text_col), "_spans", "_copy")).drop("_doc", "_spans", "_copy")
+    return rows.join(marks, ["_doc", "_tag"], "left").withColumn("_dedup", cut(F.col(text_col), "_spans", "_copy")).drop("_doc", "_tag", "_spans", "_copy")
 
 
 def op4_substring(spark, sf_dir: str) -> DataFrame:
