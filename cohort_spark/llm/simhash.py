@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import saved, split_words
+from cohort_spark.llm.common import checked_broadcast, saved, split_words
 
 #: Most fingerprints of one bucket that one task compares with as many others.
 BLOCK = 2048
@@ -93,13 +93,16 @@ def within(planes: np.ndarray, prints: np.ndarray, radius: int, ignore: np.ndarr
     return ~over
 
 
-def local_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Positions (root, member) that span the components of one bucket's links."""
-    n = len(prints)
-    if n == 2:
-        return [(0, 1)] if (int(prints[0]) ^ int(prints[1])).bit_count() <= radius else []
-    planes, words = bit_planes(prints), -(-n // 64)
-    pad = np.zeros(words * 64, np.uint8)
+def adjacency(prints: np.ndarray, radius: int) -> np.ndarray:
+    """Packed matrix of the links among one bucket's fingerprints, without those to themselves."""
+    n, words = len(prints), -(-len(prints) // 64)
+    if n <= 64:
+        pairs = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= radius
+        np.fill_diagonal(pairs, False)
+        out = np.zeros((n, 64), np.uint8)
+        out[:, :n] = pairs
+        return np.packbits(out, axis=1, bitorder="little").view("<u8").astype(np.uint64)
+    planes, pad = bit_planes(prints), np.zeros(words * 64, np.uint8)
     pad[n:] = 1
     pad = np.packbits(pad, bitorder="little").view("<u8").astype(np.uint64)
     rows = []
@@ -109,10 +112,15 @@ def local_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
         own = np.arange(i, m)
         ignore[own - i, own // 64] |= np.uint64(1) << (own % 64).astype(np.uint64)
         rows.append(within(planes, prints[i:m], radius, ignore))
-    near = np.concatenate(rows)
-    todo = np.flatnonzero(near.any(axis=1))
-    left, links = ~pad, []
-    for root in todo:
+    return np.concatenate(rows)
+
+
+def local_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Positions (root, member) that span the components of one bucket's links."""
+    near = adjacency(prints, radius)
+    left = np.full(near.shape[1], ONES)
+    links = []
+    for root in np.flatnonzero(near.any(axis=1)):
         bit = np.uint64(1) << np.uint64(root % 64)
         if not left[root // 64] & bit:
             continue
@@ -128,12 +136,11 @@ def local_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def fingerprint_links(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that span every component of fingerprints linked at ``radius`` bits.
+def buckets(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """Column ``fps``: lists in which all pairs of ``prints`` (fp, distinct) within ``radius`` bits meet.
 
-    ``prints`` has one long column ``fp``, distinct. A bucket of n fingerprints
-    gives at most n edges a block pair, never all its pairs. Buckets over
-    ``block`` are cut into blocks and each pair of blocks is its own group.
+    A list is a bucket, or two blocks of one with over ``block`` fingerprints; so
+    it holds about two blocks at most.
     """
     if radius not in TABLES:
         raise ValueError(f"radius must be one of {sorted(TABLES)}")
@@ -148,10 +155,9 @@ def fingerprint_links(prints: DataFrame, radius: int, block: int = BLOCK) -> Dat
         F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])).alias("at"),
     ).select("fp", "at.t", "at.key")
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    grouped = (
+    return (
         keyed.join(sizes, ["t", "key"])
-        .withColumn("parts", parts)
+        .withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .groupBy("t", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
@@ -160,6 +166,14 @@ def fingerprint_links(prints: DataFrame, radius: int, block: int = BLOCK) -> Dat
         .select("fps")
     )
 
+
+def fingerprint_links(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that span every component of fingerprints linked at ``radius`` bits.
+
+    ``prints`` has one long column ``fp``, distinct. A bucket of n fingerprints
+    gives at most n edges a block pair, never all its pairs.
+    """
+
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found: list[tuple[int, int]] = []
@@ -168,7 +182,30 @@ def fingerprint_links(prints: DataFrame, radius: int, block: int = BLOCK) -> Dat
                 found += [(signed[a], signed[b]) for a, b in local_links(signed.view(np.uint64), radius)]
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return grouped.mapInPandas(compare, "a long, b long").distinct()
+    return buckets(prints, radius, block).mapInPandas(compare, "a long, b long").distinct()
+
+
+def near_pairs(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """Candidate pairs (a, b): each fingerprint with its smallest and its nearest neighbour in every bucket.
+
+    All are within ``radius`` bits. A bucket of n gives at most 2 n pairs. The
+    smallest neighbour is the same in all buckets of a dense group.
+    """
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found: set[tuple[int, int]] = set()
+            for fps in frame["fps"]:
+                signed = np.sort(np.asarray(fps, np.int64))
+                prints = signed.view(np.uint64)
+                near = adjacency(prints, radius)
+                for i in np.flatnonzero(near.any(axis=1)):
+                    own = np.flatnonzero(np.unpackbits(near[i].astype("<u8").view(np.uint8), bitorder="little"))
+                    nearest = own[np.argmin(np.bitwise_count(prints[own] ^ prints[i]))]
+                    found |= {(int(min(signed[i], signed[j])), int(max(signed[i], signed[j]))) for j in (own[0], nearest)}
+            yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+    return buckets(prints, radius, block).mapInPandas(compare, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,14 +260,15 @@ def shingle_set(text: str | None, words: int = 5) -> bytes:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each text, and of near-duplicates the smallest id.
+    """The rows of ``docs`` that stay: one of each text, and of a group of near-duplicates the smallest id.
 
-    Candidates are components of SimHash fingerprints linked at ``radius`` bits,
-    found exactly. In each component the smallest id stays and removes every
-    text whose set of ``words``-word shingles (A-Z lower-cased) has a Jaccard
-    similarity of at least ``similarity`` with its own; what remains is judged
-    again until nothing does. So a row goes only if a row like it stays. The sets
-    of a component meet its leader by a join, never in one task.
+    Candidates are pairs of texts whose SimHash fingerprints differ in at most
+    ``radius`` bits, found without loss bucket by bucket; each text meets its
+    nearest and its smallest neighbour there. A pair links if the Jaccard
+    similarity of the texts' sets of ``words``-word shingles (A-Z lower-cased) is
+    at least ``similarity``. Groups are the components of links. As the smallest
+    and nearest neighbours change when texts go, what stays is searched again
+    until no pair links any more.
 
     Null and empty texts count as one text. Null ids come after all others;
     of rows equal in id and text one stays.
@@ -239,37 +277,45 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = with_fingerprint(rows, "_fp_text", "_fp").withColumn("_same", F.unhex(F.sha2(F.coalesce("_fp_text", F.lit("")), 256)))
     rows = saved(rows.drop("_fp_text").withColumn("_row", F.monotonically_increasing_id()), "printed")
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    texts = saved(rows.groupBy("_same").agg(F.min(order).alias("ord"), F.first("_fp").alias("fp")), "texts")
-    linked = components(fingerprint_links(texts.select("fp").distinct(), radius)).toDF("fp", "root")
-    rooted = texts.join(linked, "fp", "left").select("ord", F.coalesce("root", "fp").alias("root"))
-    several = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    members = rooted.join(several, "root").select("root", "ord", F.col("ord.row").alias("_row"))
+    texts = rows.groupBy("_same").agg(F.min(order).alias("ord"), F.first("_fp").alias("fp"))
+    texts = saved(texts.select("ord", "fp", F.col("ord.row").alias("row")), "texts")
 
     @F.pandas_udf("binary")
     def sets(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, words) for t in texts])
 
     @F.pandas_udf("boolean")
-    def alike(mine: pd.Series, leaders: pd.Series) -> pd.Series:
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
-        for a, b in zip(mine, leaders, strict=True):
+        for a, b in zip(left, right, strict=True):
             x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
             common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
             out.append(common >= similarity * (len(x) + len(y) - common))
         return pd.Series(out, dtype=bool)
 
-    todo = saved(rows.select("_row", F.col(text_col).alias("text")).join(members, "_row").select("root", "ord", sets("text").alias("set")), "sets")
-    removed = None
-    while not todo.isEmpty():
-        leaders = todo.groupBy("root").agg(F.min(F.struct("ord", "set")).alias("leader"))
-        judged = todo.join(leaders, "root").where("ord <> leader.ord")
-        judged = saved(judged.select("root", "ord", "set", alike("set", "leader.set").alias("gone")), "judged")
-        gone = judged.where("gone").select(F.col("ord.row").alias("_row"))
-        removed = gone if removed is None else removed.union(gone)
-        left = judged.where("not gone").select("root", "ord", "set")
-        again = left.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-        todo = left.join(again, "root", "left_semi")
-    stays = texts.select(F.col("ord.row").alias("_row"))
-    if removed is not None:
-        stays = stays.join(removed, "_row", "left_anti")
-    return rows.join(stays, "_row", "left_semi").select(*docs.columns)
+    alive, shingled, gone = texts, None, None
+    while True:
+        leads = alive.groupBy("fp").agg(F.min("ord.row").alias("lead"))
+        same = alive.join(leads, "fp").where("row <> lead").select(F.col("lead").alias("x"), F.col("row").alias("y"))
+        ends = near_pairs(leads.select("fp"), radius)
+        ends = ends.join(leads.toDF("a", "x"), "a").join(leads.toDF("b", "y"), "b").select("x", "y")
+        pairs = saved(same.union(ends), "pairs")
+        if pairs.isEmpty():
+            break
+        met = pairs.select(F.col("x").alias("row")).union(pairs.select("y")).distinct()
+        if shingled is None:
+            wanted = checked_broadcast(met.select(F.col("row").alias("_row")))
+            shingled = saved(rows.join(wanted, "_row").select(F.col("_row").alias("row"), sets(text_col).alias("set")), "sets")
+        judged = pairs.join(shingled.toDF("x", "set_x"), "x").join(shingled.toDF("y", "set_y"), "y").where(alike("set_x", "set_y"))
+        links = saved(judged.select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+        if links.isEmpty():
+            break
+        grouped = components(links).join(alive.select(F.col("row").alias("node"), "ord"), "node")
+        first = grouped.groupBy("root").agg(F.min("ord").alias("first"))
+        left = saved(grouped.join(first, "root").where("ord <> first").select(F.col("node").alias("row")), "gone")
+        gone = left if gone is None else gone.union(left)
+        alive = saved(alive.join(met, "row", "left_semi").join(left, "row", "left_anti"), "alive")
+    stays = texts.select(F.col("row").alias("_row"))
+    if gone is not None:
+        stays = stays.join(gone.select(F.col("row").alias("_row")), "_row", "left_anti")
+    return rows.join(checked_broadcast(stays), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
