@@ -23,13 +23,14 @@ def integer_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """(id, vec): each component x as floor(scale * x), 64-bit little-endian binary.
 
     Left out: null ids, vectors that are null or hold null or non-finite
-    components, and repeats of a row. An empty vector stays, as zeros.
+    components, and repeats of a row. An empty vector stays, as zeros; components
+    are clipped at 2**62.
     """
     ok = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
     @F.pandas_udf("binary")
     def packed(vectors: pd.Series) -> pd.Series:
-        return pd.Series([np.floor(scale * np.asarray(v, np.float64)).astype("<i8").tobytes() for v in vectors])
+        return pd.Series([np.clip(np.floor(scale * np.asarray(v, np.float64)), -(2.0**62), 2.0**62).astype("<i8").tobytes() for v in vectors])
 
     named = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null")
     return named.where(ok).select("id", packed("v").alias("vec")).distinct()
@@ -45,10 +46,13 @@ def matrix(vectors, width: int) -> np.ndarray:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; through floating point where no sum can reach 2**53."""
-    if not len(q) or not len(x) or float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1]) < 2.0**53:
+    """Exact integer inner products, clipped to 64 bits; through floating point where no sum can reach 2**53."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+    if most < 2.0**53:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q @ x.T
+    if most < 2.0**62:
+        return q @ x.T
+    return np.clip(q.astype(object) @ x.T.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
 
 
 class Space:
