@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohort_spark.functions import arrays as A
 from cohort_spark.functions import text as T
 from cohort_spark.operators import aggregates, joins, projection, sets, windows
-from cohort_spark.plans import cohort
+from cohort_spark.plans import artifacts, cohort
 from cohort_spark.sources import files, registry
 
 
@@ -197,3 +197,12 @@ def test_training_set_plan(spark):
     out = cohort.training_set(reg, captions, feats, kinds=["DX", "TS"], normal_source="s")
     assert {(r.stem, r.caption, r.split) for r in out.collect()} == {(s, c, "val") for s in ("a-DX", "c-TS") for c in ("x", "y")}
     assert cohort.split_mismatches(reg, captions).first().mismatches == 1
+
+
+def test_column_choices():
+    assert artifacts.first_matching_column(["ID", "Tumor_Purity", "purity2"], ["purity", "id"]) == "Tumor_Purity"
+    assert artifacts.first_matching_column(["a"], ["b"]) is None
+
+
+def test_path_columns(spark):
+    assert registry.path_columns(spark.createDataFrame([(1, 2, 3)], "a_path int, b_paths int, paths_c int")) == ["a_path", "b_paths"]
