@@ -56,6 +56,25 @@ def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, entries: F.Colu
     return F.broadcast(df) if at_most(df, most, entries) else df
 
 
+class Own:
+    """A frame's columns under names that no operator uses, and the way back.
+
+    ``frame`` has columns u0, u1, ...; ``own[name]`` is the new name of a column.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.columns = df.columns
+        self.named = [f"u{i}" for i in range(len(df.columns))]
+        self.frame = df.toDF(*self.named)
+
+    def __getitem__(self, name: str) -> str:
+        return self.named[self.columns.index(name)]
+
+    def restored(self, df: DataFrame, *added: str) -> DataFrame:
+        """The original columns of ``df``, then the added ones."""
+        return df.select(*[F.col(u).alias(c) for u, c in zip(self.named, self.columns, strict=True)], *added)
+
+
 def split_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8; ``bytes.split`` cuts at exactly these."""
     return text.encode().split() if text else []

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import checked_broadcast, saved
+from cohort_spark.llm.common import Own, checked_broadcast, saved
 
 # Licence identifiers and the wording of their usual notices.
 TEMPLATES = (
@@ -85,7 +85,8 @@ def licensed_files(files: DataFrame, path_col: str = "path", text_col: str = "te
     Null or empty texts have no notices; a null path has no directory. Files
     with none get nulls. Equal paths are judged row by row; repeated rows repeat.
     """
-    rows = files.withColumn("_path", F.col(path_col)).withColumn("_text", F.col(text_col))
+    own_names = Own(files)
+    rows = own_names.frame.withColumn("_path", F.col(own_names[path_col])).withColumn("_text", F.col(own_names[text_col]))
     is_file = F.coalesce(F.col("_path").rlike(LICENCE_FILE), F.lit(False))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(NOTICE))
     units = F.array_distinct(F.concat(F.transform(lines, lambda x: F.trim(x)), F.when(is_file & F.col("_text").isNotNull(), F.array(F.trim("_text"))).otherwise(F.array().cast("array<string>"))))
@@ -108,7 +109,7 @@ def licensed_files(files: DataFrame, path_col: str = "path", text_col: str = "te
     mine = F.col("_own").isNotNull()
     origin = F.when(mine, "notice").when(F.col("_declared").isNotNull(), "directory")
     licence = F.struct(F.coalesce("_own", "_declared").alias("name"), origin.alias("origin"), F.col("_score").alias("score"), F.when(~mine, F.col("_from")).alias("directory"))
-    return out.withColumn("_licence", licence).drop("_path", "_text", "_dir", "_sha", "_p", "_s", "_own", "_score", "_from", "_declared")
+    return own_names.restored(out.withColumn("_licence", licence), "_licence")
 
 
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import checked_broadcast
+from cohort_spark.llm.common import Own, checked_broadcast
 
 #: A Poisson draw is a sum of draws with means of at most this, so that no table grows long.
 MEAN_STEP = 16.0
@@ -64,18 +64,20 @@ def mixed_documents(
     Null or empty texts have size 0 but are drawn at their source's rate. A null
     id counts as the empty id; rows that share an id share their count.
     """
-    rates = source_rates(docs, weights, default, source_col, F.length(F.coalesce(text_col, F.lit(""))), epochs)
+    own = Own(docs)
+    source, text = own[source_col], own[text_col]
+    rates = source_rates(own.frame, weights, default, source, F.length(F.coalesce(text, F.lit(""))), epochs)
     rates = checked_broadcast(rates.toDF("_source", "_rate", "_draws", "_table"), 10_000)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    key = F.coalesce(F.col(own[id_col]).cast("string"), F.lit(""))
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col("_draws")),
         F.lit(0),
         lambda n, i: n + F.size(F.filter("_table", lambda c: c <= uniform(F.concat_ws(":", F.lit(str(seed)), key, i.cast("string"))))),
     )
-    rows = docs.join(rates, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_count", F.when(F.col("_rate") > 0, drawn).otherwise(0))
+    rows = own.frame.join(rates, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_count", F.when(F.col("_rate") > 0, drawn).otherwise(0))
     copies = rows.where("_count > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
     shuffled = copies.withColumn("_shuffle", F.md5(F.concat_ws(":", F.lit(f"{seed}s"), key, F.col("_copy").cast("string"))))
-    return shuffled.drop("_source", "_draws", "_table", "_count").orderBy("_shuffle", F.col(id_col))
+    return own.restored(shuffled.drop("_source", "_draws", "_table", "_count").orderBy("_shuffle", own[id_col]), "_rate", "_copy", "_shuffle")
 
 
 #: The query's target weights; every other source has weight 1.

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import checked_broadcast, saved, split_words
+from cohort_spark.llm.common import Own, checked_broadcast, saved, split_words
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 5
@@ -122,9 +122,10 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns only."""
-    measured = with_signals(docs.withColumn("_text", F.col(text_col)).withColumn("_host", F.col(host_col)), "_text")
-    flagged = saved(measured.withColumn("_failed", base_failed()).drop("_text", "_signals"), "judged")
-    return judge_hosts(flagged, "_host", "_failed", limit).where(~F.col("_failed") & ~F.col("host_rejected")).select(*docs.columns)
+    own = Own(docs)
+    measured = with_signals(own.frame, own[text_col]).withColumn("_failed", base_failed())
+    flagged = saved(measured.drop("_signals"), "judged")
+    return own.restored(judge_hosts(flagged, own[host_col], "_failed", limit).where(~F.col("_failed") & ~F.col("host_rejected")))
 
 
 def op6_host_rules(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import checked_broadcast, saved, split_words
+from cohort_spark.llm.common import Own, checked_broadcast, saved, split_words
 
 #: Most fingerprints of one bucket that one task compares with as many others.
 BLOCK = 2048
@@ -273,10 +273,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts count as one text. Null ids come after all others;
     of rows equal in id and text one stays.
     """
-    rows = docs.withColumn("_fp_text", F.col(text_col))
-    rows = with_fingerprint(rows, "_fp_text", "_fp").withColumn("_same", F.unhex(F.sha2(F.coalesce("_fp_text", F.lit("")), 256)))
-    rows = saved(rows.drop("_fp_text").withColumn("_row", F.monotonically_increasing_id()), "printed")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    own = Own(docs)
+    rows = with_fingerprint(own.frame, own[text_col], "_fp").withColumn("_same", F.unhex(F.sha2(F.coalesce(own[text_col], F.lit("")), 256)))
+    rows = saved(rows.withColumn("_row", F.monotonically_increasing_id()), "printed")
+    order = F.struct(F.col(own[id_col]).isNull().alias("none"), F.col(own[id_col]).alias("id"), F.col("_row").alias("row"))
     texts = rows.groupBy("_same").agg(F.min(order).alias("ord"), F.first("_fp").alias("fp"))
     texts = saved(texts.select("ord", "fp", F.col("ord.row").alias("row")), "texts")
 
@@ -305,7 +305,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         met = pairs.select(F.col("x").alias("row")).union(pairs.select("y")).distinct()
         if shingled is None:
             wanted = checked_broadcast(met.select(F.col("row").alias("_row")))
-            shingled = saved(rows.join(wanted, "_row").select(F.col("_row").alias("row"), sets(text_col).alias("set")), "sets")
+            shingled = saved(rows.join(wanted, "_row").select(F.col("_row").alias("row"), sets(own[text_col]).alias("set")), "sets")
         judged = pairs.join(shingled.toDF("x", "set_x"), "x").join(shingled.toDF("y", "set_y"), "y").where(alike("set_x", "set_y"))
         links = saved(judged.select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
         if links.isEmpty():
@@ -318,4 +318,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stays = texts.select(F.col("row").alias("_row"))
     if gone is not None:
         stays = stays.join(gone.select(F.col("row").alias("_row")), "_row", "left_anti")
-    return rows.join(checked_broadcast(stays), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return own.restored(rows.join(checked_broadcast(stays), "_row", "left_semi"))

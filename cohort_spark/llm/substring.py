@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import WordHasher, at_most, checked_broadcast, mixed, rolled, saved, split_words, text_slices
+from cohort_spark.llm.common import Own, WordHasher, at_most, checked_broadcast, mixed, rolled, saved, split_words, text_slices
 
 #: Words of a window.
 WINDOW = 13
@@ -181,8 +181,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows that share an id (with equal or different texts) remove anything from
     each other.
     """
-    rows = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tag": tag_of(text_col)})
-    texts, spans = repeated_spans(rows.select(F.col("_doc").alias("doc"), F.col(text_col).alias("text")), k)
+    own = Own(docs)
+    rows = own.frame.withColumns({"_doc": F.coalesce(F.col(own[id_col]).cast("long"), F.lit(NO_ID)), "_tag": tag_of(own[text_col])})
+    texts, spans = repeated_spans(rows.select(F.col("_doc").alias("doc"), F.col(own[text_col]).alias("text")), k)
     first = texts.groupBy("same").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = texts.join(first, "same").where("doc > first").select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.lit(True).alias("_copy")).distinct()
     cuts = spans.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (s["edges"] + k - 1).alias("words"))).alias("_spans"))
@@ -210,7 +211,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept", "kept_sha256"])
 
     marks = checked_broadcast(marks, BROADCAST_ENTRIES, 1 + F.coalesce(F.size("_spans"), F.lit(0)))
-    return rows.join(marks, ["_doc", "_tag"], "left").withColumn("_dedup", cut(F.col(text_col), "_spans", "_copy")).drop("_doc", "_tag", "_spans", "_copy")
+    return own.restored(rows.join(marks, ["_doc", "_tag"], "left").withColumn("_dedup", cut(F.col(own[text_col]), "_spans", "_copy")), "_dedup")
 
 
 def op4_substring(spark, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ FILES = [
 
 
 def test_licences(spark):
-    df = spark.createDataFrame([(p, t, "n", "u") for p, t in FILES], "path string, text string, licence string, unit string")
+    df = spark.createDataFrame([(p, t, "n", "u", 1, 2) for p, t in FILES], "path string, text string, licence string, unit string, _path int, _own int")
     out = licences.licensed_files(df)
     assert out.columns == [*df.columns, "_licence"]
     found = Counter((r.path, (r.text or "")[:9], r._licence.name, r._licence.origin, r._licence.directory) for r in out.collect())

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from cohort_spark.llm import common, mixing, packing, quality, simhash, substring, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, fp int, doc string, hot string, score string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, fp int, doc string, hot string, score string, _row int, _doc string, _failed int, _source int, `a.b` int"
 
 
 def frame(spark, rows):
     """Documents with extra columns whose names operators use themselves."""
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", 1, "y", "z", "w") for i, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", 1, "y", "z", "w", 1, "v", 2, 3, 4) for i, t, s in rows], SCHEMA)
 
 
 def prose(rng, n, vocabulary=400):
