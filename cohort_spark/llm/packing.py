@@ -17,37 +17,48 @@ CAPACITY = 2048
 END_ID = 1
 #: Buckets in which each length is ranked, so that no task ranks all pieces of a length.
 RANK_BUCKETS = 256
-#: Words kept with their ids by each Python worker.
-MEMO_WORDS = 300_000
-#: White space that the tokenizer and ``str.split`` may treat differently.
-EXOTIC = re.compile(r"[^\S \t\n\r]|[\x1c-\x1f\x85]")
+#: Words kept with their ids by each Python worker: the first so many that it meets.
+MEMO_WORDS = 1_000_000
+#: Characters other than white space that every reader takes for such, ASCII, and Latin letters and signs.
+ODD = re.compile("[^ \t\n\r!-~\xa1-\u024f]")
 PLAIN_SPACE = re.compile(r"[ \t\n\r]+")
+#: A full stop or comma that ends a word.
+WORD_END = re.compile("(?<=[a-z\xdf-\xf6\xf8-\u024f])([.,])(?=[ \t\n\r]|$)")
+
+
+class WordIds(dict):
+    """Ids of chunks of text as little-endian 32-bit bytes; those not held yet are encoded."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.encode = Tokenizer.from_file(path).encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = np.asarray(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) < MEMO_WORDS:
+            self[chunk] = ids
+        return ids
 
 
 class WordTokenizer:
-    """Ids of whole texts, as little-endian 32-bit bytes, one white-space chunk at a time.
+    """Ids of whole texts, one white-space chunk at a time.
 
-    The tokenizer cuts at white space before anything else, so a text's ids are
-    those of its chunks; chunks seen before are looked up.
+    The tokenizer lower-cases, cuts at white space and between letters and other
+    signs before anything else, so a text's ids are those of its chunks. Texts of
+    Latin letters, for which Python lower-cases alike, are lower-cased first and
+    their words cut from a last stop or comma: fewer different chunks.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.chunks = WordIds(path)
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        chunked = [(PLAIN_SPACE.split(t) if EXOTIC.search(t) else t.split()) if t else [] for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        fresh = list({w for ws in chunked for w in ws if w not in memo})
-        if fresh:
-            for i in range(0, len(fresh), 8192):
-                part = fresh[i : i + 8192]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    memo[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join([memo[w] for w in ws]) for ws in chunked]
+    def ids(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        parts = PLAIN_SPACE.split(text) if ODD.search(text) else WORD_END.sub(r" \1", text.lower()).split()
+        return b"".join(map(self.chunks.__getitem__, parts))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -76,8 +87,8 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             for at in range(0, len(frame), 256):
                 part = frame.iloc[at : at + 256]
                 out = []
-                for doc, raw in zip(part["doc_id"], own.ids([t if isinstance(t, str) else None for t in part["text"]]), strict=True):
-                    raw += end
+                for doc, text in zip(part["doc_id"], part["text"], strict=True):
+                    raw = own.ids(text if isinstance(text, str) else None) + end
                     n = len(raw) // 4
                     for s in range(0, n, capacity):
                         e = min(n, s + capacity)

@@ -297,8 +297,8 @@ def test_chunked_ids_equal_whole_ids(texts):
     odd = ["a b c", "x\x1cy\x85z", "İstanbul ΣΑΣ ﬁ é ́a", "it's I'll 12a3 <|endoftext|> a<|startoftext|>b", "﻿ a​b", "emoji 👩‍👩‍👧 end"]
     cases = [t for _, t, _ in texts if t] + odd
     own = packing.WordTokenizer(vocabulary())
-    for t, raw in zip(cases, own.ids(cases)):
-        assert np.frombuffer(raw, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    for t in cases:
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("capacity", [64, 2048])
