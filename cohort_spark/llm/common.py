@@ -37,7 +37,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it: lineage ends here."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``saved`` that nothing reads any more: rounds of an iteration need room for two."""
+    for df in tables:
+        if path := getattr(df, "scratch_path", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def at_most(df: DataFrame, most: int, entries: F.Column | None = None) -> bool:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import Own, checked_broadcast, saved, split_words
+from cohort_spark.llm.common import Own, checked_broadcast, discard, saved, split_words
 
 #: Most fingerprints of one bucket that one task compares with as many others.
 BLOCK = 2048
@@ -223,7 +223,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = saved(small.union(least).distinct(), "edges")
+        before, e = e, saved(small.union(least).distinct(), "edges")
+        discard(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -315,6 +316,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         left = saved(grouped.join(first, "root").where("ord <> first").select(F.col("node").alias("row")), "gone")
         gone = left if gone is None else gone.union(left)
         alive = saved(alive.join(met, "row", "left_semi").join(left, "row", "left_anti"), "alive")
+        discard(pairs, links)
     stays = texts.select(F.col("row").alias("_row"))
     if gone is not None:
         stays = stays.join(gone.select(F.col("row").alias("_row")), "_row", "left_anti")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import saved
+from cohort_spark.llm.common import discard, saved
 
 PIVOTS = 16
 RINGS = 8
@@ -181,7 +181,8 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, pivots: int = PIV
         found = found.mapInPandas(score, "query_id long, id long, score long")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
         every = found if hits is None else hits.drop("rank").union(found)
-        hits = saved(every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank"), "hits")
+        before, hits = hits, saved(every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank"), "hits")
+        discard(before)
         now = wanted.select("block", "cell")
         visited = now if visited is None else visited.union(now)
         visit = visit * MORE
