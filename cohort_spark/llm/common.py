@@ -67,6 +67,18 @@ def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, entries: F.Colu
     return F.broadcast(df) if at_most(df, most, entries) else df
 
 
+#: Texts of one Arrow batch: what a Python worker holds of a task's rows at once.
+TEXTS_AT_ONCE = 500
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold ``TEXTS_AT_ONCE`` rows at most, for columns of long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > TEXTS_AT_ONCE:
+        spark.conf.set(key, TEXTS_AT_ONCE)
+
+
 class Own:
     """A frame's columns under names that no operator uses, and the way back.
 
@@ -152,7 +164,7 @@ def rolled(words: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndar
         return mixed(h)
 
 
-def text_slices(column, most: int = 1 << 20):
+def text_slices(column, most: int = 1 << 19):
     """Slices of an Arrow string column of about ``most`` bytes: (first row, bytes, cuts).
 
     ``cuts`` has one entry more than the slice has rows. A null text is empty.

@@ -11,14 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import saved
+from cohort_spark.llm.common import saved, text_batches
 
 CAPACITY = 2048
 END_ID = 1
 #: Buckets in which each length is ranked, so that no task ranks all pieces of a length.
 RANK_BUCKETS = 256
 #: Words kept with their ids by each Python worker: the first so many that it meets.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 #: Characters other than white space that every reader takes for such, ASCII, and Latin letters and signs.
 ODD = re.compile("[^ \t\n\r!-~\xa1-\u024f]")
 PLAIN_SPACE = re.compile(r"[ \t\n\r]+")
@@ -79,6 +79,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     ``ids`` holds the piece's ids as little-endian unsigned 32-bit binary.
     """
+    text_batches(docs.sparkSession)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = tokenizer_of(vocabulary)

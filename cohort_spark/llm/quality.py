@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import Own, checked_broadcast, saved, split_words
+from cohort_spark.llm.common import Own, checked_broadcast, saved, split_words, text_batches
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 5
@@ -55,6 +55,7 @@ def signals(text: str | None) -> tuple[int, int, int, int, int]:
 
 def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with struct column ``_signals``; every text is read whole."""
+    text_batches(docs.sparkSession)
 
     @F.pandas_udf(SIGNALS)
     def measured(texts: pd.Series) -> pd.DataFrame:

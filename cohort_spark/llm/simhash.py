@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import Own, checked_broadcast, discard, saved, split_words
+from cohort_spark.llm.common import Own, checked_broadcast, discard, saved, split_words, text_batches
 
 #: Most fingerprints of one bucket that one task compares with as many others.
 BLOCK = 2048
@@ -46,6 +46,7 @@ def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint", words: int = 3) -> DataFrame:
     """``docs`` with its fingerprint as a signed long in column ``name``."""
+    text_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fingerprints(texts: pd.Series) -> pd.Series:

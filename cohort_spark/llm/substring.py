@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import Own, WordHasher, at_most, checked_broadcast, mixed, rolled, saved, split_words, text_slices
+from cohort_spark.llm.common import Own, WordHasher, at_most, checked_broadcast, mixed, rolled, saved, split_words, text_batches, text_slices
 
 #: Words of a window.
 WINDOW = 13
@@ -181,6 +181,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows that share an id (with equal or different texts) remove anything from
     each other.
     """
+    text_batches(docs.sparkSession)
     own = Own(docs)
     rows = own.frame.withColumns({"_doc": F.coalesce(F.col(own[id_col]).cast("long"), F.lit(NO_ID)), "_tag": tag_of(own[text_col])})
     texts, spans = repeated_spans(rows.select(F.col("_doc").alias("doc"), F.col(own[text_col]).alias("text")), k)

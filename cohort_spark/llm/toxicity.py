@@ -12,7 +12,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import mixed, saved
+from cohort_spark.llm.common import mixed, saved, text_batches
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -64,6 +64,7 @@ def fit(labelled: DataFrame, rows: int, ridge: float = 1e-3, alpha: float = 1.0)
     rows, the score is the smoothed share of label 1.
     """
     spark = labelled.sparkSession
+    text_batches(labelled.sparkSession)
     data = saved(labelled.repartition(max(1, min(16, rows // 500))), "labelled")
     classes = {r.label: r.n for r in data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = classes.get(1, 0), classes.get(0, 0)
@@ -104,7 +105,7 @@ def fit(labelled: DataFrame, rows: int, ridge: float = 1e-3, alpha: float = 1.0)
     shared = spark.sparkContext.broadcast((place, ratio[features]))
 
     @F.udf(VectorUDT())
-    def vector(text: str | None):
+    def vector(text):
         where, scale = shared.value
         own = np.unique(where[grams(text)])
         own = own[own >= 0]
@@ -141,6 +142,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     A row with a null id is held out of nothing: held_out is false.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

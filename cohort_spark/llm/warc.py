@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import checked_broadcast, fresh_path, saved
+from cohort_spark.llm.common import checked_broadcast, fresh_path, saved, text_batches
 
 MAGIC = b"\x1f\x8b\x08"
 #: Compressed bytes of an archive, about, after which a task starts another.
@@ -64,6 +64,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
     Tasks write archives of their own names; only those that the committed
     manifest lists count, so a task that ran twice leaves no record twice.
     """
+    text_batches(pages.sparkSession)
     html = F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
