@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from cohort_spark.queries import QUERIES, SQL
@@ -16,10 +17,10 @@ def cell(v):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
         return tuple(cell(x) for x in v)
+    if v is None or v is pd.NA:
+        return None
     if isinstance(v, float):
         return None if v != v else round(v, 9)
-    if v is None or v != v:
-        return None
     return float(v) if isinstance(v, int) and not isinstance(v, bool) else v
 
 
