@@ -124,9 +124,12 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns only."""
     own = Own(docs)
-    measured = with_signals(own.frame, own[text_col]).withColumn("_failed", base_failed())
-    flagged = saved(measured.drop("_signals"), "judged")
-    return own.restored(judge_hosts(flagged, own[host_col], "_failed", limit).where(~F.col("_failed") & ~F.col("host_rejected")))
+    host = own[host_col]
+    flagged = with_signals(own.frame, own[text_col]).withColumn("_failed", base_failed()).drop("_signals")
+    # the signals are computed again for the rows, which is cheaper than to keep a copy of all texts
+    bad = host_rates(flagged, host, "_failed").where(F.col("rate") > limit).select(F.col("host").alias("_bad_host"))
+    passed = flagged.where(~F.col("_failed"))
+    return own.restored(passed.join(checked_broadcast(saved(bad, "bad-hosts")), F.col(host).eqNullSafe(F.col("_bad_host")), "left_anti"))
 
 
 def op6_host_rules(spark, sf_dir: str) -> DataFrame:

@@ -210,7 +210,7 @@ def near_pairs(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b); root is the component's smallest node.
+    """(node, root) for every node of ``edges`` (a, b), of any type that sorts; root is the component's smallest node.
 
     Alternating star joins: every node links its larger neighbours to its
     smallest one, then its smaller ones, until nothing changes. Each round is
@@ -276,11 +276,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of rows equal in id and text one stays.
     """
     own = Own(docs)
-    rows = with_fingerprint(own.frame, own[text_col], "_fp").withColumn("_same", F.unhex(F.sha2(F.coalesce(own[text_col], F.lit("")), 256)))
-    rows = saved(rows.withColumn("_row", F.monotonically_increasing_id()), "printed")
-    order = F.struct(F.col(own[id_col]).isNull().alias("none"), F.col(own[id_col]).alias("id"), F.col("_row").alias("row"))
-    texts = rows.groupBy("_same").agg(F.min(order).alias("ord"), F.first("_fp").alias("fp"))
-    texts = saved(texts.select("ord", "fp", F.col("ord.row").alias("row")), "texts")
+    id_, text = own[id_col], own[text_col]
+    rows = own.frame.withColumn("_same", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)))
+    prints = with_fingerprint(rows, text, "_fp").select(F.col("_same").alias("same"), F.col(id_).alias("id"), F.col("_fp").alias("fp"))
+    ids = saved(prints, "prints").groupBy("same", "id").agg(F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "same", "n")
+    texts = saved(ids.groupBy("same").agg(F.min(order).alias("ord"), F.first("fp").alias("fp")), "texts")
 
     @F.pandas_udf("binary")
     def sets(texts: pd.Series) -> pd.Series:
@@ -297,28 +298,32 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     alive, shingled, gone = texts, None, None
     while True:
-        leads = alive.groupBy("fp").agg(F.min("ord.row").alias("lead"))
-        same = alive.join(leads, "fp").where("row <> lead").select(F.col("lead").alias("x"), F.col("row").alias("y"))
+        leads = alive.groupBy("fp").agg(F.min("same").alias("lead"))
+        twins = alive.join(leads, "fp").where("same <> lead").select(F.col("lead").alias("x"), F.col("same").alias("y"))
         ends = near_pairs(leads.select("fp"), radius)
         ends = ends.join(leads.toDF("a", "x"), "a").join(leads.toDF("b", "y"), "b").select("x", "y")
-        pairs = saved(same.union(ends), "pairs")
+        pairs = saved(twins.union(ends), "pairs")
         if pairs.isEmpty():
             break
-        met = pairs.select(F.col("x").alias("row")).union(pairs.select("y")).distinct()
+        met = pairs.select(F.col("x").alias("same")).union(pairs.select("y")).distinct()
         if shingled is None:
-            wanted = checked_broadcast(met.select(F.col("row").alias("_row")))
-            shingled = saved(rows.join(wanted, "_row").select(F.col("_row").alias("row"), sets(own[text_col]).alias("set")), "sets")
+            wanted = checked_broadcast(met.join(texts, "same").select(F.col("same").alias("_s"), F.col("ord.id").alias("_id")))
+            one = rows.join(wanted, (F.col("_same") == F.col("_s")) & F.col(id_).eqNullSafe(F.col("_id")))
+            shingled = saved(one.select("_same", text).dropDuplicates(["_same"]).select(F.col("_same").alias("same"), sets(text).alias("set")), "sets")
         judged = pairs.join(shingled.toDF("x", "set_x"), "x").join(shingled.toDF("y", "set_y"), "y").where(alike("set_x", "set_y"))
         links = saved(judged.select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
         if links.isEmpty():
             break
-        grouped = components(links).join(alive.select(F.col("row").alias("node"), "ord"), "node")
+        grouped = components(links).join(alive.select(F.col("same").alias("node"), "ord"), "node")
         first = grouped.groupBy("root").agg(F.min("ord").alias("first"))
-        left = saved(grouped.join(first, "root").where("ord <> first").select(F.col("node").alias("row")), "gone")
+        left = saved(grouped.join(first, "root").where("ord <> first").select(F.col("node").alias("same")), "gone")
         gone = left if gone is None else gone.union(left)
-        alive = saved(alive.join(met, "row", "left_semi").join(left, "row", "left_anti"), "alive")
+        alive = saved(alive.join(met, "same", "left_semi").join(left, "same", "left_anti"), "alive")
         discard(pairs, links)
-    stays = texts.select(F.col("row").alias("_row"))
-    if gone is not None:
-        stays = stays.join(gone.select(F.col("row").alias("_row")), "_row", "left_anti")
-    return own.restored(rows.join(checked_broadcast(stays), "_row", "left_semi"))
+    stays = texts if gone is None else texts.join(gone, "same", "left_anti")
+    stays = saved(stays.select(F.col("same").alias("_s"), F.col("ord.id").alias("_id"), F.col("ord.n").alias("_n")), "stays")
+    discard(shingled)
+    kept = rows.join(checked_broadcast(stays), (F.col("_same") == F.col("_s")) & F.col(id_).eqNullSafe(F.col("_id")))
+    if stays.where("_n > 1").isEmpty():
+        return own.restored(kept)
+    return own.restored(kept.where("_n = 1")).union(own.restored(kept.where("_n > 1").dropDuplicates(["_same"])))
