@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -17,48 +18,47 @@ CAPACITY = 2048
 END_ID = 1
 #: Buckets in which each length is ranked, so that no task ranks all pieces of a length.
 RANK_BUCKETS = 256
-#: Words kept with their ids by each Python worker: the first so many that it meets.
-MEMO_WORDS = 500_000
+#: Chunks kept with their ids by each Python worker, once it holds twice as many: the first that it met.
+MEMO_WORDS = 350_000
 #: Characters other than white space that every reader takes for such, ASCII, and Latin letters and signs.
 ODD = re.compile("[^ \t\n\r!-~\xa1-\u024f]")
 PLAIN_SPACE = re.compile(r"[ \t\n\r]+")
-#: A full stop or comma that ends a word.
-WORD_END = re.compile("(?<=[a-z\xdf-\xf6\xf8-\u024f])([.,])(?=[ \t\n\r]|$)")
-
-
-class WordIds(dict):
-    """Ids of chunks of text as little-endian 32-bit bytes; those not held yet are encoded."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.asarray(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < MEMO_WORDS:
-            self[chunk] = ids
-        return ids
 
 
 class WordTokenizer:
-    """Ids of whole texts, one white-space chunk at a time.
+    """Ids of whole texts as little-endian 32-bit bytes, one white-space chunk at a time.
 
     The tokenizer lower-cases, cuts at white space and between letters and other
-    signs before anything else, so a text's ids are those of its chunks. Texts of
-    Latin letters, for which Python lower-cases alike, are lower-cased first and
-    their words cut from a last stop or comma: fewer different chunks.
+    signs before anything else, so a text's ids are those of its chunks, and a
+    chunk's that ends in a letter and a stop or comma are those of its word and
+    of the sign. Texts of Latin letters, for which Python lower-cases alike, are
+    lower-cased first. Chunks met before are looked up.
     """
 
     def __init__(self, path: str):
-        self.chunks = WordIds(path)
+        from tokenizers import Tokenizer
 
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        parts = PLAIN_SPACE.split(text) if ODD.search(text) else WORD_END.sub(r" \1", text.lower()).split()
-        return b"".join(map(self.chunks.__getitem__, parts))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.held: dict[str, bytes] = {}
+        self.learn({".", ","})
+
+    def learn(self, chunks: set[str]) -> None:
+        """Hold the ids of chunks that are not held."""
+        ended = {w for w in chunks if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and w[-2] < "\u0250"}
+        plain = [w for w in (chunks - ended) | {w[:-1] for w in ended} if w not in self.held]
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.held[w] = np.array(e.ids, "<u4").tobytes()
+        for w in ended:
+            self.held[w] = self.held[w[:-1]] + self.held[w[-1]]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        parts = [(PLAIN_SPACE.split(t) if ODD.search(t) else t.lower().split()) if t else [] for t in texts]
+        if len(self.held) > 2 * MEMO_WORDS:
+            self.held = dict(islice(self.held.items(), MEMO_WORDS))  # the first it met: mostly the common ones
+        self.learn(set().union(*parts).difference(self.held))
+        return [b"".join(map(self.held.__getitem__, ws)) for ws in parts]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -88,8 +88,8 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             for at in range(0, len(frame), 256):
                 part = frame.iloc[at : at + 256]
                 out = []
-                for doc, text in zip(part["doc_id"], part["text"], strict=True):
-                    raw = own.ids(text if isinstance(text, str) else None) + end
+                for doc, raw in zip(part["doc_id"], own.ids([t if isinstance(t, str) else None for t in part["text"]]), strict=True):
+                    raw += end
                     n = len(raw) // 4
                     for s in range(0, n, capacity):
                         e = min(n, s + capacity)
