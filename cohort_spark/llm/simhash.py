@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints, exact radius search, connected components.
+"""SimHash near-duplicates: fingerprints, exact radius search, connected components; near-dedup by Jaccard similarity.
 
 The search is exact for any radius. Fingerprints are cut into blocks; a pair
 within the radius agrees on some set of whole blocks, so pairs meet in the
@@ -6,6 +6,10 @@ buckets of one of a fixed number of tables. Inside a bucket the fingerprints are
 compared bit-sliced: bit planes hold 64 fingerprints a word, carry-save counters
 add up 64 distances at a time, and a block of rows is abandoned once every
 counter has run over.
+
+Near-dedup judges pairs by the Jaccard similarity of their shingles. There
+fingerprints only give the first pairs; a prefix filter over the shingles, which
+loses no pair, gives all others.
 """
 
 from __future__ import annotations
@@ -15,17 +19,28 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import Own, checked_broadcast, discard, saved, split_words, text_batches
+from pyspark.sql import types as T
+
+from cohort_spark.llm.common import Own, WordHasher, checked_broadcast, discard, rolled, saved, split_words, text_batches, text_slices
 
 #: Most fingerprints of one bucket that one task compares with as many others.
 BLOCK = 2048
 #: (blocks, blocks that agree) for each radius: blocks - agreeing >= radius.
-TABLES = {0: (1, 1), 1: (3, 2), 2: (4, 2), 3: (5, 2), 4: (6, 2), 5: (7, 2), 6: (8, 2), 7: (9, 2), 8: (10, 2)}
+TABLES = {0: (1, 1)} | {r: (r + 2, 2) for r in range(1, 63)} | {63: (64, 1), 64: (1, 0)}
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bits within which near-dedup takes its first pairs if no radius is asked for.
+NEAR = 6
+#: Shingles are ordered by how often they occur in about so many texts, counted in so many buckets.
+SAMPLED_TEXTS, COUNTS = 5_000, 1 << 19
+#: Rounds that compare each bucket with one of its texts, while over so many pairs a row are left.
+STARS, PAIRS_A_ROW = 5, 4
+
+_HASHER = WordHasher(0x100000001B3)
 
 
 def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -261,16 +276,83 @@ def shingle_set(text: str | None, words: int = 5) -> bytes:
     return np.unique(h).tobytes()
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def shingle_hashes(column, words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, its distinct shingles as sorted hashes) of an Arrow string column; equal shingles have equal hashes."""
+    for first, data, cuts in text_slices(column):
+        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        hashes, of = _HASHER.words(data, cuts)
+        bounds, runs = np.searchsorted(of, np.arange(len(cuts))), rolled(hashes, words)
+        for i in range(len(cuts) - 1):
+            a, b = bounds[i], bounds[i + 1]
+            if b - a >= words:
+                yield first + i, np.unique(runs[a : b - words + 1])
+            else:  # one shingle
+                yield first + i, rolled(hashes[a:b], b - a) if b > a else np.zeros(1, np.uint64)
+
+
+def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
+    """How many of ``texts`` (one column) have a shingle in each of ``COUNTS`` hash buckets, 65535 at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(COUNTS, np.int64)
+        for batch in batches:
+            for _, h in shingle_hashes(batch.column(0), words):
+                np.add.at(own, (h % np.uint64(COUNTS)).astype(np.int64), 1)
+        at = np.flatnonzero(own)
+        for i in range(0, len(at), 50_000):
+            part = at[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own[part])], ["at", "n"])
+
+    out = np.zeros(COUNTS, np.uint16)
+    found = texts.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out[found["at"].to_numpy()] = np.minimum(found["n"].to_numpy(), 65535)
+    return out
+
+
+def prefixes(rows: DataFrame, counts: np.ndarray, words: int, similarity: float) -> DataFrame:
+    """(same, id, n, prefix) of ``rows`` (same, id, text): its n shingles' first n - ceil(similarity n) + 1.
+
+    All texts order their shingles alike, rare ones first. Two texts of at least
+    this Jaccard similarity have at least ceil(similarity n) of either's shingles
+    in common, so their prefixes share a shingle, in whatever order.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, lists = [], []
+            for _, h in shingle_hashes(batch.column("text"), words):
+                order = np.lexsort((h, counts[(h % np.uint64(COUNTS)).astype(np.int64)]))
+                sizes.append(len(h))
+                lists.append(h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]])
+            if sizes:
+                offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("same"), batch.column("id"), pa.array(sizes, pa.int32()), found], ["same", "id", "n", "prefix"])
+
+    kinds = T.StructType([*rows.select("same", "id").schema, T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    return rows.mapInArrow(cut, kinds)
+
+
+def may_be_similar(similarity: float) -> F.Column:
+    """Whether rows a and b of one bucket (n, pos) can reach the similarity, by sizes and by the shingles before and after this one."""
+    n, m = F.col("a.n"), F.col("b.n")
+    common = F.least("a.pos", "b.pos") + F.least(n - F.col("a.pos"), m - F.col("b.pos"))
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (common >= similarity / (1 + similarity) * (n + m) - 1e-6)
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = 6, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: one of each text, and of a group of near-duplicates the smallest id.
 
-    Candidates are pairs of texts whose SimHash fingerprints differ in at most
-    ``radius`` bits, found without loss bucket by bucket; each text meets its
-    nearest and its smallest neighbour there. A pair links if the Jaccard
-    similarity of the texts' sets of ``words``-word shingles (A-Z lower-cased) is
-    at least ``similarity``. Groups are the components of links. As the smallest
-    and nearest neighbours change when texts go, what stays is searched again
-    until no pair links any more.
+    A pair links if the Jaccard similarity of the texts' sets of ``words``-word
+    shingles (A-Z lower-cased) is at least ``similarity``, and, unless ``radius``
+    is None, their SimHash fingerprints differ in at most so many bits. Groups
+    are the components of all such links. First each text is judged with its
+    nearest and its smallest neighbour by SimHash, which joins most of a dense
+    group. Then texts meet in the buckets of their ``prefixes``, where
+    every pair of enough similarity meets: while many pairs are left, each bucket
+    is judged against one of its texts; in the end all pairs that share a bucket
+    and are not in one group yet. So no pair is missed, and a dense group need
+    not give all its pairs.
 
     Null and empty texts count as one text. Null ids come after all others;
     of rows equal in id and text one stays.
@@ -279,9 +361,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_, text = own[id_col], own[text_col]
     rows = own.frame.withColumn("_same", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)))
     prints = with_fingerprint(rows, text, "_fp").select(F.col("_same").alias("same"), F.col(id_).alias("id"), F.col("_fp").alias("fp"))
-    ids = saved(prints, "prints").groupBy("same", "id").agg(F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"))
+    prints = saved(prints, "prints")
+    ids = prints.groupBy("same", "id").agg(F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "same", "n")
-    texts = saved(ids.groupBy("same").agg(F.min(order).alias("ord"), F.first("fp").alias("fp")), "texts")
+    texts = ids.groupBy("same").agg(F.min(order).alias("ord"), F.first("fp").alias("fp"))
+    texts = saved(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    discard(prints)
 
     @F.pandas_udf("binary")
     def sets(texts: pd.Series) -> pd.Series:
@@ -296,33 +381,79 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append(common >= similarity * (len(x) + len(y) - common))
         return pd.Series(out, dtype=bool)
 
-    alive, shingled, gone = texts, None, None
-    while True:
-        leads = alive.groupBy("fp").agg(F.min("same").alias("lead"))
-        twins = alive.join(leads, "fp").where("same <> lead").select(F.col("lead").alias("x"), F.col("same").alias("y"))
-        ends = near_pairs(leads.select("fp"), radius)
-        ends = ends.join(leads.toDF("a", "x"), "a").join(leads.toDF("b", "y"), "b").select("x", "y")
-        pairs = saved(twins.union(ends), "pairs")
+    judged, links = [], []
+
+    def judge(pairs: DataFrame) -> bool:
+        """Whether new pairs (x, y) link; they and their links are kept."""
+        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        for before in judged:
+            pairs = pairs.join(before, ["x", "y"], "left_anti")
+        judged.append(pairs := saved(pairs, "pairs"))
         if pairs.isEmpty():
+            return False
+        met = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+        wanted = checked_broadcast(met.join(texts, "node").select(F.col("same").alias("_s"), F.col("ord.id").alias("_id"), "node", "fp"))
+        one = rows.join(wanted, (F.col("_same") == F.col("_s")) & F.col(id_).eqNullSafe(F.col("_id")))
+        shingled = saved(one.select("node", "fp", text).dropDuplicates(["node"]).select("node", "fp", sets(text).alias("set")), "sets")
+        both = pairs.join(shingled.toDF("x", "fp_x", "set_x"), "x").join(shingled.toDF("y", "fp_y", "set_y"), "y")
+        if radius is not None:
+            both = both.where(F.bit_count(F.col("fp_x").bitwiseXOR(F.col("fp_y"))) <= radius)
+        both = both.where(alike("set_x", "set_y"))
+        links.append(saved(both.select(F.col("x").alias("a"), F.col("y").alias("b")), "links"))
+        discard(shingled)
+        return not links[-1].isEmpty()
+
+    def groups() -> DataFrame:
+        every = links[0]
+        for more in links[1:]:
+            every = every.union(more)
+        return components(every)
+
+    leads = texts.groupBy("fp").agg(F.min("node").alias("lead"))
+    twins = texts.join(leads, "fp").where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
+    ends = near_pairs(leads.select("fp"), NEAR if radius is None else radius)
+    judge(twins.union(ends.join(leads.toDF("a", "x"), "a").join(leads.toDF("b", "y"), "b").select("x", "y")))
+
+    named = rows.select(F.col("_same").alias("same"), F.col(id_).alias("id"), F.col(text).alias("text"))
+    share = min(1.0, SAMPLED_TEXTS / max(1, texts.count()))
+    sample = named.where(F.pmod(F.xxhash64("same"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
+    cut = prefixes(named, shingle_counts(sample, words), words, similarity)
+    which = texts.select(F.col("same").alias("_s"), F.col("ord.id").alias("_id"), "node")
+    cut = cut.join(checked_broadcast(which), (F.col("same") == F.col("_s")) & F.col("id").eqNullSafe(F.col("_id")))
+    every = saved(cut.select("node", "n", "prefix"), "prefixes")
+    shared = every.select("node", F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    at = every.select("node", "n", F.posexplode("prefix").alias("pos", "h")).join(checked_broadcast(saved(shared, "shared")), "h")
+    buckets_ = saved(at.select("h", "node", "n", "pos").distinct(), "buckets")
+    discard(every)
+
+    turn, last = 0, False
+    while not last:
+        if links:
+            at = buckets_.join(groups().toDF("node", "root"), "node", "left").withColumn("c", F.coalesce("root", "node"))
+        else:
+            at = buckets_.withColumn("c", F.col("node"))
+        at = saved(at.select("h", "node", "n", "pos", "c"), "grouped")
+        sizes = at.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("r"), "node", "n", "pos", "c")).alias("lead"))
+        open_ = sizes.groupBy("h").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count(F.lit(1)).alias("groups"), F.min("lead").alias("lead")).where("groups > 1")
+        open_ = saved(open_, "open")
+        left = open_.agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs")).first()
+        if not left.rows:
             break
-        met = pairs.select(F.col("x").alias("same")).union(pairs.select("y")).distinct()
-        if shingled is None:
-            wanted = checked_broadcast(met.join(texts, "same").select(F.col("same").alias("_s"), F.col("ord.id").alias("_id")))
-            one = rows.join(wanted, (F.col("_same") == F.col("_s")) & F.col(id_).eqNullSafe(F.col("_id")))
-            shingled = saved(one.select("_same", text).dropDuplicates(["_same"]).select(F.col("_same").alias("same"), sets(text).alias("set")), "sets")
-        judged = pairs.join(shingled.toDF("x", "set_x"), "x").join(shingled.toDF("y", "set_y"), "y").where(alike("set_x", "set_y"))
-        links = saved(judged.select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
-        if links.isEmpty():
-            break
-        grouped = components(links).join(alive.select(F.col("same").alias("node"), "ord"), "node")
+        members = at.join(open_.select("h"), "h").alias("b")
+        last = turn >= STARS or left.pairs <= PAIRS_A_ROW * left.rows
+        others = members.select("*").alias("a") if last else open_.select("h", "lead.*").alias("a")
+        apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.c") != F.col("b.c")) & may_be_similar(similarity)
+        pairs = others.join(members, apart & (F.col("a.node") < F.col("b.node")) if last else apart)
+        linked = judge(pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")))
+        turn = turn + 1 if linked else STARS
+        discard(at, open_)
+    stays = texts
+    if links:
+        grouped = groups().join(texts.select("node", "ord"), "node")
         first = grouped.groupBy("root").agg(F.min("ord").alias("first"))
-        left = saved(grouped.join(first, "root").where("ord <> first").select(F.col("node").alias("same")), "gone")
-        gone = left if gone is None else gone.union(left)
-        alive = saved(alive.join(met, "same", "left_semi").join(left, "same", "left_anti"), "alive")
-        discard(pairs, links)
-    stays = texts if gone is None else texts.join(gone, "same", "left_anti")
+        gone = saved(grouped.join(first, "root").where("ord <> first").select("node"), "gone")
+        stays = texts.join(gone, "node", "left_anti")
     stays = saved(stays.select(F.col("same").alias("_s"), F.col("ord.id").alias("_id"), F.col("ord.n").alias("_n")), "stays")
-    discard(shingled)
     kept = rows.join(checked_broadcast(stays), (F.col("_same") == F.col("_s")) & F.col(id_).eqNullSafe(F.col("_id")))
     if stays.where("_n > 1").isEmpty():
         return own.restored(kept)

@@ -224,6 +224,35 @@ def test_near_dedup_of_a_chain_and_a_dense_group(spark):
     assert ids == [0, *range(100, 140)]
 
 
+def by_jaccard(rows):
+    """Ids that stay if all pairs of at least 0.8 link, whatever their fingerprints."""
+    shingles = lambda t: {tuple((t or "").lower().split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))}
+    sets = [shingles(t) for _, t, _ in rows]
+    comp = brute_components(list(range(len(rows))), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    return sorted({min(rows[j][0] for j, d in comp.items() if d == c) for c in set(comp.values())})
+
+
+@pytest.mark.parametrize("stars", [5, 0])
+def test_near_dedup_finds_pairs_beyond_the_radius(spark, stars, monkeypatch):
+    monkeypatch.setattr(simhash, "STARS", stars)
+    monkeypatch.setattr(simhash, "PAIRS_A_ROW", 0)
+    rng = random.Random(12)
+    rows, far = [], 0
+    for i in range(0, 300, 3):
+        words = prose(rng, rng.randrange(40, 120), 5000).split()
+        rows.append((i, " ".join(words), "s"))
+        for j in (1, 2):
+            own = list(words)
+            for _ in range(rng.randrange(1, 4)):
+                own[rng.randrange(len(own))] = f"x{rng.random()}"
+            rows.append((i + j, " ".join(own), "s"))
+            far += (brute_simhash(rows[i][1]) ^ brute_simhash(rows[i + j][1])).bit_count() > 6
+    rows += [(400, "", "s"), (401, " ", "s"), (402, "A b", "s"), (403, "a  B", "s"), (404, "a b c", "s")]
+    assert far > 20
+    kept = sorted(r.doc_id for r in simhash.deduplicated(frame(spark, rows), radius=None).collect())
+    assert kept == by_jaccard(rows)
+
+
 # -- substring -----------------------------------------------------------------
 
 
