@@ -205,7 +205,9 @@ def near_pairs(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     """Candidate pairs (a, b): each fingerprint with its smallest and its nearest neighbour in every bucket.
 
     All are within ``radius`` bits. A bucket of n gives at most 2 n pairs. The
-    smallest neighbour is the same in all buckets of a dense group.
+    smallest neighbour is the same in all buckets of a dense group. Other pairs
+    are left out, so near-dedup takes these as a start only and finds the rest by
+    ``prefixes``.
     """
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

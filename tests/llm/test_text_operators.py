@@ -253,6 +253,17 @@ def test_near_dedup_finds_pairs_beyond_the_radius(spark, stars, monkeypatch):
     assert kept == by_jaccard(rows)
 
 
+def test_near_dedup_looks_past_the_nearest_and_smallest_neighbour(spark, monkeypatch):
+    rng = random.Random(3)
+    words = prose(rng, 100, 5000).split()
+    near = [*words[:50], "other", *words[51:]]
+    rows = [(1, " ".join(words), "s"), (2, prose(rng, 100, 5000), "s"), (3, " ".join(near), "s")]
+    prints = {1: 1, 2: 0, 3: 2}  # text 2 is nearer to both, and smaller
+    by_text = F.coalesce(*[F.when(F.md5("u1") == hashlib.md5(t.encode()).hexdigest(), F.lit(prints[i]).cast("long")) for i, t, _ in rows])
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda docs, text, name: docs.withColumn(name, by_text))
+    assert sorted(r.doc_id for r in simhash.deduplicated(frame(spark, rows)).collect()) == [1, 2]
+
+
 # -- substring -----------------------------------------------------------------
 
 
