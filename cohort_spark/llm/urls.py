@@ -20,8 +20,6 @@ RULES = (
 SUPPORT, LEAST_URLS = 0.002, 5
 #: It blocks where at least this share of its labelled urls is bad.
 CONFIDENCE = 0.6
-#: Most tokens of a mined combination.
-COMBINED = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,14 +47,14 @@ def tokens_of(host: str, path: str) -> F.Column:
     return F.array_distinct(F.concat(F.transform(labels, lambda s: F.concat(F.lit("h:"), s)), F.transform(segments, lambda s: F.concat(F.lit("p:"), s))))
 
 
-def mined_rules(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST_URLS, confidence: float = CONFIDENCE, combined: int = COMBINED) -> DataFrame:
+def mined_rules(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST_URLS, confidence: float = CONFIDENCE, combined: int | None = None) -> DataFrame:
     """(rule_id, tokens, confidence) of the combinations that mark bad urls.
 
     ``labelled`` has tokens (distinct strings) and bad (boolean). FP-growth runs
     in Spark over the bad urls only: a rule for bad has no other antecedents.
     How often a combination occurs among all labelled urls is counted by the
     inverted index that also serves matching. Those with too small a support or
-    confidence are pruned.
+    confidence are pruned, and those of over ``combined`` tokens if it is given.
     """
     spark = labelled.sparkSession
     n = labelled.count()
@@ -68,7 +66,8 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, least: int = LEAS
         return empty
     need = -(-int(most * confidence * 1e6) // 1_000_000)
     frequent = FPGrowth(itemsCol="tokens", minSupport=max(1, need - 0.5) / m).fit(bad).freqItemsets
-    sets = frequent.where(F.size("items") <= combined).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("hits"))
+    frequent = frequent if combined is None else frequent.where(F.size("items") <= combined)
+    sets = frequent.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("hits"))
     sets = saved(sets.withColumn("rule_id", F.xxhash64("tokens")), "itemsets")
     keyed = labelled.select(F.monotonically_increasing_id().alias("row"), "tokens")
     seen = matches(keyed, sets, "row").groupBy("rule_id").agg(F.count(F.lit(1)).alias("urls"))

@@ -219,6 +219,20 @@ def test_mined_rules_equal_counting(spark):
     assert found == wanted and wanted
 
 
+def test_mined_rules_of_any_length(spark):
+    from itertools import combinations
+
+    every = "abcde"
+    rows = [(list(every), True)] * 8 + [([t for t in every if t != gone], False) for gone in every for _ in range(9)]
+    found = {tuple(r.tokens) for r in urls.mined_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()}
+    wanted = set()
+    for c in (c for k in range(1, 6) for c in combinations(every, k)):
+        hit = [bad for tokens, bad in rows if set(c) <= set(tokens)]
+        if len(hit) >= urls.LEAST_URLS and sum(hit) / len(hit) >= urls.CONFIDENCE:
+            wanted.add(c)
+    assert found == wanted == {tuple(every)}  # every shorter combination is rather in good urls
+
+
 # -- pipeline and queries ------------------------------------------------------
 
 
