@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +36,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark deletes a query's shuffle files as soon as the query has ended, where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of it: lineage ends here."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and return a reader of it: lineage ends here.
+
+    The shuffle files of the write go with it, so a chain of tables needs the
+    disk of one step. They are still there while the write runs, for retries.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
@@ -93,9 +110,20 @@ class Own:
     def __getitem__(self, name: str) -> str:
         return self.named[self.columns.index(name)]
 
-    def restored(self, df: DataFrame, *added: str) -> DataFrame:
-        """The original columns of ``df``, then the added ones."""
-        return df.select(*[F.col(u).alias(c) for u, c in zip(self.named, self.columns, strict=True)], *added)
+    def restored(self, df: DataFrame, added: Mapping[str, F.Column] | None = None) -> DataFrame:
+        """The original columns of ``df``, then the added ones; an added column replaces one of its name."""
+        added = added or {}
+        taken = {name.lower() for name in added}
+        kept = [F.col(u).alias(c) for u, c in zip(self.named, self.columns, strict=True) if c.lower() not in taken]
+        return df.select(*kept, *[column.alias(name) for name, column in added.items()])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -103,6 +131,72 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_slices(data: bytes, most: int = 1 << 22) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of about ``most`` bytes."""
+    at = 0
+    while at < len(data):
+        space = _SPACE.search(data, at + most)
+        end = space.start() if space else len(data)
+        yield data[at:end].split()
+        at = end
+
+
+class WordIds:
+    """128-bit ids of words: two 64-bit halves of their BLAKE2b digests, kept for the words met last."""
+
+    def __init__(self, most: int = 1 << 18):
+        self.most, self.at, self.table = most, {}, np.zeros((2, 0), np.uint64)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """(2, words) array."""
+        out = np.empty((2, len(words)), np.uint64)
+        for i in range(0, len(words), 1 << 16):
+            part = words[i : i + (1 << 16)]
+            fresh = set(part).difference(self.at)
+            if len(self.at) + len(fresh) > self.most:
+                self.at, self.table, fresh = {}, np.zeros((2, 0), np.uint64), set(part)
+            if fresh:
+                names = list(fresh)
+                digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in names)
+                self.at.update(zip(names, range(len(self.at), len(self.at) + len(names)), strict=True))
+                self.table = np.concatenate([self.table, np.frombuffer(digests, "<u8").reshape(-1, 2).T], axis=1)
+            out[:, i : i + len(part)] = self.table[:, np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))]
+        return out
+
+
+def word_runs(column, ids: WordIds, lower: bool = False, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """An Arrow string column in slices of about ``most`` bytes: (first row, ids of all words, bounds of each row's words).
+
+    ``bounds`` has one entry more than the slice has rows. A null text has no
+    words; ``lower`` lower-cases A-Z first.
+    """
+    first, size, words, runs, bounds = 0, 0, [], [], [0]
+
+    def slice_() -> tuple[int, np.ndarray, np.ndarray]:
+        runs.append(ids(words))
+        return first, np.concatenate(runs, axis=1), np.array(bounds)
+
+    for row, data in enumerate(column.cast("binary").to_pylist()):
+        data = (data.lower() if lower else data) if data else b""
+        before = bounds[-1]
+        for part in word_slices(data):
+            words += part
+            before += len(part)
+            if len(words) > 1 << 20:
+                runs.append(ids(words))
+                words = []
+        bounds.append(before)
+        size += len(data)
+        if size >= most:
+            yield slice_()
+            first, size, words, runs, bounds = row + 1, 0, [], [], [0]
+    if len(bounds) > 1:
+        yield slice_()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that low and high bits are alike random."""
     x = x ^ (x >> np.uint64(32))
@@ -112,46 +206,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHasher:
-    """64-bit hashes of all words of a run of texts at once, by polynomial prefix sums.
-
-    ``base`` is odd, hence invertible modulo 2**64, so that a word's hash is its
-    prefix-sum difference shifted back by the inverse power of its start.
-    """
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self._up = self._down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self._up) < n:
-            with np.errstate(over="ignore"):
-                step = np.full(n, self.base, np.uint64)
-                back = np.full(n, self.inverse, np.uint64)
-                step[0] = back[0] = 1
-                self._up, self._down = np.multiply.accumulate(step), np.multiply.accumulate(back)
-
-    def words(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each word, number of the text it is in); ``cuts`` bound the texts in ``data``."""
-        n = len(data)
-        space = (data == 32) | ((data >= 9) & (data <= 13))
-        # a text's end also ends a word: look at starts and ends with the cuts marked
-        before = np.ones(n + 1, bool)
-        before[1:] = space
-        before[cuts] = True
-        starts = np.flatnonzero(~space & before[:-1])
-        after = np.ones(n + 1, bool)
-        after[:-1] = space
-        after[cuts] = True
-        ends = np.flatnonzero(~space & after[1:]) + 1
-        self._powers(n + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._up[:n], out=sums[1:])
-            hashes = mixed((sums[ends] - sums[starts]) * self._down[starts])
-        return hashes, np.searchsorted(cuts, starts, side="right") - 1
-
-
 def rolled(words: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Hash of each run of ``k`` consecutive entries."""
     n = len(words) - k + 1
@@ -162,26 +216,3 @@ def rolled(words: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndar
         for j in range(k):
             h = h * np.uint64(base) + words[j : j + n]
         return mixed(h)
-
-
-def text_slices(column, most: int = 1 << 19):
-    """Slices of an Arrow string column of about ``most`` bytes: (first row, bytes, cuts).
-
-    ``cuts`` has one entry more than the slice has rows. A null text is empty.
-    """
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    n = len(column)
-    if not n:
-        return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-    first = 0
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
-        yield first, data[offsets[first] : offsets[last]], (offsets[first : last + 1] - offsets[first])
-        first = last

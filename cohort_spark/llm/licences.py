@@ -109,7 +109,7 @@ def licensed_files(files: DataFrame, path_col: str = "path", text_col: str = "te
     mine = F.col("_own").isNotNull()
     origin = F.when(mine, "notice").when(F.col("_declared").isNotNull(), "directory")
     licence = F.struct(F.coalesce("_own", "_declared").alias("name"), origin.alias("origin"), F.col("_score").alias("score"), F.when(~mine, F.col("_from")).alias("directory"))
-    return own_names.restored(out.withColumn("_licence", licence), "_licence")
+    return own_names.restored(out, {"_licence": licence})
 
 
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

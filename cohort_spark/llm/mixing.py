@@ -77,7 +77,7 @@ def mixed_documents(
     rows = own.frame.join(rates, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_count", F.when(F.col("_rate") > 0, drawn).otherwise(0))
     copies = rows.where("_count > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
     shuffled = copies.withColumn("_shuffle", F.md5(F.concat_ws(":", F.lit(f"{seed}s"), key, F.col("_copy").cast("string"))))
-    return own.restored(shuffled.drop("_source", "_draws", "_table", "_count").orderBy("_shuffle", own[id_col]), "_rate", "_copy", "_shuffle")
+    return own.restored(shuffled.drop("_source", "_draws", "_table", "_count").orderBy("_shuffle", own[id_col]), {c: F.col(c) for c in ("_rate", "_copy", "_shuffle")})
 
 
 #: The query's target weights; every other source has weight 1.

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from cohort_spark.llm.common import Own, WordHasher, checked_broadcast, discard, rolled, saved, split_words, text_batches, text_slices
+from cohort_spark.llm.common import Own, WordIds, checked_broadcast, discard, rolled, saved, split_words, text_batches, word_runs
 
 #: Most fingerprints of one bucket that one task compares with as many others.
 BLOCK = 2048
@@ -40,7 +40,7 @@ SAMPLED_TEXTS, COUNTS = 5_000, 1 << 19
 #: Rounds that compare each bucket with one of its texts, while over so many pairs a row are left.
 STARS, PAIRS_A_ROW = 5, 4
 
-_HASHER = WordHasher(0x100000001B3)
+_IDS = WordIds()
 
 
 def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -280,16 +280,14 @@ def shingle_set(text: str | None, words: int = 5) -> bytes:
 
 def shingle_hashes(column, words: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, its distinct shingles as sorted hashes) of an Arrow string column; equal shingles have equal hashes."""
-    for first, data, cuts in text_slices(column):
-        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-        hashes, of = _HASHER.words(data, cuts)
-        bounds, runs = np.searchsorted(of, np.arange(len(cuts))), rolled(hashes, words)
-        for i in range(len(cuts) - 1):
+    for first, ids, bounds in word_runs(column, _IDS, lower=True):
+        runs = rolled(ids[0], words)
+        for i in range(len(bounds) - 1):
             a, b = bounds[i], bounds[i + 1]
             if b - a >= words:
                 yield first + i, np.unique(runs[a : b - words + 1])
             else:  # one shingle
-                yield first + i, rolled(hashes[a:b], b - a) if b > a else np.zeros(1, np.uint64)
+                yield first + i, rolled(ids[0][a:b], b - a) if b > a else np.zeros(1, np.uint64)
 
 
 def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:

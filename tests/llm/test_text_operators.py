@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -51,13 +52,25 @@ def test_words_are_those_of_the_pattern(texts):
         assert [w.decode() for w in common.split_words(t)] == WORD.findall(t or "")
 
 
-def test_hashed_words_equal_iff_words_equal(texts):
-    data = [(t or "").encode() for _, t, _ in texts]
-    cuts = np.cumsum([0, *map(len, data)])
-    hashes, of = common.WordHasher(0x100000001B3).words(np.frombuffer(b"".join(data), np.uint8), cuts)
-    words = [(k, w) for k, (_, t, _) in enumerate(texts) for w in WORD.findall(t or "")]
-    assert of.tolist() == [k for k, _ in words]
-    assert len(set(zip([w for _, w in words], hashes.tolist()))) == len({w for _, w in words}) == len(set(hashes.tolist()))
+def thue_morse(flip):
+    """1024 letters whose polynomial hashes agree for both values of ``flip``, modulo any power of two up to 64."""
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(1024))
+
+
+def test_word_ids_equal_iff_words_equal(texts):
+    column = pa.array([*[t for _, t, _ in texts], f"{thue_morse(0)} {thue_morse(1)}"])
+    words = [WORD.findall(t or "") for t in column.to_pylist()]
+    for most in (1 << 19, 100):
+        own = common.WordIds(1000)
+        found = [[tuple(x) for x in ids[:, a:b].T.tolist()] for _, ids, bounds in common.word_runs(column, own, most=most) for a, b in zip(bounds[:-1], bounds[1:])]
+        assert [len(x) for x in found] == [len(x) for x in words]
+        by_word = set(zip([w for ws in words for w in ws], [x for xs in found for x in xs]))
+        assert len(by_word) == len({w for w, _ in by_word}) == len({x[0] for _, x in by_word}) == len({x[1] for _, x in by_word})
+
+
+def test_long_texts_are_cut_between_words():
+    data = ("ab  é\n" * 1000).encode()
+    assert [w for part in common.word_slices(data, 7) for w in part] == data.split()
 
 
 # -- quality -------------------------------------------------------------------
@@ -284,15 +297,57 @@ def brute_substring(rows, k=13):
     return Counter(out)
 
 
-@pytest.mark.parametrize("entries", [None, 0])
-def test_substring(spark, texts, entries, monkeypatch):
-    if entries is not None:  # the ways for sides too large to broadcast
-        monkeypatch.setattr(substring, "BROADCAST_ENTRIES", entries)
-    docs = frame(spark, texts)
+def check_substring(spark, rows):
+    docs = frame(spark, rows)
     out = substring.deduplicated(docs)
     assert out.columns == [*docs.columns, "_dedup"]
     found = Counter((r.doc_id, r._dedup.n_words, r._dedup.n_removed, r._dedup.kept_sha256) for r in out.collect())
-    assert found == brute_substring(texts)
+    assert found == brute_substring(rows)
+
+
+def test_substring(spark, texts):
+    check_substring(spark, texts)
+
+
+def test_substring_where_paths_branch(spark):
+    """Passages that share parts, follow one another in several orders, and repeat within a text."""
+    rng = random.Random(8)
+    parts = [prose(rng, rng.randrange(5, 40), 5000) for _ in range(8)]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))), "s") for i in rng.sample(range(1000), 60)]
+    rows += [(2000 + i, " ".join(["again"] * rng.randrange(10, 60)), "s") for i in range(5)]
+    check_substring(spark, rows)
+
+
+def test_substring_where_many_rows_have_no_id(spark):
+    rng = random.Random(9)
+    passage = prose(rng, 60, 5000)
+    rows = [(None, f"{prose(rng, 20, 5000)} {passage}", "s") for _ in range(200)] + [(None, passage, "s")] * 50
+    rows += [(7, f"{passage} {prose(rng, 20, 5000)}", "s"), (None, None, "s"), (None, "", "s")]
+    check_substring(spark, rows)
+    check_substring(spark, [r for r in rows if r[0] is None])  # none has an id: none yields
+
+
+def test_substring_tells_words_of_equal_polynomial_hashes_apart(spark):
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{thue_morse(0)} {tail}", "s"), (2, f"{thue_morse(1)} {tail}", "s"), (3, f"{thue_morse(1)} {tail}!", "s")]
+    check_substring(spark, rows)
+    assert {r._dedup.n_removed for r in substring.deduplicated(frame(spark, rows)).collect()} == {0}
+
+
+def test_substring_removes_nothing_unverified(spark, monkeypatch):
+    """Were two windows' keys equal, their words would still differ."""
+    monkeypatch.setattr(substring, "rolled", lambda words, k, base=3: np.full(max(0, len(words) - k + 1), 5, np.uint64))
+    monkeypatch.setattr(substring, "_minimizers", lambda words, k, run: np.full(max(0, len(words) - k + 1), 7, np.uint64))
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 13, 5000), "s") for i in range(4)]
+    assert {r._dedup.n_removed for r in substring.deduplicated(frame(spark, rows)).collect()} == {0}
+
+
+def test_substring_replaces_a_column_of_its_name(spark):
+    docs = frame(spark, [(1, "a b", "s")]).withColumn("_dedup", F.lit(1))
+    out = substring.deduplicated(docs)
+    assert out.columns == docs.columns and out.first()._dedup.n_words == 2
+    assert substring.deduplicated(docs, name="cut").columns == [*docs.columns, "cut"]
 
 
 def test_substring_of_nothing(spark):
