@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,30 +144,21 @@ def word_slices(data: bytes, most: int = 1 << 22) -> Iterator[list[bytes]]:
         at = end
 
 
-class WordIds:
-    """128-bit ids of words: two 64-bit halves of their BLAKE2b digests, kept for the words met last."""
+#: Fixed keys of the two halves of a word's id.
+HASH_KEYS = ("corpus words one", "corpus words two")
 
-    def __init__(self, most: int = 1 << 18):
-        self.most, self.at, self.table = most, {}, np.zeros((2, 0), np.uint64)
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        """(2, words) array."""
-        out = np.empty((2, len(words)), np.uint64)
-        for i in range(0, len(words), 1 << 16):
-            part = words[i : i + (1 << 16)]
-            fresh = set(part).difference(self.at)
-            if len(self.at) + len(fresh) > self.most:
-                self.at, self.table, fresh = {}, np.zeros((2, 0), np.uint64), set(part)
-            if fresh:
-                names = list(fresh)
-                digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in names)
-                self.at.update(zip(names, range(len(self.at), len(self.at) + len(names)), strict=True))
-                self.table = np.concatenate([self.table, np.frombuffer(digests, "<u8").reshape(-1, 2).T], axis=1)
-            out[:, i : i + len(part)] = self.table[:, np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))]
-        return out
+def word_ids(words: list[bytes]) -> np.ndarray:
+    """(2, words) array: 128-bit ids of words, two keyed SipHash values each."""
+    out = np.empty((2, len(words)), np.uint64)
+    for i in range(0, len(words), 1 << 16):
+        part = np.array(words[i : i + (1 << 16)], object)
+        for half, key in enumerate(HASH_KEYS):
+            out[half, i : i + len(part)] = pd.util.hash_array(part, hash_key=key, categorize=False)
+    return out
 
 
-def word_runs(column, ids: WordIds, lower: bool = False, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_runs(column, lower: bool = False, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """An Arrow string column in slices of about ``most`` bytes: (first row, ids of all words, bounds of each row's words).
 
     ``bounds`` has one entry more than the slice has rows. A null text has no
@@ -176,7 +167,7 @@ def word_runs(column, ids: WordIds, lower: bool = False, most: int = 1 << 19) ->
     first, size, words, runs, bounds = 0, 0, [], [], [0]
 
     def slice_() -> tuple[int, np.ndarray, np.ndarray]:
-        runs.append(ids(words))
+        runs.append(word_ids(words))
         return first, np.concatenate(runs, axis=1), np.array(bounds)
 
     for row, data in enumerate(column.cast("binary").to_pylist()):
@@ -186,7 +177,7 @@ def word_runs(column, ids: WordIds, lower: bool = False, most: int = 1 << 19) ->
             words += part
             before += len(part)
             if len(words) > 1 << 20:
-                runs.append(ids(words))
+                runs.append(word_ids(words))
                 words = []
         bounds.append(before)
         size += len(data)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from cohort_spark.llm.common import Own, WordIds, checked_broadcast, discard, rolled, saved, split_words, text_batches, word_runs
+from cohort_spark.llm.common import Own, checked_broadcast, discard, rolled, saved, split_words, text_batches, word_runs
 
 #: Most fingerprints of one bucket that one task compares with as many others.
 BLOCK = 2048
@@ -40,8 +40,6 @@ SAMPLED_TEXTS, COUNTS = 5_000, 1 << 19
 #: Rounds that compare each bucket with one of its texts, while over so many pairs a row are left.
 STARS, PAIRS_A_ROW = 5, 4
 
-_IDS = WordIds()
-
 
 def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
     """Unsigned fingerprint of one text: bit set where over half the shingle hashes set it."""
@@ -280,7 +278,7 @@ def shingle_set(text: str | None, words: int = 5) -> bytes:
 
 def shingle_hashes(column, words: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, its distinct shingles as sorted hashes) of an Arrow string column; equal shingles have equal hashes."""
-    for first, ids, bounds in word_runs(column, _IDS, lower=True):
+    for first, ids, bounds in word_runs(column, lower=True):
         runs = rolled(ids[0], words)
         for i in range(len(bounds) - 1):
             a, b = bounds[i], bounds[i + 1]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohort_spark.llm.common import Own, WordIds, discard, rolled, saved, split_words, text_batches, word_runs, word_slices
+from cohort_spark.llm.common import Own, discard, rolled, saved, split_words, text_batches, word_runs, word_slices
 
 #: Words of a window.
 WINDOW = 13
@@ -39,8 +39,6 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Rows of an Arrow batch of edges.
 EDGES_AT_ONCE = 50_000
 
-_IDS = WordIds()
-
 
 def _minimizers(words: np.ndarray, k: int, run: int) -> np.ndarray:
     """For each window of ``k`` words its smallest hash of ``run`` words."""
@@ -63,7 +61,7 @@ def anchors(docs: DataFrame, k: int = WINDOW, run: int = RUN) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, words, bounds in word_runs(batch.column("text"), _IDS):
+            for first, words, bounds in word_runs(batch.column("text")):
                 n, low = len(bounds) - 1, _minimizers(words[0], k, run)
                 lists = [np.unique(low[a : max(a, b - k + 1)]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc").slice(first, n), batch.column("same").slice(first, n), _listed(lists)], ["doc", "same", "anchors"])
@@ -83,7 +81,7 @@ def edges(candidates: DataFrame, k: int = WINDOW, run: int = RUN) -> DataFrame:
         names = ["h1", "h2", "after", "before", "place", "pos", "doc"]
         for batch in batches:
             nodes, docs, hot = (batch.column(c) for c in ("node", "doc", "hot"))
-            for first, words, bounds in word_runs(batch.column("text"), _IDS):
+            for first, words, bounds in word_runs(batch.column("text")):
                 low, parts = _minimizers(words[0], k, run), []
                 h1, h2 = rolled(words[0], k, BASES[0]), rolled(words[1], k, BASES[1])
                 for i in range(len(bounds) - 1):

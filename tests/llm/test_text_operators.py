@@ -61,8 +61,7 @@ def test_word_ids_equal_iff_words_equal(texts):
     column = pa.array([*[t for _, t, _ in texts], f"{thue_morse(0)} {thue_morse(1)}"])
     words = [WORD.findall(t or "") for t in column.to_pylist()]
     for most in (1 << 19, 100):
-        own = common.WordIds(1000)
-        found = [[tuple(x) for x in ids[:, a:b].T.tolist()] for _, ids, bounds in common.word_runs(column, own, most=most) for a, b in zip(bounds[:-1], bounds[1:])]
+        found = [[tuple(x) for x in ids[:, a:b].T.tolist()] for _, ids, bounds in common.word_runs(column, most=most) for a, b in zip(bounds[:-1], bounds[1:])]
         assert [len(x) for x in found] == [len(x) for x in words]
         by_word = set(zip([w for ws in words for w in ws], [x for xs in found for x in xs]))
         assert len(by_word) == len({w for w, _ in by_word}) == len({x[0] for _, x in by_word}) == len({x[1] for _, x in by_word})
