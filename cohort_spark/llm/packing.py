@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import json
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +18,27 @@ from cohort_spark.llm.common import saved, text_batches
 
 CAPACITY = 2048
 END_ID = 1
-#: Buckets in which each length is ranked, so that no task ranks all pieces of a length.
-RANK_BUCKETS = 256
-#: Chunks kept with their ids by each Python worker, once it holds twice as many: the first that it met.
-MEMO_WORDS = 350_000
+#: Pieces of a length that one task ranks, about.
+RANK_ROWS = 50_000
+#: Bytes, about, of the chunks that a Python worker holds with their ids; it then goes back to half, the first it met.
+MEMO_BYTES = 64 << 20
+#: Characters that are cut and looked up at once; ids of one batch that leave a task.
+CHARS, ID_BYTES = 1 << 20, 4 << 20
 #: Characters other than white space that every reader takes for such, ASCII, and Latin letters and signs.
 ODD = re.compile("[^ \t\n\r!-~\xa1-\u024f]")
 PLAIN_SPACE = re.compile(r"[ \t\n\r]+")
 
 
+def text_slices(text: str, most: int = CHARS) -> Iterator[str]:
+    """A text in slices of about ``most`` characters, cut at white space."""
+    at = 0
+    while at < len(text):
+        space = PLAIN_SPACE.search(text, at + most)
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
+
+
 class WordTokenizer:
     """Ids of whole texts as little-endian 32-bit bytes, one white-space chunk at a time.
 
@@ -32,34 +46,60 @@ class WordTokenizer:
     signs before anything else, so a text's ids are those of its chunks, and a
     chunk's that ends in a letter and a stop or comma are those of its word and
     of the sign. Texts of Latin letters, for which Python lower-cases alike, are
-    lower-cased first. Chunks met before are looked up.
+    lower-cased first. Words of such letters alone need no normalising and no
+    cutting, so ``bare`` encodes them without. Chunks met before are looked up.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        plain = json.loads(self.tokenizer.to_str())
+        plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+        self.bare = Tokenizer.from_str(json.dumps(plain))
         self.held: dict[str, bytes] = {}
+        self.size = 0
         self.learn({".", ","})
 
     def learn(self, chunks: set[str]) -> None:
         """Hold the ids of chunks that are not held."""
         ended = {w for w in chunks if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and w[-2] < "\u0250"}
-        plain = [w for w in (chunks - ended) | {w[:-1] for w in ended} if w not in self.held]
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.held[w] = np.array(e.ids, "<u4").tobytes()
+        fresh = [w for w in (chunks - ended) | {w[:-1] for w in ended} if w not in self.held]
+        words = [w for w in fresh if w.isalpha() and w.islower() and max(w) < "\u0250"]
+        for own, tokenizer in ((words, self.bare), (list(set(fresh).difference(words)), self.tokenizer)):
+            for i in range(0, len(own), 4096):
+                part = own[i : i + 4096]
+                for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    self.held[w] = np.array(e.ids, "<u4").tobytes()
+                    self.size += 200 + 2 * len(w)
         for w in ended:
             self.held[w] = self.held[w[:-1]] + self.held[w[-1]]
+            self.size += 200 + 2 * len(w)
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(PLAIN_SPACE.split(t) if ODD.search(t) else t.lower().split()) if t else [] for t in texts]
-        if len(self.held) > 2 * MEMO_WORDS:
-            self.held = dict(islice(self.held.items(), MEMO_WORDS))  # the first it met: mostly the common ones
+    def looked_up(self, texts: list[str]) -> list[bytes]:
+        parts = [PLAIN_SPACE.split(t) if ODD.search(t) else t.lower().split() for t in texts]
+        if self.size > MEMO_BYTES:
+            kept = dict(islice(self.held.items(), len(self.held) // 2))  # the first it met: mostly the common ones
+            self.held, self.size = kept, sum(200 + 2 * len(w) for w in kept)
         self.learn(set().union(*parts).difference(self.held))
         return [b"".join(map(self.held.__getitem__, ws)) for ws in parts]
 
+    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, in order; about ``CHARS`` characters are in work at once."""
+        group, size = [], 0
+        for t in texts:
+            if len(t or "") > CHARS:
+                yield from self.looked_up(group)
+                group, size = [], 0
+                yield b"".join(self.looked_up([part])[0] for part in text_slices(t))
+                continue
+            group.append(t or "")
+            size += len(group[-1])
+            if size > CHARS:
+                yield from self.looked_up(group)
+                group, size = [], 0
+        yield from self.looked_up(group)
+
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
@@ -74,29 +114,39 @@ def tokenizer_of(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids): each text's ids and id 1, cut into full pieces and a rest.
+def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, length, doc_tokens, ids_crc32, ids): each text's ids and id 1, cut into full pieces and a rest.
 
-    ``ids`` holds the piece's ids as little-endian unsigned 32-bit binary.
+    ``ids`` holds the piece's ids as little-endian unsigned 32-bit binary; it is
+    left out without ``with_ids``.
     """
     text_batches(docs.sparkSession)
+    names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], *[pa.array(c, pa.binary()) for c in cols[5:]]], names + ["ids"] * with_ids)
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer_of(vocabulary)
         end = np.asarray([END_ID], "<u4").tobytes()
-        for frame in frames:
-            for at in range(0, len(frame), 256):
-                part = frame.iloc[at : at + 256]
-                out = []
-                for doc, raw in zip(part["doc_id"], own.ids([t if isinstance(t, str) else None for t in part["text"]]), strict=True):
-                    raw += end
-                    n = len(raw) // 4
-                    for s in range(0, n, capacity):
-                        e = min(n, s + capacity)
-                        out.append((None if pd.isna(doc) else int(doc), s, e - s, n, raw[4 * s : 4 * e]))
-                yield pd.DataFrame({"doc_id": pd.array([x[0] for x in out], "Int64"), "start": [x[1] for x in out], "length": [x[2] for x in out], "doc_tokens": [x[3] for x in out], "ids": [x[4] for x in out]})
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
+        for batch in batches:
+            out, size = [], 0
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), own.ids(batch.column("text").to_pylist()), strict=True):
+                raw += end
+                n = len(raw) // 4
+                for s in range(0, n, capacity):
+                    piece = raw[4 * s : 4 * (s + capacity)]
+                    out.append((doc, s, len(piece) // 4, n, zlib.crc32(piece), *[piece] * with_ids))
+                    size += len(piece)
+                    if size >= ID_BYTES:
+                        yield batch_of(out)
+                        out, size = [], 0
+            if out:
+                yield batch_of(out)
+
+    kinds = ", ".join(f"{c} long" for c in names) + ", ids binary" * with_ids
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, kinds)
 
 
 def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[dict]:
@@ -138,59 +188,61 @@ def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[d
     return rows
 
 
-def ranked(rows: DataFrame, by: str, order: list[str], buckets: int = RANK_BUCKETS) -> DataFrame:
+def ranked(rows: DataFrame, by: str, order: list[str], buckets: str) -> DataFrame:
     """``rows`` with ``rank``, from 0 and gapless within ``by``, without one task for a value of ``by``.
 
     Rows are numbered within (value, bucket) and shifted by the rows of the
-    value's earlier buckets. The shifts have at most lengths x buckets entries.
+    value's earlier buckets; the column ``buckets`` says how many a value has.
     """
-    salted = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    salted = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.col(buckets)))
     counts = salted.groupBy(by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     shift = counts.select(by, "_bucket", (F.sum("_n").over(Window.partitionBy(by).orderBy("_bucket")) - F.col("_n")).alias("_before"))
     inner = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(*order)) - 1
     return salted.withColumn("_inner", inner).join(shift, [by, "_bucket"]).withColumn("rank", F.col("_before") + F.col("_inner")).drop("_bucket", "_inner", "_before")
 
 
-def packed_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def packed_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """Every id of every text in exactly one piece, pieces packed into sequences of at most ``capacity``.
 
-    Columns: doc_id, start, length, doc_tokens, ids (binary), sequence_id,
-    offset. A null or empty text is its end id alone. Rows with a null id are
+    Columns: doc_id, start, length, doc_tokens, ids_crc32, sequence_id, offset,
+    and ids (binary) unless ``with_ids`` is off; other columns of ``docs`` are
+    dropped. A null or empty text is its end id alone. Rows with a null id are
     packed like others. Repeated rows are packed once each; rows equal in all
     columns are interchangeable. Sequences are numbered from 0 and fill from
-    offset 0 without gaps.
+    offset 0 without gaps. No rows, no pieces.
 
     The histogram of piece lengths (at most ``capacity`` rows) is the only thing
-    the driver sees; its plan has a few rows a length and is broadcast.
+    the driver sees; its plan has a few rows a length and is broadcast. Only
+    narrow rows are ranked; the ids are joined to their places last.
     """
-    cut = saved(pieces(docs, vocabulary, id_col, text_col, capacity), "pieces")
+    cut = pieces(docs, vocabulary, id_col, text_col, capacity, with_ids).withColumn("piece", F.monotonically_increasing_id())
+    cut = saved(cut, "pieces")
     spark = docs.sparkSession
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = plan_patterns(histogram, capacity)
     schema = "length long, rank long, until long, per long, first long, offset long"
     slots = spark.createDataFrame([tuple(r.values()) for r in plan], schema)
     slots = slots.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("rank", "until", "per", "first", "offset"))).alias("slots"))
-    placed = ranked(cut, "length", ["doc_id", "start", "doc_tokens", "ids"]).join(F.broadcast(slots), "length")
+    buckets = spark.createDataFrame([(k, -(-n // RANK_ROWS)) for k, n in histogram.items()], "length long, buckets long")
+    narrow = cut.drop("ids").join(F.broadcast(buckets), "length")
+    placed = ranked(narrow, "length", ["doc_id", "start", "doc_tokens", "ids_crc32"], "buckets").join(F.broadcast(slots), "length")
     slot = F.try_element_at(F.filter("slots", lambda s: (F.col("rank") >= s["rank"]) & (F.col("rank") < s["until"])), F.lit(1))
     into = (F.col("rank") - F.col("slot.rank")).cast("long")
-    return placed.withColumn("slot", slot).select(
+    placed = placed.withColumn("slot", slot).select(
+        "piece",
         F.col("doc_id").alias(id_col),
         "start",
         "length",
         "doc_tokens",
-        "ids",
+        "ids_crc32",
         (F.col("slot.first") + F.floor(into / F.col("slot.per"))).cast("long").alias("sequence_id"),
         (F.col("slot.offset") + F.pmod(into, F.col("slot.per")) * F.col("length")).cast("long").alias("offset"),
     )
-
-
-def digest(packed: DataFrame) -> DataFrame:
-    """The packed pieces with ``ids_crc32`` in place of their ids."""
-    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return (placed.join(cut.select("piece", "ids"), "piece") if with_ids else placed).drop("piece")
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digest(packed_documents(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -390,17 +391,30 @@ def test_chunked_ids_equal_whole_ids(texts):
     whole = Tokenizer.from_file(vocabulary())
     odd = ["a b c", "x\x1cy\x85z", "İstanbul ΣΑΣ ﬁ é ́a", "it's I'll 12a3 <|endoftext|> a<|startoftext|>b", "﻿ a​b", "emoji 👩‍👩‍👧 end"]
     cases = [t for _, t, _ in texts if t] + odd
+    wanted = [whole.encode(t, add_special_tokens=False).ids for t in cases]
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in packing.WordTokenizer(vocabulary()).ids(cases)] == wanted
+
+
+def test_ids_with_a_small_memo_and_cut_texts(texts, monkeypatch):
+    whole = list(packing.WordTokenizer(vocabulary()).ids([t for _, t, _ in texts]))
+    monkeypatch.setattr(packing, "MEMO_BYTES", 5000)
+    monkeypatch.setattr(packing, "CHARS", 300)
+    monkeypatch.setattr(packing.text_slices, "__defaults__", (300,))
     own = packing.WordTokenizer(vocabulary())
-    for t, raw in zip(cases, own.ids(cases)):
-        assert np.frombuffer(raw, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert list(own.ids([t for _, t, _ in texts])) == whole
+    assert own.size < 200_000
 
 
 @pytest.mark.parametrize("capacity", [64, 2048])
-def test_packing(spark, texts, capacity):
+def test_packing(spark, texts, capacity, monkeypatch):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(vocabulary())
+    monkeypatch.setattr(packing, "RANK_ROWS", 20)
     out = packing.packed_documents(frame(spark, texts), vocabulary(), capacity=capacity).collect()
+    narrow = packing.packed_documents(frame(spark, texts), vocabulary(), capacity=capacity, with_ids=False)
+    assert "ids" not in narrow.columns and Counter(narrow.collect()) == Counter(tuple(r[:-1]) for r in out)
+    assert all(r.ids_crc32 == zlib.crc32(bytes(r.ids)) for r in out)
     ids = lambda r: np.frombuffer(bytes(r.ids), "<u4").tolist()
     wanted = Counter(tuple(whole.encode(t or "", add_special_tokens=False).ids + [1]) for _, t, _ in texts)
     by = defaultdict(list)
