@@ -12,12 +12,14 @@ from cohort_spark.llm.common import Own, checked_broadcast
 
 #: A Poisson draw is a sum of draws with means of at most this, so that no table grows long.
 MEAN_STEP = 16.0
+#: Code points of a partition of the result, about, and the most partitions.
+PARTITION_CHARS, MOST_PARTITIONS = 32 << 20, 100_000
 #: Entries of each inverse table; beyond them a draw of mean 16 has a chance under 2**-52.
 TABLE = 80
 
 
-def source_rates(docs: DataFrame, weights: Mapping[str, float], default: float, source: str, size: F.Column, epochs: float) -> DataFrame:
-    """(source, rate, draws, table): the mean repetition of each source's rows.
+def source_rates(docs: DataFrame, weights: Mapping[str, float], default: float, source: str, size: F.Column, epochs: float) -> tuple[DataFrame, float]:
+    """(rates, everything): rates is (source, rate, draws, table), the mean repetition of each source's rows; everything, all sizes.
 
     rate = epochs * weight share * all sizes / the source's size. A null source
     is a source of its own with the default weight; a source without size gets
@@ -27,14 +29,15 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float], default: float,
     weight = F.coalesce(F.element_at(named, F.col("source")), F.lit(float(default))) if named is not None else F.lit(float(default))
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(size).cast("double").alias("size"))
     sizes = sizes.withColumn("weight", F.when(F.col("size") > 0, weight).otherwise(0.0))
-    total = sizes.agg(F.sum("size").alias("size"), F.sum(F.rint(F.col("weight") * 1e6)).alias("weight")).first()
-    everything, shares = total["size"] or 0.0, (total["weight"] or 0.0) / 1e6
+    # as many rows as there are different weights, summed without rounding in between
+    by_weight = sorted(sizes.groupBy("weight").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect())
+    everything, shares = math.fsum(r.size or 0.0 for r in by_weight), math.fsum(r.weight * r.n for r in by_weight)
     rate = F.when((F.col("size") > 0) & F.lit(shares > 0), F.lit(epochs) * F.col("weight") * F.lit(everything) / (F.lit(shares or 1.0) * F.col("size"))).otherwise(0.0)
     rated = sizes.select("source", rate.alias("rate")).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN_STEP)).cast("int"))
     mean = F.col("rate") / F.col("draws")
     none = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("cdf"))
     step = lambda acc, k: F.struct((acc["p"] * mean / k).alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + acc["p"] * mean / k)).alias("cdf"))
-    return rated.withColumn("table", F.aggregate(F.sequence(F.lit(1), F.lit(TABLE)), none, step)["cdf"])
+    return rated.withColumn("table", F.aggregate(F.sequence(F.lit(1), F.lit(TABLE)), none, step)["cdf"]), everything
 
 
 def uniform(key: F.Column) -> F.Column:
@@ -51,24 +54,29 @@ def mixed_documents(
     source_col: str = "source",
     epochs: float = 1.0,
     seed: int = 17,
+    prefix: str = "_",
 ) -> DataFrame:
     """``docs`` repeated to the target weights and shuffled globally.
 
     The size of a row is the code points of its text, so that every source's
     share of text approaches its weight. Each row's count inverts a Poisson
     distribution at hash-seeded uniform numbers of (seed, id): the count is
-    independent of partitioning and retries. Added columns: ``_rate``, ``_copy``
-    (from 1) and ``_shuffle`` (MD5 of seed, id and copy), by which rows are
-    range-partitioned and sorted; so no partition depends on a source's share.
-
-    Null or empty texts have size 0 but are drawn at their source's rate. A null
-    id counts as the empty id; rows that share an id share their count.
+    independent of partitioning and retries. Added columns, after ``prefix``:
+    rate, copy (from 1) and shuffle (MD5 of seed, id and copy); columns of these
+    names are replaced. Rows go to the partition that owns their range of the
+    evenly spread MD5 and are sorted there, so the result is in the order of
+    ``shuffle``, no partition depends on a source's share, and counts are drawn
+    once. Partitions hold about ``PARTITION_CHARS`` code points.
+
+    Null or empty texts have size 0 but are drawn at their source's rate. A row
+    with a null id is known by its text instead, so such rows spread out, too;
+    rows that share an id, or have none and share a text, share their count.
     """
     own = Own(docs)
     source, text = own[source_col], own[text_col]
-    rates = source_rates(own.frame, weights, default, source, F.length(F.coalesce(text, F.lit(""))), epochs)
+    rates, everything = source_rates(own.frame, weights, default, source, F.length(F.coalesce(text, F.lit(""))), epochs)
     rates = checked_broadcast(rates.toDF("_source", "_rate", "_draws", "_table"), 10_000)
-    key = F.coalesce(F.col(own[id_col]).cast("string"), F.lit(""))
+    key = F.coalesce(F.col(own[id_col]).cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce(text, F.lit("")), 256)))
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col("_draws")),
         F.lit(0),
@@ -77,7 +85,10 @@ def mixed_documents(
     rows = own.frame.join(rates, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_count", F.when(F.col("_rate") > 0, drawn).otherwise(0))
     copies = rows.where("_count > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
     shuffled = copies.withColumn("_shuffle", F.md5(F.concat_ws(":", F.lit(f"{seed}s"), key, F.col("_copy").cast("string"))))
-    return own.restored(shuffled.drop("_source", "_draws", "_table", "_count").orderBy("_shuffle", own[id_col]), {c: F.col(c) for c in ("_rate", "_copy", "_shuffle")})
+    parts = min(MOST_PARTITIONS, 1 + int(epochs * everything / PARTITION_CHARS))
+    owner = F.floor(F.conv(F.substring("_shuffle", 1, 8), 16, 10).cast("long") * parts / (1 << 32)).cast("int")
+    dealt = shuffled.drop("_source", "_draws", "_table", "_count").repartitionById(parts, owner).sortWithinPartitions("_shuffle", own[id_col])
+    return own.restored(dealt, {prefix + c: F.col(f"_{c}") for c in ("rate", "copy", "shuffle")})
 
 
 #: The query's target weights; every other source has weight 1.
@@ -96,7 +107,7 @@ w AS (
   SELECT source, size, CASE WHEN size > 0 THEN
     CASE source {" ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in WEIGHTS.items())} ELSE CAST(1 AS DOUBLE) END
     ELSE CAST(0 AS DOUBLE) END AS weight FROM g),
-t AS (SELECT sum(size) AS everything, sum(round(weight * 1e6)) / 1e6 AS shares FROM w),
+t AS (SELECT sum(size) AS everything, sum(weight) AS shares FROM w),
 r AS (SELECT source, CASE WHEN size > 0 AND shares > 0 THEN 1.0::DOUBLE * weight * everything / (shares * size) ELSE 0.0 END AS rate FROM w, t),
 d AS (SELECT source, rate, greatest(1, CAST(ceil(rate / {MEAN_STEP}::DOUBLE) AS INTEGER)) AS draws FROM r),
 k AS (SELECT source, rate, draws, rate / draws AS mean, exp(-rate / draws) AS p0 FROM d),

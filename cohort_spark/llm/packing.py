@@ -19,7 +19,7 @@ from cohort_spark.llm.common import saved, text_batches
 CAPACITY = 2048
 END_ID = 1
 #: Pieces of a length that one task ranks, about.
-RANK_ROWS = 50_000
+RANK_ROWS = 1_000
 #: Bytes, about, of the chunks that a Python worker holds with their ids; it then goes back to half, the first it met.
 MEMO_BYTES = 64 << 20
 #: Characters that are cut and looked up at once; ids of one batch that leave a task.

@@ -1,6 +1,7 @@
 """Quality, SimHash, substring, mixing, packing, toxicity against brute force on small tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -368,12 +369,47 @@ def test_mixing_approaches_weights(spark):
     assert Counter((r.doc_id, r._copy) for r in out.collect()) == Counter((r.doc_id, r._copy) for r in again.collect())
 
 
-def test_mixing_edge_cases(spark, texts):
+def brute_counts(rows, weights, default, seed=17):
+    """How often each row is drawn, from the definition."""
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t or "")
+    weight = {s: weights.get(s, default) if n else 0.0 for s, n in size.items()}
+    total = sum(weight.values())
+    out = Counter()
+    for i, t, s in rows:
+        rate = weight[s] * sum(size.values()) / (total * size[s]) if total and size[s] else 0.0
+        draws = max(1, -int(-rate // mixing.MEAN_STEP))
+        key = f"text:{hashlib.sha256((t or '').encode()).hexdigest()}" if i is None else str(i)
+        n = 0
+        for d in range(1, draws + 1) if rate else ():
+            u = int(hashlib.md5(f"{seed}:{key}:{d}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            p = c = math.exp(-rate / draws)
+            for k in range(1, mixing.TABLE + 2):
+                n += c <= u
+                p *= rate / draws / k
+                c += p
+        out[(i, t)] += n
+    return +out
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e7])
+def test_mixing_counts(spark, texts, scale):
+    weights = {"s0": 0.4, "s1": 20.0, "s2": 1.0}
+    out = mixing.mixed_documents(frame(spark, texts), {s: w * scale for s, w in weights.items()}, default=scale)
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == brute_counts(texts, weights, 1.0)
+
+
+def test_mixing_edge_cases(spark, texts, monkeypatch):
+    monkeypatch.setattr(mixing, "PARTITION_CHARS", 20_000)
     out = mixing.mixed_documents(frame(spark, texts), {"s0": 0.0, "s1": 200.0}, epochs=3.0)
     assert "s0" not in {r.source for r in out.select("source").distinct().collect()}
     keys = [r._shuffle for r in out.collect()]
-    assert keys == sorted(keys)
+    assert keys == sorted(keys) and out.rdd.getNumPartitions() > 4
     assert mixing.mixed_documents(frame(spark, []), {}).count() == 0
+    clash = frame(spark, texts).withColumn("_rate", F.lit("own"))
+    assert mixing.mixed_documents(clash, {}).columns.count("_rate") == 1
+    assert mixing.mixed_documents(clash, {}, prefix="x").columns == [*clash.columns, "xrate", "xcopy", "xshuffle"]
 
 
 # -- packing -------------------------------------------------------------------
