@@ -2,10 +2,11 @@
 
 The search is exact for any radius. Fingerprints are cut into blocks; a pair
 within the radius agrees on some set of whole blocks, so pairs meet in the
-buckets of one of a fixed number of tables. Inside a bucket the fingerprints are
-compared bit-sliced: bit planes hold 64 fingerprints a word, carry-save counters
-add up 64 distances at a time, and a block of rows is abandoned once every
-counter has run over.
+buckets of one of the tables. Keys are as long as the number of fingerprints
+asks for. Inside buckets the fingerprints are compared bit-sliced: bit planes
+hold 64 fingerprints of a bucket a word, carry-save counters add up 64 distances
+at a time, and rows are abandoned once all their counters have run over. Small
+buckets are compared many at once, each row with the planes of its own bucket.
 
 Near-dedup judges pairs by the Jaccard similarity of their shingles. There
 fingerprints only give the first pairs; a prefix filter over the shingles, which
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -30,15 +32,15 @@ from cohort_spark.llm.common import Own, checked_broadcast, discard, rolled, sav
 
 #: Most fingerprints of one bucket that one task compares with as many others.
 BLOCK = 2048
-#: (blocks, blocks that agree) for each radius: blocks - agreeing >= radius.
-TABLES = {0: (1, 1)} | {r: (r + 2, 2) for r in range(1, 63)} | {63: (64, 1), 64: (1, 0)}
+#: Fingerprints that share a bucket by chance, at most about, and most tables to get there.
+BY_CHANCE, MOST_TABLES = 4, 300
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Bits within which near-dedup takes its first pairs if no radius is asked for.
 NEAR = 6
 #: Shingles are ordered by how often they occur in about so many texts, counted in so many buckets.
 SAMPLED_TEXTS, COUNTS = 5_000, 1 << 19
-#: Rounds that compare each bucket with one of its texts, while over so many pairs a row are left.
-STARS, PAIRS_A_ROW = 5, 4
+#: Buckets are compared with one of their texts each while over so many pairs a row are left and a round links this share of the rows.
+PAIRS_A_ROW, FRUITFUL = 4, 0.02
 
 
 def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -68,70 +70,82 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
     return docs.withColumn(name, fingerprints(F.col(text)))
 
 
-def bit_planes(prints: np.ndarray) -> np.ndarray:
-    """(64, words) array; bit j of word w in plane p is bit p of fingerprint 64 * w + j."""
-    bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    lanes = np.zeros((64, -(-len(prints) // 64) * 64), np.uint8)
-    lanes[:, : len(prints)] = bits.T
-    return np.packbits(lanes, axis=1, bitorder="little").view("<u8").astype(np.uint64)
+def bit_planes(prints: np.ndarray, of: np.ndarray, lane: np.ndarray, lists: int, words: int) -> np.ndarray:
+    """(64, lists, words) array; bit j of word w in plane p of a list is bit p of its fingerprint in lane 64 * w + j."""
+    lanes = np.zeros((64, lists, 64 * words), np.uint8)
+    lanes[:, of, lane] = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    return np.packbits(lanes, axis=2, bitorder="little").view("<u8").astype(np.uint64)
 
 
-def within(planes: np.ndarray, prints: np.ndarray, radius: int, ignore: np.ndarray) -> np.ndarray:
-    """Packed matrix: bit j of row i is set where fingerprints i and j differ in at most ``radius`` bits.
+def within(planes: np.ndarray, of: np.ndarray, prints: np.ndarray, radius: int, ignore: np.ndarray) -> np.ndarray:
+    """Packed matrix: bit j of row i is set where fingerprint i and lane j of its list differ in at most ``radius`` bits.
 
-    ``ignore`` marks lanes that need no answer. Counters start so that they run
-    over just beyond the radius; three planes enter by one carry-save step.
+    ``of`` is each row's list, and ``ignore`` marks lanes that need no answer.
+    Counters start so that they run over just beyond the radius; three planes
+    enter by one carry-save step. Rows whose counters have all run over are
+    abandoned.
     """
     width = radius.bit_length()
     start = (1 << width) - 1 - radius
-    over = ignore.copy()
+    out = np.zeros_like(ignore)
+    rows, over = np.arange(len(prints)), ignore.copy()
     counters = [np.full_like(over, ONES if start >> b & 1 else 0) for b in range(width)]
 
     def add(carry: np.ndarray, at: int) -> None:
-        nonlocal over
         for b in range(at, width):
             counters[b], carry = counters[b] ^ carry, counters[b] & carry
-        over |= carry
+        np.bitwise_or(over, carry, out=over)
 
     def differs(p: int) -> np.ndarray:
-        return planes[p] ^ np.where(prints >> np.uint64(p) & np.uint64(1), ONES, np.uint64(0))[:, None]
+        return planes[p][of] ^ np.where(prints >> np.uint64(p) & np.uint64(1), ONES, np.uint64(0))[:, None]
 
     for p in range(0, 63, 3):
         x, y, z = differs(p), differs(p + 1), differs(p + 2)
         xy = x ^ y
         add(xy ^ z, 0)
         add((x & y) | (z & xy), 1)
-        if p % 12 == 9 and (over == ONES).all():
-            return np.zeros_like(over)
+        if p % 6 == 3:
+            left = (over != ONES).any(axis=1)
+            if 2 * left.sum() <= len(left):
+                rows, of, prints, over = rows[left], of[left], prints[left], over[left]
+                counters = [c[left] for c in counters]
+                if not len(rows):
+                    return out
     add(differs(63), 0)
-    return ~over
-
-
-def adjacency(prints: np.ndarray, radius: int) -> np.ndarray:
-    """Packed matrix of the links among one bucket's fingerprints, without those to themselves."""
-    n, words = len(prints), -(-len(prints) // 64)
-    if n <= 64:
-        pairs = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= radius
-        np.fill_diagonal(pairs, False)
-        out = np.zeros((n, 64), np.uint8)
-        out[:, :n] = pairs
-        return np.packbits(out, axis=1, bitorder="little").view("<u8").astype(np.uint64)
-    planes, pad = bit_planes(prints), np.zeros(words * 64, np.uint8)
-    pad[n:] = 1
-    pad = np.packbits(pad, bitorder="little").view("<u8").astype(np.uint64)
-    rows = []
-    for i in range(0, n, 256):
-        m = min(n, i + 256)
-        ignore = np.tile(pad, (m - i, 1))
-        own = np.arange(i, m)
-        ignore[own - i, own // 64] |= np.uint64(1) << (own % 64).astype(np.uint64)
-        rows.append(within(planes, prints[i:m], radius, ignore))
-    return np.concatenate(rows)
-
-
-def local_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Positions (root, member) that span the components of one bucket's links."""
-    near = adjacency(prints, radius)
+    out[rows] = ~over
+    return out
+
+
+def adjacencies(lists: list[np.ndarray], radius: int) -> Iterator[np.ndarray]:
+    """For each bucket's fingerprints the packed matrix of the links among them, without those to themselves."""
+
+    def compared(group: list[np.ndarray], words: int) -> np.ndarray:
+        sizes = np.array([len(x) for x in group])
+        prints, of = np.concatenate(group), np.repeat(np.arange(len(group)), sizes)
+        lane = np.arange(len(prints)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        planes = bit_planes(prints, of, lane, len(group), words)
+        pad = np.arange(64 * words) >= sizes[:, None]
+        pad = np.packbits(pad, axis=1, bitorder="little").view("<u8").astype(np.uint64)
+        out = []
+        for i in range(0, len(prints), step := max(64, (1 << 15) // words)):
+            some = slice(i, i + step)
+            ignore = pad[of[some]]
+            ignore[np.arange(len(ignore)), lane[some] // 64] |= np.uint64(1) << (lane[some] % 64).astype(np.uint64)
+            out.append(within(planes, of[some], prints[some], radius, ignore))
+        return np.concatenate(out)
+
+    small = [x for x in lists if len(x) <= 64]
+    near, at = compared(small, 1) if small else None, 0
+    for x in lists:
+        if len(x) <= 64:
+            yield near[at : at + len(x)]
+            at += len(x)
+        else:
+            yield compared([x], -(-len(x) // 64))
+
+
+def local_links(near: np.ndarray) -> list[tuple[int, int]]:
+    """Positions (root, member) that span the components of one bucket's links, a packed matrix."""
     left = np.full(near.shape[1], ONES)
     links = []
     for root in np.flatnonzero(near.any(axis=1)):
@@ -150,15 +164,29 @@ def local_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
+def tables_for(radius: int, n: int) -> tuple[int, int]:
+    """(blocks, blocks that agree) with blocks - agreeing >= radius, for ``n`` fingerprints.
+
+    More agreeing blocks make longer keys and more tables; keys grow until a
+    bucket has about ``BY_CHANCE`` of evenly spread fingerprints.
+    """
+    if not 0 <= radius <= 64:
+        raise ValueError("radius must be from 0 to 64")
+    if radius in (0, 64):
+        return 1, int(radius == 0)
+    agree = 1
+    while agree < 64 - radius and (2.0 ** (64 * agree / (radius + agree))) * BY_CHANCE < n and comb(radius + agree + 1, agree + 1) <= MOST_TABLES:
+        agree += 1
+    return radius + agree, agree
+
+
 def buckets(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     """Column ``fps``: lists in which all pairs of ``prints`` (fp, distinct) within ``radius`` bits meet.
 
     A list is a bucket, or two blocks of one with over ``block`` fingerprints; so
     it holds about two blocks at most.
     """
-    if radius not in TABLES:
-        raise ValueError(f"radius must be one of {sorted(TABLES)}")
-    blocks, agree = TABLES[radius]
+    blocks, agree = tables_for(radius, prints.count())
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = []
     for chosen in combinations(range(blocks), agree):
@@ -191,9 +219,9 @@ def fingerprint_links(prints: DataFrame, radius: int, block: int = BLOCK) -> Dat
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found: list[tuple[int, int]] = []
-            for fps in frame["fps"]:
-                signed = np.asarray(fps, np.int64)
-                found += [(signed[a], signed[b]) for a, b in local_links(signed.view(np.uint64), radius)]
+            lists = [np.asarray(fps, np.int64) for fps in frame["fps"]]
+            for signed, near in zip(lists, adjacencies([x.view(np.uint64) for x in lists], radius), strict=True):
+                found += [(signed[a], signed[b]) for a, b in local_links(near)]
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return buckets(prints, radius, block).mapInPandas(compare, "a long, b long").distinct()
@@ -211,10 +239,9 @@ def near_pairs(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found: set[tuple[int, int]] = set()
-            for fps in frame["fps"]:
-                signed = np.sort(np.asarray(fps, np.int64))
+            lists = [np.sort(np.asarray(fps, np.int64)) for fps in frame["fps"]]
+            for signed, near in zip(lists, adjacencies([x.view(np.uint64) for x in lists], radius), strict=True):
                 prints = signed.view(np.uint64)
-                near = adjacency(prints, radius)
                 for i in np.flatnonzero(near.any(axis=1)):
                     own = np.flatnonzero(np.unpackbits(near[i].astype("<u8").view(np.uint8), bitorder="little"))
                     nearest = own[np.argmin(np.bitwise_count(prints[own] ^ prints[i]))]
@@ -381,14 +408,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     judged, links = [], []
 
-    def judge(pairs: DataFrame) -> bool:
-        """Whether new pairs (x, y) link; they and their links are kept."""
+    def judge(pairs: DataFrame) -> int:
+        """How many new pairs (x, y) link; they and their links are kept."""
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         for before in judged:
             pairs = pairs.join(before, ["x", "y"], "left_anti")
         judged.append(pairs := saved(pairs, "pairs"))
         if pairs.isEmpty():
-            return False
+            return 0
         met = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
         wanted = checked_broadcast(met.join(texts, "node").select(F.col("same").alias("_s"), F.col("ord.id").alias("_id"), "node", "fp"))
         one = rows.join(wanted, (F.col("_same") == F.col("_s")) & F.col(id_).eqNullSafe(F.col("_id")))
@@ -399,7 +426,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         both = both.where(alike("set_x", "set_y"))
         links.append(saved(both.select(F.col("x").alias("a"), F.col("y").alias("b")), "links"))
         discard(shingled)
-        return not links[-1].isEmpty()
+        return links[-1].count()
 
     def groups() -> DataFrame:
         every = links[0]
@@ -424,7 +451,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets_ = saved(at.select("h", "node", "n", "pos").distinct(), "buckets")
     discard(every)
 
-    turn, last = 0, False
+    turn, last, fruitful = 0, False, True
     while not last:
         if links:
             at = buckets_.join(groups().toDF("node", "root"), "node", "left").withColumn("c", F.coalesce("root", "node"))
@@ -438,12 +465,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if not left.rows:
             break
         members = at.join(open_.select("h"), "h").alias("b")
-        last = turn >= STARS or left.pairs <= PAIRS_A_ROW * left.rows
+        last = not fruitful or left.pairs <= PAIRS_A_ROW * left.rows
         others = members.select("*").alias("a") if last else open_.select("h", "lead.*").alias("a")
         apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.c") != F.col("b.c")) & may_be_similar(similarity)
         pairs = others.join(members, apart & (F.col("a.node") < F.col("b.node")) if last else apart)
         linked = judge(pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")))
-        turn = turn + 1 if linked else STARS
+        turn, fruitful = turn + 1, linked > FRUITFUL * left.rows
         discard(at, open_)
     stays = texts
     if links:
