@@ -39,6 +39,8 @@ ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 NEAR = 6
 #: Shingles are ordered by how often they occur in about so many texts, counted in so many buckets.
 SAMPLED_TEXTS, COUNTS = 5_000, 1 << 19
+#: Hash classes by whose parities pairs are ruled out before their shingles are read; a multiple of 64.
+PARITY_BITS = 1024
 #: Buckets are compared with one of their texts each while over so many pairs a row are left and a round links this share of the rows.
 PAIRS_A_ROW, FRUITFUL = 4, 0.02
 
@@ -335,26 +337,32 @@ def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, counts: np.ndarray, words: int, similarity: float) -> DataFrame:
-    """(same, id, n, prefix) of ``rows`` (same, id, text): its n shingles' first n - ceil(similarity n) + 1.
+    """(same, id, n, bits, prefix) of ``rows`` (same, id, text): its n shingles' first n - ceil(similarity n) + 1.
 
-    All texts order their shingles alike, rare ones first. Two texts of at least
+    ``bits`` says of each of ``PARITY_BITS`` hash classes whether an odd number
+    of the shingles is in it, so two texts differ in at most as many bits as
+    they have shingles that the other has not. All texts order their shingles alike, rare ones first. Two texts of at least
     this Jaccard similarity have at least ceil(similarity n) of either's shingles
     in common, so their prefixes share a shingle, in whatever order.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, lists = [], []
+            sizes, lists, bits = [], [], []
             for _, h in shingle_hashes(batch.column("text"), words):
                 order = np.lexsort((h, counts[(h % np.uint64(COUNTS)).astype(np.int64)]))
                 sizes.append(len(h))
+                odd = np.bincount((h % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) % 2
+                bits.append(np.packbits(odd.astype(bool), bitorder="little").view("<i8"))
                 lists.append(h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]])
             if sizes:
                 offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
                 found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("same"), batch.column("id"), pa.array(sizes, pa.int32()), found], ["same", "id", "n", "prefix"])
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (PARITY_BITS // 64)), pa.array(np.concatenate(bits)))
+                yield pa.RecordBatch.from_arrays([batch.column("same"), batch.column("id"), pa.array(sizes, pa.int32()), parity, found], ["same", "id", "n", "bits", "prefix"])
 
-    kinds = T.StructType([*rows.select("same", "id").schema, T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    longs = T.ArrayType(T.LongType())
+    kinds = T.StructType([*rows.select("same", "id").schema, T.StructField("n", T.IntegerType()), T.StructField("bits", longs), T.StructField("prefix", longs)])
     return rows.mapInArrow(cut, kinds)
 
 
@@ -377,7 +385,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every pair of enough similarity meets: while many pairs are left, each bucket
     is judged against one of its texts; in the end all pairs that share a bucket
     and are not in one group yet. So no pair is missed, and a dense group need
-    not give all its pairs.
+    not give all its pairs. Pairs that the parities of their shingles rule out
+    are dropped, exactly, before any text is read again.
 
     Null and empty texts count as one text. Null ids come after all others;
     of rows equal in id and text one stays.
@@ -393,6 +402,18 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = saved(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     discard(prints)
 
+    named = rows.select(F.col("_same").alias("same"), F.col(id_).alias("id"), F.col(text).alias("text"))
+    share = min(1.0, SAMPLED_TEXTS / max(1, texts.count()))
+    sample = named.where(F.pmod(F.xxhash64("same"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
+    cut = prefixes(named, shingle_counts(sample, words), words, similarity)
+    which = texts.select(F.col("same").alias("_s"), F.col("ord.id").alias("_id"), "node", "fp")
+    cut = cut.join(checked_broadcast(which), (F.col("same") == F.col("_s")) & F.col("id").eqNullSafe(F.col("_id")))
+    every = saved(cut.select("node", "n", "fp", "bits", "prefix").dropDuplicates(["node"]), "prefixes")
+    facts = every.select("node", "n", "fp", "bits")
+    shared = every.select("node", F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    at = every.select("node", "n", F.posexplode("prefix").alias("pos", "h")).join(checked_broadcast(saved(shared, "shared")), "h")
+    buckets_ = saved(at.select("h", "node", "n", "pos"), "buckets")
+
     @F.pandas_udf("binary")
     def sets(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, words) for t in texts])
@@ -416,16 +437,21 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         judged.append(pairs := saved(pairs, "pairs"))
         if pairs.isEmpty():
             return 0
-        met = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-        wanted = checked_broadcast(met.join(texts, "node").select(F.col("same").alias("_s"), F.col("ord.id").alias("_id"), "node", "fp"))
-        one = rows.join(wanted, (F.col("_same") == F.col("_s")) & F.col(id_).eqNullSafe(F.col("_id")))
-        shingled = saved(one.select("node", "fp", text).dropDuplicates(["node"]).select("node", "fp", sets(text).alias("set")), "sets")
-        both = pairs.join(shingled.toDF("x", "fp_x", "set_x"), "x").join(shingled.toDF("y", "fp_y", "set_y"), "y")
+        left, right = (facts.select(*[F.col(c).alias(f"{c}_{side}") for c in facts.columns]) for side in "xy")
+        close = pairs.join(left, F.col("x") == F.col("node_x")).join(right, F.col("y") == F.col("node_y"))
+        apart = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, d: n + d)
+        close = close.where(apart <= (1 - similarity) / (1 + similarity) * (F.col("n_x") + F.col("n_y")) + 1e-6)
         if radius is not None:
-            both = both.where(F.bit_count(F.col("fp_x").bitwiseXOR(F.col("fp_y"))) <= radius)
+            close = close.where(F.bit_count(F.col("fp_x").bitwiseXOR(F.col("fp_y"))) <= radius)
+        close = saved(close.select("x", "y"), "close")
+        met = close.select(F.col("x").alias("node")).union(close.select("y")).distinct()
+        wanted = checked_broadcast(met.join(texts, "node").select(F.col("same").alias("_s"), F.col("ord.id").alias("_id"), "node"))
+        one = rows.join(wanted, (F.col("_same") == F.col("_s")) & F.col(id_).eqNullSafe(F.col("_id")))
+        shingled = saved(one.select("node", text).dropDuplicates(["node"]).select("node", sets(text).alias("set")), "sets")
+        both = close.join(shingled.toDF("x", "set_x"), "x").join(shingled.toDF("y", "set_y"), "y")
         both = both.where(alike("set_x", "set_y"))
         links.append(saved(both.select(F.col("x").alias("a"), F.col("y").alias("b")), "links"))
-        discard(shingled)
+        discard(shingled, close)
         return links[-1].count()
 
     def groups() -> DataFrame:
@@ -439,18 +465,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ends = near_pairs(leads.select("fp"), NEAR if radius is None else radius)
     judge(twins.union(ends.join(leads.toDF("a", "x"), "a").join(leads.toDF("b", "y"), "b").select("x", "y")))
 
-    named = rows.select(F.col("_same").alias("same"), F.col(id_).alias("id"), F.col(text).alias("text"))
-    share = min(1.0, SAMPLED_TEXTS / max(1, texts.count()))
-    sample = named.where(F.pmod(F.xxhash64("same"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    cut = prefixes(named, shingle_counts(sample, words), words, similarity)
-    which = texts.select(F.col("same").alias("_s"), F.col("ord.id").alias("_id"), "node")
-    cut = cut.join(checked_broadcast(which), (F.col("same") == F.col("_s")) & F.col("id").eqNullSafe(F.col("_id")))
-    every = saved(cut.select("node", "n", "prefix"), "prefixes")
-    shared = every.select("node", F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    at = every.select("node", "n", F.posexplode("prefix").alias("pos", "h")).join(checked_broadcast(saved(shared, "shared")), "h")
-    buckets_ = saved(at.select("h", "node", "n", "pos").distinct(), "buckets")
-    discard(every)
-
     turn, last, fruitful = 0, False, True
     while not last:
         if links:
