@@ -373,6 +373,16 @@ def may_be_similar(similarity: float) -> F.Column:
     return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (common >= similarity / (1 + similarity) * (n + m) - 1e-6)
 
 
+def share_enough(similarity: float) -> F.Column:
+    """Whether texts of n and m shingles, k of them in both prefixes, can reach the similarity.
+
+    A shingle in common that is not in both prefixes is behind the prefix that
+    ends first, where at most ceil(similarity n) - 1 or ceil(similarity m) - 1 are.
+    """
+    behind = F.ceil(similarity * F.greatest("n", "m") - 1e-9) - 1
+    return F.col("k") + behind >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = 6, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: one of each text, and of a group of near-duplicates the smallest id.
 
@@ -483,6 +493,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         others = members.select("*").alias("a") if last else open_.select("h", "lead.*").alias("a")
         apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.c") != F.col("b.c")) & may_be_similar(similarity)
         pairs = others.join(members, apart & (F.col("a.node") < F.col("b.node")) if last else apart)
+        if last:  # all buckets that a pair shares are here, so their number bounds what it has in common
+            met = pairs.groupBy(F.col("a.node"), F.col("b.node"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count(F.lit(1)).alias("k"))
+            pairs = met.where(share_enough(similarity))
         linked = judge(pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")))
         turn, fruitful = turn + 1, linked > FRUITFUL * left.rows
         discard(at, open_)
