@@ -78,12 +78,16 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, least: int = LEAS
 def matches(rows: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """(key, rule_id) of the rules whose tokens a row has all, by an inverted index token -> rules.
 
-    Each rule is listed under all its tokens; a row matches if it meets a rule
-    as often as the rule has tokens.
+    Each rule is listed under the one of its tokens that the fewest rows have;
+    a row that has this token is tested for the others. So a row and a rule meet
+    once at most, and a common token lists only rules that have no rarer one.
     """
-    index = rules.select(F.explode("tokens").alias("token"), "rule_id", F.size("tokens").alias("need"))
-    met = rows.select(key, F.explode("tokens").alias("token")).join(checked_broadcast(index, 200_000), "token")
-    return met.groupBy(key, "rule_id").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n = need").select(key, "rule_id")
+    seen = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    listed = rules.select("rule_id", "tokens", F.explode("tokens").alias("token")).join(seen, "token", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))
+    index = saved(listed.groupBy("rule_id").agg(rarest.alias("rarest"), F.first("tokens").alias("need")).select("rule_id", "rarest.token", "need"), "rule-index")
+    met = rows.select(key, F.col("tokens").alias("own"), F.explode("tokens").alias("token")).join(checked_broadcast(index), "token")
+    return met.where(F.size(F.array_except("need", "own")) == 0).select(key, "rule_id")
 
 
 def judged_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", bad: str = "quality = 0 or toxic = 1", rules=RULES) -> DataFrame:
