@@ -20,6 +20,8 @@ ARCHIVE_BYTES = 256 << 20
 #: Bytes of an archive that one task owns.
 SPLIT_BYTES = 4 << 20
 READ_BYTES = 1 << 18
+#: Tasks over which the splits are spread evenly, at most.
+MOST_TASKS = 100_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -202,7 +204,9 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = S
                             rows, held = [], 0
                     yield frame_of(rows)
 
-    return splits.repartition("path", "start").mapInPandas(read, schema)
+    # a stated number, as rows are too small for adaptive execution to keep them apart
+    n = manifest.agg(F.sum(F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / split_bytes))).first()[0] or 1
+    return splits.repartition(min(int(n), MOST_TASKS)).mapInPandas(read, schema)
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
