@@ -506,6 +506,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         gone = saved(grouped.join(first, "root").where("ord <> first").select("node"), "gone")
         stays = texts.join(gone, "node", "left_anti")
     stays = saved(stays.select(F.col("same").alias("_s"), F.col("ord.id").alias("_id"), F.col("ord.n").alias("_n")), "stays")
+    discard(texts, every, buckets_, *judged, *links)
     kept = rows.join(checked_broadcast(stays), (F.col("_same") == F.col("_s")) & F.col(id_).eqNullSafe(F.col("_id")))
     if stays.where("_n > 1").isEmpty():
         return own.restored(kept)
