@@ -16,28 +16,37 @@ def refresh(spark: SparkSession, source: str, schema: str, target: str, checkpoi
 
     The checkpoint makes each file count once. Every batch writes a new version
     of the table below ``target``; a batch that is run again after a failure
-    writes its own version again.
+    writes its own version again. It starts from the newest version before its
+    own. Of the rows of a key that with the largest ``position`` stays, so the
+    result does not depend on the order in which files arrive; at equal
+    positions the later batch wins.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def merge(batch: DataFrame, number: int) -> None:
         fresh = (transform(batch) if transform else batch).withColumn("_age", F.lit(1))
-        before = f"{target}/v={number - 1}"
-        if exists(spark, before):
-            fresh = batch.sparkSession.read.parquet(before).withColumn("_age", F.lit(0)).unionByName(fresh, allowMissingColumns=True)
-        order = F.struct("_age", position)
+        before = [v for v in versions(spark, target) if v < number]
+        if before:
+            fresh = batch.sparkSession.read.parquet(f"{target}/v={max(before)}").withColumn("_age", F.lit(0)).unionByName(fresh, allowMissingColumns=True)
+        order = F.struct(position, "_age")
         out = kept_last(fresh.withColumn("_order", order), [key], "_order").drop("_age", "_order")
         out.write.mode("overwrite").parquet(f"{target}/v={number}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def latest(spark: SparkSession, target: str) -> DataFrame:
-    """The newest version of a refreshed table."""
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """Numbers of the table's complete versions."""
+    if not exists(spark, target):
+        return []
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
-    newest = max(int(n[2:]) for n in names if n.startswith("v="))
-    return spark.read.parquet(f"{target}/v={newest}")
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and exists(spark, f"{target}/{n}/_SUCCESS"))
+
+
+def latest(spark: SparkSession, target: str) -> DataFrame:
+    """The newest version of a refreshed table."""
+    return spark.read.parquet(f"{target}/v={versions(spark, target)[-1]}")
 
 
 def unprocessed(inputs: DataFrame, done: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
