@@ -37,8 +37,8 @@ BY_CHANCE, MOST_TABLES = 4, 300
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Bits within which near-dedup takes its first pairs if no radius is asked for.
 NEAR = 6
-#: Shingles are ordered by how often they occur in about so many texts, counted in so many buckets.
-SAMPLED_TEXTS, COUNTS = 5_000, 1 << 19
+#: Shingles are counted over all texts, in about so many hash buckets a text, at least and at most; counts are merged so many at once.
+COUNTS_A_TEXT, LEAST_COUNTS, MOST_COUNTS, COUNTS_AT_ONCE = 16, 1 << 12, 1 << 24, 1 << 12
 #: Hash classes by whose parities pairs are ruled out before their shingles are read; a multiple of 64.
 PARITY_BITS = 1024
 #: Buckets are compared with one of their texts each while over so many pairs a row are left and a round links this share of the rows.
@@ -317,23 +317,41 @@ def shingle_hashes(column, words: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield first + i, rolled(ids[0][a:b], b - a) if b > a else np.zeros(1, np.uint64)
 
 
-def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
-    """How many of ``texts`` (one column) have a shingle in each of ``COUNTS`` hash buckets, 65535 at most."""
+def shingle_counts(texts: DataFrame, words: int, size: int) -> np.ndarray:
+    """How many of ``texts`` (one column) have a shingle in each of ``size`` hash buckets.
+
+    Every task counts its own texts and deals its counts in blocks; the blocks
+    are added up as they arrive, so a task holds its own counts only.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(COUNTS, np.int64)
+        own = np.zeros(size, np.uint32)
         for batch in batches:
             for _, h in shingle_hashes(batch.column(0), words):
-                np.add.at(own, (h % np.uint64(COUNTS)).astype(np.int64), 1)
-        at = np.flatnonzero(own)
-        for i in range(0, len(at), 50_000):
-            part = at[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own[part])], ["at", "n"])
-
-    out = np.zeros(COUNTS, np.uint16)
-    found = texts.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out[found["at"].to_numpy()] = np.minimum(found["n"].to_numpy(), 65535)
-    return out
+                np.add.at(own, (h % np.uint64(size)).astype(np.int64), np.uint32(1))
+        if own.any():
+            blocks = own.astype(np.uint16 if own.max() < 1 << 16 else np.uint32).reshape(-1, COUNTS_AT_ONCE)
+            for i in range(0, len(blocks), 256):
+                part = pa.array([x.tobytes() for x in blocks[i : i + 256]])
+                yield pa.RecordBatch.from_arrays([pa.array(range(i, i + len(part))), part], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(*batch.to_pydict().values(), strict=True):
+                kind = np.uint16 if len(counts) == 2 * COUNTS_AT_ONCE else np.uint32
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts, kind).astype(np.int64)
+        for block, total in sums.items():
+            part = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part])], ["block", "counts"])
+
+    kinds = "block long, counts binary"
+    found = saved(texts.mapInArrow(count, kinds).repartition("block").mapInArrow(add, kinds), "counts")
+    out = np.zeros((size // COUNTS_AT_ONCE, COUNTS_AT_ONCE), np.uint32)
+    for block, counts in zip(*found.toArrow().to_pydict().values(), strict=True):
+        out[block] = np.frombuffer(counts, np.uint32)
+    discard(found)
+    return out.ravel()
 
 
 def prefixes(rows: DataFrame, counts: np.ndarray, words: int, similarity: float) -> DataFrame:
@@ -350,7 +368,7 @@ def prefixes(rows: DataFrame, counts: np.ndarray, words: int, similarity: float)
         for batch in batches:
             sizes, lists, bits = [], [], []
             for _, h in shingle_hashes(batch.column("text"), words):
-                order = np.lexsort((h, counts[(h % np.uint64(COUNTS)).astype(np.int64)]))
+                order = np.lexsort((h, counts[(h % np.uint64(len(counts))).astype(np.int64)]))
                 sizes.append(len(h))
                 odd = np.bincount((h % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) % 2
                 bits.append(np.packbits(odd.astype(bool), bitorder="little").view("<i8"))
@@ -413,9 +431,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     discard(prints)
 
     named = rows.select(F.col("_same").alias("same"), F.col(id_).alias("id"), F.col(text).alias("text"))
-    share = min(1.0, SAMPLED_TEXTS / max(1, texts.count()))
-    sample = named.where(F.pmod(F.xxhash64("same"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    cut = prefixes(named, shingle_counts(sample, words), words, similarity)
+    size = min(max(1 << (COUNTS_A_TEXT * texts.count()).bit_length(), LEAST_COUNTS), MOST_COUNTS)
+    cut = prefixes(named, shingle_counts(named.select("text"), words, size), words, similarity)
     which = texts.select(F.col("same").alias("_s"), F.col("ord.id").alias("_id"), "node", "fp")
     cut = cut.join(checked_broadcast(which), (F.col("same") == F.col("_s")) & F.col("id").eqNullSafe(F.col("_id")))
     every = saved(cut.select("node", "n", "fp", "bits", "prefix").dropDuplicates(["node"]), "prefixes")
