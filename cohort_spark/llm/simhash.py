@@ -391,6 +391,12 @@ def may_be_similar(similarity: float) -> F.Column:
     return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (common >= similarity / (1 + similarity) * (n + m) - 1e-6)
 
 
+def parities_near(similarity: float, a: str, b: str, n: str, m: str) -> F.Column:
+    """Whether texts of n and m shingles can reach the similarity by their parities; an expression without arrays, so it stays in generated code."""
+    apart = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    return apart <= (1 - similarity) / (1 + similarity) * (F.col(n) + F.col(m)) + 1e-6
+
+
 def share_enough(similarity: float) -> F.Column:
     """Whether texts of n and m shingles, k of them in both prefixes, can reach the similarity.
 
@@ -466,8 +472,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return 0
         left, right = (facts.select(*[F.col(c).alias(f"{c}_{side}") for c in facts.columns]) for side in "xy")
         close = pairs.join(left, F.col("x") == F.col("node_x")).join(right, F.col("y") == F.col("node_y"))
-        apart = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, d: n + d)
-        close = close.where(apart <= (1 - similarity) / (1 + similarity) * (F.col("n_x") + F.col("n_y")) + 1e-6)
+        close = close.where(parities_near(similarity, "bits_x", "bits_y", "n_x", "n_y"))
         if radius is not None:
             close = close.where(F.bit_count(F.col("fp_x").bitwiseXOR(F.col("fp_y"))) <= radius)
         close = saved(close.select("x", "y"), "close")
@@ -505,15 +510,22 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         left = open_.agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs")).first()
         if not left.rows:
             break
-        members = at.join(open_.select("h"), "h").alias("b")
+        members = at.join(open_.select("h"), "h")
         last = not fruitful or left.pairs <= PAIRS_A_ROW * left.rows
+        if last:  # parities come along, so that pairs which they rule out are never made
+            members = paired = saved(members.join(facts.select("node", "bits"), "node"), "members")
         others = members.select("*").alias("a") if last else open_.select("h", "lead.*").alias("a")
+        members = members.alias("b")
         apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.c") != F.col("b.c")) & may_be_similar(similarity)
-        pairs = others.join(members, apart & (F.col("a.node") < F.col("b.node")) if last else apart)
+        if last:
+            apart = apart & (F.col("a.node") < F.col("b.node")) & parities_near(similarity, "a.bits", "b.bits", "a.n", "b.n")
+        pairs = others.join(members, apart)
         if last:  # all buckets that a pair shares are here, so their number bounds what it has in common
             met = pairs.groupBy(F.col("a.node"), F.col("b.node"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count(F.lit(1)).alias("k"))
             pairs = met.where(share_enough(similarity))
         linked = judge(pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")))
+        if last:
+            discard(paired)
         turn, fruitful = turn + 1, linked > FRUITFUL * left.rows
         discard(at, open_)
     stays = texts
