@@ -28,8 +28,60 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense."),
 )
+# The grants and conditions that licence texts and standard file headers consist of.
+GPL_HEADER = "This program is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+GPL_REST = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. You should have received a copy of the {name} along with this program. If not, see https://www.gnu.org/licenses/."
+GPL_FAMILY = (
+    ("AGPL-3.0", "GNU Affero General Public License", "3", "19 November 2007"),
+    ("GPL-2.0", "GNU General Public License", "2", "June 1991"),
+    ("GPL-3.0", "GNU General Public License", "3", "29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License", "2.1", "February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License", "3", "29 June 2007"),
+)
+MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+MIT_DISCLAIMER = "The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software."
+BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_DISCLAIMER = "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."
+TEXTS = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-2-Clause", f"{BSD_GRANT} {BSD_DISCLAIMER}"),
+    ("BSD-3-Clause", f"{BSD_GRANT} {BSD_NAMES} {BSD_DISCLAIMER}"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."),
+    ("MIT", MIT_GRANT),
+    ("MIT", f"{MIT_GRANT} {MIT_DISCLAIMER}"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+)
+FAMILY = tuple(
+    (licence, text)
+    for licence, name, version, date in GPL_FAMILY
+    for text in (f"{name} Version {version}, {date}", GPL_HEADER.format(name=name, version=version), f"{GPL_HEADER} {GPL_REST}".format(name=name, version=version))
+)
+
+
+def tag(identifier: str) -> str:
+    """The one word that stands for an SPDX identifier."""
+    return "spdx" + "".join(c for c in identifier.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+#: An identifier may be followed by these where the licence is of the GNU family.
+SUFFIXES = ("", "-only", "-or-later")
+TAGS = tuple((x, tag(x + more)) for x in sorted({k for k, _ in TEMPLATES + FAMILY}) for more in (SUFFIXES if "GPL" in x else SUFFIXES[:1]))
+EVERY = TEMPLATES + TEXTS + FAMILY + TAGS
 #: Templates are broadcast; more than these would need a shuffled join.
 MOST_TEMPLATES = 1000
+#: Lines that say an SPDX identifier, and what follows it.
+SPDX = r"(?i)spdx-license-identifier:[ \t]*([^\n*]*)"
+#: Starts of comment lines.
+COMMENT = r"^[ \t]*(//+|#+|/?[*]+/?|--+|;+|<!--)"
+#: Stands between comment blocks while they are cut apart.
+GAP = "\x01"
 #: Lines that may be notices.
 NOTICE = r"(?i)licen[cs]e|copyright|public domain|redistribution|permission is hereby"
 #: Names of files whose whole text is a licence.
@@ -43,9 +95,34 @@ def _words(text: str) -> F.Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def notice_units(text: str, is_file: F.Column) -> F.Column:
+    """The distinct units of a text that may name a licence.
+
+    Lines that ``NOTICE`` finds; blocks of two comment lines or more, without
+    their markers, and the paragraphs of these, where ``NOTICE`` finds them; of
+    a licence file its whole text and its paragraphs likewise. A line with an
+    SPDX identifier gives its ``tag`` alone, an SPDX expression one tag a word,
+    so that a choice of licences is like none of them.
+    """
+    lines = F.split(text, "\n")
+    says = lambda x: x.rlike(NOTICE)
+    trimmed = lambda x: F.btrim(x, F.lit(" \n\t\r"))
+    named = lambda x: F.filter(F.split(F.regexp_replace(F.lower(F.regexp_extract(x, SPDX, 1)), "[^a-z0-9 ]", ""), " "), lambda w: w != "")
+    tagged = lambda x: F.array_join(F.transform(named(x), lambda w: F.concat(F.lit("spdx"), w)), " ")
+    single = F.transform(F.filter(lines, says), lambda x: F.when(x.rlike(SPDX), tagged(x)).otherwise(F.trim(x)))
+    bare = F.transform(lines, lambda x: F.when(x.rlike(COMMENT), F.trim(F.regexp_replace(x, COMMENT, ""))).otherwise(GAP))
+    blocks = F.filter(F.transform(F.split(F.array_join(bare, "\n"), GAP), trimmed), lambda b: b.contains("\n") & says(b))
+    blocks = F.concat(blocks, F.flatten(F.transform(blocks, lambda b: F.filter(F.split(b, "\n\n+"), says))))
+    whole = F.concat(F.array(trimmed(F.col(text))), F.filter(F.transform(F.split(text, "\n[ \t\r]*\n"), trimmed), says))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(single, blocks, F.when(is_file & F.col(text).isNotNull(), whole).otherwise(none)))
+
+
 def matched(units: DataFrame, templates=TEMPLATES, least: float = SIMILAR) -> DataFrame:
     """(unit, licence, score): the best template of each distinct unit of text with a cosine of at least ``least``.
 
+    A licence may have several templates.
+
     ``units`` is (unit, n), distinct, n its occurrences. A word's weight in a
     unit is its count times ln((N + 1) / (df + 1)) + 1 over all N occurrences.
     Cosines are rounded to 6 digits; ties go to the first licence by name.
@@ -57,13 +134,13 @@ def matched(units: DataFrame, templates=TEMPLATES, least: float = SIMILAR) -> Da
     counts = units.select("unit", "n", F.explode(_words("unit")).alias("word")).groupBy("unit", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"))
     df = counts.groupBy("word").agg(F.sum("n").alias("df"))
     idf = F.log((F.lit(total) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    known = spark.createDataFrame(list(templates), "licence string, unit string")
-    given = known.select("licence", F.explode(_words("unit")).alias("word")).groupBy("licence", "word").agg(F.count(F.lit(1)).alias("tf"))
-    given = given.join(df, "word", "left").select("licence", "word", (F.col("tf") * idf).alias("w"))
-    given = given.join(given.groupBy("licence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "licence").select("licence", "word", (F.col("w") / F.col("norm")).alias("of"))
+    known = spark.createDataFrame([(i, *x) for i, x in enumerate(templates)], "t int, licence string, unit string")
+    given = known.select("t", "licence", F.explode(_words("unit")).alias("word")).groupBy("t", "licence", "word").agg(F.count(F.lit(1)).alias("tf"))
+    given = given.join(df, "word", "left").select("t", "licence", "word", (F.col("tf") * idf).alias("w"))
+    given = given.join(given.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "t").select("t", "licence", "word", (F.col("w") / F.col("norm")).alias("of"))
     own = counts.join(df, "word").select("unit", "word", (F.col("tf") * idf).alias("w"))
     norms = own.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = own.join(F.broadcast(given), "word").groupBy("unit", "licence").agg(F.sum(F.col("w") * F.col("of")).alias("dot"))
+    dots = own.join(F.broadcast(given), "word").groupBy("unit", "t", "licence").agg(F.sum(F.col("w") * F.col("of")).alias("dot"))
     cosines = dots.join(norms, "unit").select("unit", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     best = F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best")
     return cosines.where(F.col("score") >= least).groupBy("unit").agg(best).select("unit", "best.licence", (-F.col("best.minus")).alias("score"))
@@ -73,12 +150,12 @@ def directory_of(path: str) -> F.Column:
     return F.when(F.col(path).contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.when(F.col(path).isNotNull(), ""))
 
 
-def licensed_files(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, least: float = SIMILAR) -> DataFrame:
+def licensed_files(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=EVERY, least: float = SIMILAR) -> DataFrame:
     """All rows and columns of ``files`` with the struct ``_licence``: name, origin, score, directory.
 
-    A file's notices are all its lines that ``NOTICE`` finds; a licence file's
-    whole text is one too. The best match of any gives the file's own licence
-    (origin ``notice``). Other files inherit (origin ``directory``) from their
+    A file's notices are its ``notice_units``: lines, comment blocks, SPDX tags,
+    and a licence file's text. The best match of any gives the file's own
+    licence (origin ``notice``); ties go to the first licence by name. Other files inherit (origin ``directory``) from their
     nearest ancestor directory that declares one: by licence files directly in
     it, else by its files' notices, if they agree on one licence.
 
@@ -88,9 +165,7 @@ def licensed_files(files: DataFrame, path_col: str = "path", text_col: str = "te
     own_names = Own(files)
     rows = own_names.frame.withColumn("_path", F.col(own_names[path_col])).withColumn("_text", F.col(own_names[text_col]))
     is_file = F.coalesce(F.col("_path").rlike(LICENCE_FILE), F.lit(False))
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(NOTICE))
-    units = F.array_distinct(F.concat(F.transform(lines, lambda x: F.trim(x)), F.when(is_file & F.col("_text").isNotNull(), F.array(F.trim("_text"))).otherwise(F.array().cast("array<string>"))))
-    noticed = rows.where(F.col("_text").rlike(NOTICE) | is_file).select("_path", F.sha2("_text", 256).alias("_sha"), is_file.alias("_is_file"), units.alias("_units"))
+    noticed = rows.where(F.col("_text").rlike(NOTICE) | is_file).select("_path", F.sha2("_text", 256).alias("_sha"), is_file.alias("_is_file"), notice_units("_text", is_file).alias("_units"))
     noticed = saved(noticed, "notices").withColumn("unit", F.explode("_units")).drop("_units")
     found = matched(noticed.groupBy("unit").agg(F.count(F.lit(1)).alias("n")), templates, least)
     best = F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best")
@@ -124,26 +199,36 @@ WITH f AS (
   SELECT doc_id, text, source || regexp_replace(CAST(doc_id // 10 AS VARCHAR), '(.)', '/\\1', 'g') || '/' || (doc_id % 10) || '.txt' AS path
   FROM documents),
 g AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir FROM f),
+lines AS (SELECT doc_id, path, dir, string_split(text, chr(10)) AS ls FROM g WHERE regexp_matches(text, '{NOTICE}')),
+blocks AS (
+  SELECT doc_id, path, dir, trim(block, E' \\n\\t\\r') AS block FROM (
+    SELECT doc_id, path, dir, unnest(string_split(array_to_string(list_transform(ls, lambda l:
+      CASE WHEN regexp_matches(l, '{COMMENT}') THEN trim(regexp_replace(l, '{COMMENT}', ''), ' ') ELSE chr(1) END), chr(10)), chr(1))) AS block FROM lines)
+  WHERE contains(trim(block, E' \\n\\t\\r'), chr(10))),
 noticed AS (
-  SELECT DISTINCT doc_id, path, dir, trim(line, ' ') AS unit FROM (SELECT doc_id, path, dir, unnest(string_split(text, chr(10))) AS line FROM g)
-  WHERE regexp_matches(line, '{NOTICE}')),
+  SELECT DISTINCT doc_id, path, dir, CASE WHEN regexp_matches(line, '{SPDX}') THEN array_to_string(list_transform(list_filter(
+      string_split(regexp_replace(lower(regexp_extract(line, '{SPDX}', 1)), '[^a-z0-9 ]', '', 'g'), ' '), lambda w: w <> ''), lambda w: 'spdx' || w), ' ')
+    ELSE trim(line, ' ') END AS unit
+  FROM (SELECT doc_id, path, dir, unnest(ls) AS line FROM lines) WHERE regexp_matches(line, '{NOTICE}')
+  UNION SELECT doc_id, path, dir, block FROM blocks WHERE regexp_matches(block, '{NOTICE}')
+  UNION SELECT doc_id, path, dir, part FROM (SELECT doc_id, path, dir, unnest(regexp_split_to_array(block, '\\n\\n+')) AS part FROM blocks) WHERE regexp_matches(part, '{NOTICE}')),
 units AS (SELECT unit, count(*) AS n FROM noticed GROUP BY unit),
 total AS (SELECT coalesce(sum(n), 0) AS total FROM units),
 counts AS (
   SELECT unit, n, word, count(*) AS tf
   FROM (SELECT unit, n, unnest(regexp_extract_all(lower(unit), '{WORD}')) AS word FROM units) GROUP BY ALL),
 df AS (SELECT word, sum(n) AS df FROM counts GROUP BY word),
-templates(licence, text) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES)}),
+templates(t, licence, text) AS (VALUES {", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(EVERY))}),
 tw AS (
-  SELECT licence, word, count(*) AS tf
-  FROM (SELECT licence, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM templates) GROUP BY ALL),
-tv AS (SELECT licence, tw.word, tf * (ln((total + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM tw LEFT JOIN df USING (word), total),
-tn AS (SELECT licence, sqrt(sum(w * w)) AS norm FROM tv GROUP BY licence),
+  SELECT t, licence, word, count(*) AS tf
+  FROM (SELECT t, licence, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM templates) GROUP BY ALL),
+tv AS (SELECT t, licence, tw.word, tf * (ln((total + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM tw LEFT JOIN df USING (word), total),
+tn AS (SELECT t, sqrt(sum(w * w)) AS norm FROM tv GROUP BY t),
 uv AS (SELECT unit, counts.word, tf * (ln((total + 1) / (df + 1)) + 1) AS w FROM counts JOIN df USING (word), total),
 un AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM uv GROUP BY unit),
 cosines AS (
   SELECT unit, licence, round(sum(uv.w * tv.w / tn.norm) / any_value(un.norm), 6) AS score
-  FROM uv JOIN tv USING (word) JOIN tn USING (licence) JOIN un USING (unit) GROUP BY unit, licence),
+  FROM uv JOIN tv USING (word) JOIN tn USING (t) JOIN un USING (unit) GROUP BY unit, t, licence),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, licence) AS k FROM cosines WHERE score >= {SIMILAR}) WHERE k = 1),
 own AS (
   SELECT doc_id, dir, licence, score FROM (

@@ -44,6 +44,93 @@ FILES = [
 ]
 
 
+def commented(text, mark="# "):
+    return "\n".join((mark + x).rstrip() for x in text.split("\n"))
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2019 Some Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+GPL_NOTICE = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+APACHE_NOTICE = """Copyright 2020 Some Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+BSD_FILE = f"""Copyright (c) 2001, Some Person
+All rights reserved.
+
+{licences.BSD_GRANT}
+
+{licences.BSD_NAMES}
+
+{licences.BSD_DISCLAIMER.upper()}"""
+REAL = [
+    ("mit/LICENSE", MIT_FILE, "MIT"),
+    ("mit/src/main.py", "import os\n", "MIT"),
+    ("bsd3/LICENSE.txt", BSD_FILE, "BSD-3-Clause"),
+    ("bsd2/COPYING", BSD_FILE.replace(licences.BSD_NAMES, ""), "BSD-2-Clause"),
+    ("bsd3/lib/a.c", "/*\n" + commented(BSD_FILE, " * ") + "\n */\nint x;", "BSD-3-Clause"),
+    ("gpl/LICENSE", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nEveryone is permitted to copy.\n\n" + "terms of use " * 3000, "GPL-3.0"),
+    ("gpl/x/y/z.sh", "echo", "GPL-3.0"),
+    ("apache/LICENSE", "  Apache License\n  Version 2.0, January 2004\n  http://www.apache.org/licenses/\n\nTERMS AND CONDITIONS " + "of use " * 2000, "Apache-2.0"),
+    ("h/a.py", "#!/usr/bin/python\n" + commented(GPL_NOTICE) + "\ncode()", "GPL-3.0"),
+    ("h/b.js", commented(APACHE_NOTICE, "// ") + "\ncode()", "Apache-2.0"),
+    ("h/lesser.c", commented(GPL_NOTICE.replace("General", "Lesser General"), "// "), "LGPL-3.0"),
+    ("h/two.c", commented(GPL_NOTICE.replace("version 3", "version 2"), "-- "), "GPL-2.0"),
+    ("s/a.c", "/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0"),
+    ("s/b.rs", "// SPDX-License-Identifier: MIT", "MIT"),
+    ("s/c.rs", "// SPDX-License-Identifier: MIT OR Apache-2.0", None),
+    ("s/d.rs", "# SPDX-License-Identifier: GPL-1.0", None),
+    ("n/prose.txt", "# The copyright office\n# is closed on Monday", None),
+]
+
+
+def test_real_licence_texts(spark):
+    df = spark.createDataFrame([(p, t) for p, t, _ in REAL], "path string, text string")
+    out = {r.path: r._licence for r in licences.licensed_files(df).collect()}
+    assert {p: out[p].name for p, _, _ in REAL} == {p: want for p, _, want in REAL}
+    assert (out["mit/src/main.py"].origin, out["mit/src/main.py"].directory) == ("directory", "mit")
+    assert out["h/b.js"].origin == "notice"
+
+
 def test_licences(spark):
     df = spark.createDataFrame([(p, t, "n", "u", 1, 2) for p, t in FILES], "path string, text string, licence string, unit string, _path int, _own int")
     out = licences.licensed_files(df)
