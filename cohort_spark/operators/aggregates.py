@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohort_spark.functions.arrays import gcd_of
@@ -16,11 +16,15 @@ def collected(c) -> Column:
     return F.array_sort(F.collect_set(non_blank(c)))
 
 
-def first_seen(value, position, separator: str | None = None) -> Column:
-    """Distinct values of a group in the order of their first position."""
-    pairs = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(position).alias("p"), F.col(value).alias("v")))))
-    out = F.array_distinct(F.transform(pairs, lambda x: x["v"]))
-    return F.array_join(out, separator) if separator else out
+def first_seen(df: DataFrame, keys: Sequence[str], value: str, position: str, name: str, separator: str | None = None) -> DataFrame:
+    """(keys, name): each group's distinct values in the order of their first position; ties by value, none for nulls alone.
+
+    Repeats are merged before a group's values meet in one list.
+    """
+    each = df.groupBy(*keys, value).agg(F.min(position).alias("_p"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col("_p").alias("p"), F.col(value).alias("v")))))
+    out = F.transform(pairs, lambda x: x["v"])
+    return each.groupBy(*keys).agg((F.array_join(out, separator) if separator else out).alias(name))
 
 
 def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -100,7 +104,10 @@ def reference_audit(df: DataFrame, source: str, columns: Sequence[str], files: D
     is_uri = F.col("ref").contains("://")
     joined = rows.join(known, F.col("ref") == F.col("_path"), "left").withColumn("_local", F.col("ref").isNotNull() & ~is_uri)
     missing = F.col("_local") & F.col("_path").isNull()
-    return joined.groupBy(source, "column").agg(
+    by_name = Window.partitionBy(source, "column").orderBy("ref")
+    first = joined.where(missing).select(source, "column", "ref").distinct().withColumn("_k", F.row_number().over(by_name)).where(F.col("_k") <= examples)
+    first = first.groupBy(F.col(source).alias("_source"), F.col("column").alias("_column")).agg(F.array_sort(F.collect_list("ref")).alias("_examples"))
+    counts = joined.groupBy(source, "column").agg(
         F.count_distinct(F.when(F.col("ref").isNotNull(), F.col("_row"))).alias("rows_with_refs"),
         F.count("ref").alias("refs"),
         F.count_if("_local").alias("local"),
@@ -108,8 +115,9 @@ def reference_audit(df: DataFrame, source: str, columns: Sequence[str], files: D
         F.count_if(F.col("_local") & F.col("_path").isNotNull()).alias("existing"),
         F.count_if(missing).alias("missing"),
         F.count_distinct(F.when(missing, F.col("ref"))).alias("unique_missing"),
-        F.slice(F.array_sort(F.collect_set(F.when(missing, F.col("ref")))), 1, examples).alias("examples"),
     )
+    both = counts.join(first, F.col(source).eqNullSafe(F.col("_source")) & (F.col("column") == F.col("_column")), "left")
+    return both.withColumn("examples", F.coalesce("_examples", F.array().cast("array<string>"))).drop("_source", "_column", "_examples")
 
 
 def split_counts(df: DataFrame, column: str = "split") -> DataFrame:
@@ -152,8 +160,6 @@ def collisions(df: DataFrame, target: str, key: str) -> DataFrame:
 
 def coordinate_step(df: DataFrame, slide: str, x: str = "x", y: str = "y") -> DataFrame:
     """(slide, step): the greatest common divisor of all gaps between sorted distinct x and between sorted distinct y, null without gaps."""
-    from pyspark.sql import Window
-
     axes = df.select(slide, F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col(x).alias("v")), F.struct(F.lit(1).alias("axis"), F.col(y).alias("v")))).alias("a")).select(slide, "a.*").distinct()
     gap = F.col("v") - F.lag("v").over(Window.partitionBy(slide, "axis").orderBy("v"))
     return axes.withColumn("gap", gap).groupBy(slide).agg(gcd_of(F.collect_set("gap")).alias("step"))
@@ -203,14 +209,15 @@ def gene_flags(df: DataFrame, genes: str, panel: Sequence[str], observed: str) -
 
 def modalities_by_path(df: DataFrame, key: str, path: str, modality: str, position: str) -> DataFrame:
     """Per key two aligned lists: sorted paths and their modalities, first seen first, joined by a bar."""
-    each = df.groupBy(key, path).agg(first_seen(modality, position, "|").alias("m"))
+    each = first_seen(df, [key, path], modality, position, "m", "|")
     pairs = F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), "m")))
     return each.groupBy(key).agg(pairs.alias("_p")).select(key, F.col("_p.p").alias("paths"), F.col("_p.m").alias("modalities"))
 
 
 def grouped_records(df: DataFrame, patient: str, unique: str, fields: Sequence[str]) -> DataFrame:
-    """Per patient its records, one a unique id, sorted; blank patients go."""
-    kept = df.where(non_blank(patient).isNotNull()).dropDuplicates([patient, unique])
+    """Per patient its records, one a unique id, sorted; blank patients go. Of several records of an id the smallest by its fields stays."""
+    least = F.min(F.struct(*fields)).alias("_r")
+    kept = df.where(non_blank(patient).isNotNull()).groupBy(patient, unique).agg(least).select(patient, unique, "_r.*")
     return kept.groupBy(patient).agg(F.array_sort(F.collect_list(F.struct(unique, *fields))).alias("records"))
 
 
@@ -241,9 +248,7 @@ def usable_masks(df: DataFrame, mask: str, label: str, least: int = 1) -> DataFr
 def legacy_captions(slides: DataFrame, keys: Sequence[str], caption: str, reports: str, position: str) -> DataFrame:
     """Slide rows to case captions: distinct captions in order, numbered, with the group's report paths."""
     paths = slides.select(*keys, position, F.posexplode_outer(reports).alias("_i", "_path")).withColumn("_o", F.struct(position, "_i"))
-    united = paths.groupBy(*keys).agg(first_seen("_path", "_o").alias(reports))
-    from pyspark.sql import Window
-
+    united = first_seen(paths, keys, "_path", "_o", reports)
     own = slides.where(non_blank(caption).isNotNull()).groupBy(*keys, caption).agg(F.min(position).alias("_p"))
     numbered = own.withColumn("variant", F.row_number().over(Window.partitionBy(*keys).orderBy("_p", caption)) - 1).drop("_p")
     return numbered.join(united, list(keys))

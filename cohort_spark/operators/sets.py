@@ -34,10 +34,16 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, overwrite: bool = False, position: str = "seq") -> DataFrame:
-    """Both tables, the later row of each key; with ``overwrite`` the incoming alone. A missing key column falls back to sample_id."""
+    """Both tables, the later row of each key; with ``overwrite`` the incoming alone. A missing key column falls back to sample_id.
+
+    Incoming rows are later than existing ones, then the larger position is later;
+    rows alike in both, or without that column, go by all their columns, so the
+    result does not depend on partitioning.
+    """
     if overwrite:
         return incoming
     by = key if key in existing.columns and key in incoming.columns else "sample_id"
     both = existing.withColumn("_age", F.lit(0)).unionByName(incoming.withColumn("_age", F.lit(1)), allowMissingColumns=True)
-    order = F.struct("_age", *([position] if position in both.columns else []))
+    rest = [c for c, kind in both.dtypes if c not in ("_age", position, by) and "map<" not in kind and kind != "variant"]
+    order = F.struct("_age", *([position] if position in both.columns else []), *rest)
     return kept_last(both.withColumn("_order", order), [by], "_order").drop("_age", "_order")

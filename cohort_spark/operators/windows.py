@@ -58,8 +58,8 @@ def evenly_spaced(df: DataFrame, slide: str, most: int, position: str = "row_idx
     rounded half to even; the last is n - 1. A position is chosen if some i gives
     it, which is tested on the two candidates around it, without a join on i.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy(slide))
-    out = df.withColumn("_n", n)
+    n = df.groupBy(F.col(slide).alias("_slide")).agg(F.count(F.lit(1)).alias("_n"))
+    out = df.join(n, F.col(slide).eqNullSafe(F.col("_slide"))).drop("_slide")
     if most == 1:
         return out.where(F.col(position) == 0).drop("_n")
     step = (F.col("_n") - 1) / F.lit(float(most - 1))
@@ -75,13 +75,21 @@ def evenly_spaced(df: DataFrame, slide: str, most: int, position: str = "row_idx
 def held_out(df: DataFrame, group: str, fraction: float, seed: int = 7) -> DataFrame:
     """``df`` with ``part`` train or val: whole groups by seeded hash, at least one in val and one in train.
 
-    val gets max(1, round-half-even(n * fraction)) groups, at most n - 1.
+    val gets the max(1, round-half-even(n * fraction)) groups, at most n - 1, of
+    the smallest hashes. Groups are counted by the first digits of their hash
+    (65,536 counts at most); only those that share the last group's are sorted.
     """
-    groups = df.select(group).distinct()
-    n = groups.count()
-    k = min(max(1, round(n * fraction)), max(n - 1, 0))
-    val = groups.orderBy(seeded(seed, group), group).limit(k).withColumn("_val", F.lit(True))
-    return df.join(val, group, "left").withColumn("part", F.when(F.col("_val"), "val").otherwise("train")).drop("_val")
+    groups = df.select(group).distinct().withColumn("_h", seeded(seed, group))
+    head = F.substring("_h", 1, 4)
+    counts = sorted((r.head, r.n) for r in groups.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n")).collect())
+    n = sum(c for _, c in counts)
+    left, last = min(max(1, round(n * fraction)), max(n - 1, 0)), ""
+    for last, c in counts:
+        if left <= c:
+            break
+        left -= c
+    val = groups.where(head < last).union(groups.where(head == last).orderBy("_h", group).limit(left)).select(F.col(group).alias("_g"), F.lit(True).alias("_val"))
+    return df.join(val, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g").withColumn("part", F.when(F.col("_val"), "val").otherwise("train")).drop("_val")
 
 
 def capped(df: DataFrame, order: Sequence[str], per: Sequence[tuple[str, int]], total: int | None = None) -> DataFrame:

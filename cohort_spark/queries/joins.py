@@ -140,12 +140,12 @@ def j21_first_existing(t):
     return J.first_existing(rows, "l_orderkey", "refs", t("part").where("p_size > 30").select(F.col("p_partkey").alias("path"))).drop("refs")
 
 
-@Q("SELECT label, vec_id FROM embeddings WHERE label IN (1, 2)")
+@Q("SELECT label, vec_id FROM embeddings WHERE label IS NOT NULL")
 def j16_dereferenced(t):
     """Stored rows of parsed references."""
     from cohort_spark.functions.text import feature_ref, ref_part
 
-    refs = t("embeddings").where("label in (1, 2)").select(feature_ref(F.lit("store"), label=F.col("label").cast("string")).alias("ref")).distinct()
+    refs = t("embeddings").where("label is not null").select(feature_ref(F.lit("store"), label=F.col("label").cast("string")).alias("ref")).distinct()
     return J.dereferenced(refs.withColumn("label", ref_part("ref", "label").cast("int")), t("embeddings").select("label", "vec_id"), ["label"]).drop("ref")
 
 

@@ -1,6 +1,8 @@
 """Operators on small literals: edge cases and expected values."""
 
+import hashlib
 import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import Row
@@ -223,3 +225,36 @@ def test_refresh_does_not_depend_on_the_order_of_files(spark, tmp_path):
         spark.createDataFrame([(9, 0, "new")], "k long, at long, v string").coalesce(1).write.mode("append").parquet(f"{base}/in")
         refresh.refresh(spark, f"{base}/in", "k long, at long, v string", f"{base}/out", f"{base}/done", "k", "at")
         assert {r.k for r in refresh.latest(spark, f"{base}/out").collect()} == {0, 1, 2, 3, 4, 9}
+
+
+def test_upsert_of_repeated_keys_is_settled(spark):
+    old = spark.createDataFrame([("a", 5), ("a", 3), ("b", 1)], "id string, v int")
+    new = spark.createDataFrame([("b", 7), ("b", 9), (None, 1), (None, 2)], "id string, v int")
+    for parts in (1, 7):
+        out = sets.upsert(old.repartition(parts), new.repartition(parts), "id")
+        assert {tuple(r) for r in out.collect()} == {("a", 5), ("b", 9), (None, 2)}
+    placed = sets.upsert(old.withColumn("seq", -F.col("v")), new.withColumn("seq", -F.col("v")), "id")
+    assert {(r.id, r.v) for r in placed.collect()} == {("a", 3), ("b", 7), (None, 1)}
+
+
+def test_first_seen_merges_repeats(spark):
+    rows = [("g", "x", 3), ("g", "y", 1), ("g", "x", 0), ("g", None, 2), ("h", None, 0)]
+    df = spark.createDataFrame(rows * 3, "k string, v string, p int")
+    assert {r.k: r.out for r in aggregates.first_seen(df, ["k"], "v", "p", "out").collect()} == {"g": ["x", "y"], "h": []}
+
+
+def test_reference_audit_shows_few_examples(spark):
+    rows = [("s", [f"/lost/{i:02d}" for i in range(9)] * 2), (None, ["/here", "/gone", "x://y", None]), ("t", [])]
+    df = spark.createDataFrame(rows, "source string, paths array<string>")
+    out = aggregates.reference_audit(df, "source", ["paths"], spark.createDataFrame([("/here",)], "path string"))
+    found = {r.source: (r.refs, r.missing, r.unique_missing, r.examples) for r in out.collect()}
+    assert found == {"s": (18, 18, 9, [f"/lost/{i:02d}" for i in range(5)]), None: (3, 1, 1, ["/gone"]), "t": (0, 0, 0, [])}
+
+
+def test_held_out_takes_the_smallest_hashes(spark):
+    df = spark.createDataFrame([(i // 2,) for i in range(400)] + [(None,)], "g int")
+    out = windows.held_out(df, "g", 0.3)
+    assert out.count() == 401
+    hashes = {g: hashlib.sha256(f"7:{g}".encode() if g is not None else b"7").hexdigest() for g in [*range(200), None]}
+    want = set(sorted(hashes, key=hashes.get)[: round(201 * 0.3)])
+    assert {r.g for r in out.where("part = 'val'").collect()} == want
