@@ -538,3 +538,63 @@ def test_toxicity_without_labels(spark):
     assert toxicity.scored(docs, toxicity.fit_on(docs, none)).first().score == 0.5
     one = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert toxicity.scored(docs, toxicity.fit_on(docs, one)).first().score > 0.5
+
+
+def gram_buckets(text):
+    """Buckets of a text's character 3- to 5-grams, in plain integers."""
+    points = [32 if ord(c) < 33 else ord(c) for c in f" {text.lower()} "] if text else []
+    out, most = set(), 1 << 64
+    for n in (3, 4, 5):
+        for i in range(len(points) - n + 1):
+            h = 0
+            for p in points[i : i + n]:
+                h = (h * 0x100000001B3 + p) % most
+            h = (h + n) % most
+            for _ in range(2):
+                h ^= h >> 32
+                h = h * 0xD6E8FEB86659FD93 % most
+            out.add((h ^ (h >> 32)) >> 44)
+    return out
+
+
+def test_toxicity_by_brute_force(spark):
+    rng = random.Random(11)
+    rows, labels = [], {}
+    for i in range(400):
+        labels[i] = int(rng.random() < 0.3)
+        words = prose(rng, 30).split() + [rng.choice(["blockhead", "Numb\tskull"])] * labels[i]
+        rows.append((i, " ".join(words), "s"))
+    long = " ".join(f"w{i % 400}" for i in range(60_000))
+    rows += [(900, long, "s"), (901, long + " blockhead", "s"), (902, "", "s"), (903, None, "s"), (7, rows[7][1], "s"), (904, "Ünïcode \U0001f600 blockhead", "s")]
+    docs = frame(spark, rows)
+    model = toxicity.fit_on(docs.where("doc_id < 900").dropDuplicates(["doc_id"]), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    train = [(gram_buckets(t), labels[i]) for i, t, _ in rows[:400] if not held(i)]
+    pos, neg = sum(y for _, y in train), sum(1 - y for _, y in train)
+    counts = defaultdict(lambda: [0, 0])
+    for found, y in train:
+        for g in found:
+            counts[g][y] += 1
+    ratio = {g: math.log((p + 1) / (pos + 2)) - math.log((q + 1) / (neg + 2)) for g, (q, p) in counts.items()}
+    features = {g for g, (q, p) in counts.items() if p + q >= 3 and abs(ratio[g]) / math.sqrt(1 / (p + 1) + 1 / (q + 1)) >= toxicity.LEAST_Z}
+    assert features and set(np.flatnonzero(model.weights).tolist()) <= features
+    weight = {g: float(model.weights[g]) for g in features}
+    z = lambda found: model.bias + sum(weight[g] for g in found & features)
+    # the fit is a minimum: mean log loss over scaled features, ridge on their coefficients
+    slope, bias_slope = defaultdict(float), 0.0
+    for found, y in train:
+        off = (1 / (1 + math.exp(-z(found))) - y) / len(train)
+        bias_slope += off
+        for g in found & features:
+            slope[g] += off * ratio[g]
+    assert abs(bias_slope) < 1e-3 and all(abs(slope[g] + 1e-3 * weight[g] / ratio[g]) < 1e-3 for g in features)
+    out = toxicity.scored(docs, model).collect()
+    assert sorted(r.doc_id for r in out) == sorted(i for i, _, _ in rows)
+    texts = {i: t for i, t, _ in rows}
+    for r in out:
+        want = 1 / (1 + math.exp(-z(gram_buckets(texts[r.doc_id]))))
+        assert math.isclose(r.score, want, rel_tol=1e-4, abs_tol=1e-6)
+        assert r.predicted == int(r.score >= 0.5) and r.held_out == held(r.doc_id)
+    by = {r.doc_id: r.predicted for r in out}
+    assert (by[900], by[901], by[902], by[903], by[904]) == (0, 1, 0, 0, 1)
+    assert toxicity.scored(docs.limit(0), model).count() == 0
