@@ -1,6 +1,6 @@
 """The subpackage's queries, with SQL where SQL can express them."""
 
-from cohort_spark.llm import licences, mixing, packing, quality, substring, topk, toxicity, urls, warc
+from cohort_spark.llm import interactions, licences, mixing, packing, quality, substring, topk, toxicity, urls, warc
 from cohort_spark.llm.simhash import near_duplicates
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op8_url_rules": urls.op8_url_rules,
     "op9_simhash": op9_simhash,
     "op10_packing": packing.op10_packing,
+    "op11_filter_audit": interactions.op11_filter_audit,
 }
 
 SQL = {
@@ -29,4 +30,5 @@ SQL = {
     "op6_host_rules": quality.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_url_rules": urls.OP8_SQL,
+    "op11_filter_audit": interactions.OP11_SQL,
 }
