@@ -1,5 +1,6 @@
 """Filter interaction audit, phrase mining and decontamination against brute force."""
 
+import random
 import re
 from collections import Counter
 from itertools import permutations
@@ -7,7 +8,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from cohort_spark.llm import interactions
+from cohort_spark.llm import decontamination, interactions
 
 
 # -- filter interaction audit -----------------------------------------------------
@@ -96,3 +97,112 @@ def test_packed_outcome_removes_each_failing_row_once(mask):
     raw = interactions.fields(interactions.packed_outcome(mask, True, False), 3000)
     for i in range(0, 3000, 25):
         assert sum(raw[i + 1 : i + 25 : 5]) == (mask > 0) and raw[i + 20] == (mask == 0)
+
+
+# -- decontamination ----------------------------------------------------------------
+
+
+def decontamination_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def contamination_by_hand(rows, items, window=10):
+    out = []
+    for doc, text in rows:
+        ws, hit, listed = decontamination_words(text), set(), set()
+        for item, t in items:
+            own = decontamination_words(t)
+            w = min(window, len(own))
+            for i in range(len(own) - w + 1 if own else 0):
+                for j in range(len(ws) - w + 1):
+                    if ws[j : j + w] == own[i : i + w]:
+                        hit |= set(range(j, j + w))
+                        listed.add(item)
+        listed = sorted(str(x) for x in listed - {None})
+        out.append((doc, len(ws), len(hit), listed, bool(hit)))
+    return sorted(out, key=repr)
+
+
+PASSAGE = "The quick brown fox, jumps over 13 lazy dogs and Ünder the old bridge at night while we sleep"
+ITEMS = [
+    (7, PASSAGE),
+    (30, PASSAGE),
+    (7, "again again again again again again again again again again again"),
+    (100, "short item"),
+    (101, "!"),
+    (102, ""),
+    (103, None),
+    (None, "nameless words"),
+    (104, "a b a b a b a b a b a b"),
+    (105, "never seen words of an item that no document has at all"),
+    (106, "the the the the the the the the the the"),
+]
+CHECKED = [
+    (1, "so " + PASSAGE.upper().replace("Ü", "ü") + " so"),
+    (2, "the quick brown fox jumps over 13 lazy dogs"),
+    (2, "x the quick brown fox jumps over 13 lazy dogs and"),
+    (3, None),
+    (4, ""),
+    (5, "...!"),
+    (6, "short-item, then nameless\x00words; SHORT\nitem"),
+    (None, "short item"),
+    (None, "nothing"),
+    (7, "b a b a b a b a b a b a b a b"),
+    (8, "again " * 30 + "other " + "again " * 9),
+    (9, "the " * 500 + "a b " * 300 + PASSAGE),
+    (10, ("filler words of a long text " * 40 + PASSAGE + " ") * 6 + "short item"),
+    (11, "ends with short"),
+    (12, "item starts"),
+    (13, "ünder the old bridge at night while we sleep"),
+    (14, "dogs and ünder the old bridge at night while we sleep"),
+    (15, "the quick brown fox jumps over 13 lazy cats and ünder the old bridge at night while we sleep"),
+]
+
+
+@pytest.mark.parametrize("segment_words, parts", [(100, 1), (100, 4), (1 << 20, 3)])
+def test_contamination_equals_brute_force(spark, monkeypatch, segment_words, parts):
+    monkeypatch.setattr(decontamination.positional_index, "__defaults__", ("doc_id", "text", segment_words))
+    monkeypatch.setattr(decontamination, "ALIGNMENTS", 50)
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 20)
+    docs = spark.createDataFrame(CHECKED, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("row", "item", "rows", "ids", "segment", "id", "item_id")})
+    items = spark.createDataFrame(ITEMS, "item_id long, text string").withColumns({c: F.lit("clash") for c in ("doc_id", "query", "words")})
+    found = decontamination.contamination(docs.repartition(parts), items).collect()
+    assert sorted((tuple(r) for r in found), key=repr) == contamination_by_hand(CHECKED, ITEMS)
+
+
+def test_contamination_of_empty_tables(spark):
+    docs, items = spark.createDataFrame(CHECKED, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert decontamination.contamination(docs.limit(0), items).count() == 0
+    assert decontamination.contamination(docs, items.limit(0)).where("not contaminated and n_hit = 0 and size(items) = 0").count() == len(CHECKED)
+
+
+def test_contamination_of_random_texts(spark):
+    pick = random.Random(5)
+    text = lambda n, k: " ".join(pick.choice("abcdefgh"[:k]) for _ in range(n))
+    rows = [(i, text(pick.randrange(60), pick.choice((2, 3, 8)))) for i in range(120)]
+    items = [(i, text(pick.randrange(16), pick.choice((2, 3)))) for i in range(25)]
+    found = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=4).collect()
+    assert sorted((tuple(r) for r in found), key=repr) == contamination_by_hand(rows, items, 4)
+
+
+def test_proximity_matches_equal_brute_force(spark):
+    pick = random.Random(6)
+    rows = [(i, " ".join(pick.choice("abcdefgh") for _ in range(pick.randrange(1, 150)))) for i in range(40)]
+    queries = [(0, "a b c"), (1, "h h a"), (2, "a"), (3, "a zz"), (4, "c b a d")]
+    for segment_words in (100, 1 << 20):
+        index = decontamination.positional_index(spark.createDataFrame(rows, "doc_id long, text string"), segment_words=segment_words)
+        words = decontamination.query_words(spark.createDataFrame(queries, "item_id long, text string"))
+        found = sorted((r.id, r.item, r.start, r.until) for r in decontamination.proximity_matches(index, words, 6).collect())
+        wanted = []
+        for doc, text in rows:
+            ws = text.split()
+            for item, q in queries:
+                need, spans = set(q.split()), []
+                for s in range(len(ws)):
+                    u = next((u for u in range(s + 1, min(len(ws), s + 6) + 1) if need <= set(ws[s:u])), None)
+                    if u and not any(need <= set(ws[s2:u]) for s2 in range(s + 1, u)):
+                        spans.append((doc, item, s, u))
+                wanted += spans
+        assert found == sorted(wanted) and found
+    with pytest.raises(ValueError):
+        decontamination.proximity_matches(index, words, 1000)
