@@ -1,6 +1,6 @@
 """The subpackage's queries, with SQL where SQL can express them."""
 
-from cohort_spark.llm import decontamination, interactions, licences, mixing, packing, quality, substring, topk, toxicity, urls, warc
+from cohort_spark.llm import decontamination, interactions, licences, mixing, packing, phrases, quality, substring, topk, toxicity, urls, warc
 from cohort_spark.llm.simhash import near_duplicates
 
 
@@ -20,6 +20,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_packing": packing.op10_packing,
     "op11_filter_audit": interactions.op11_filter_audit,
+    "op12_collocations": phrases.op12_collocations,
     "op13_decontamination": decontamination.op13_decontamination,
 }
 
@@ -32,5 +33,6 @@ SQL = {
     "op7_warc": warc.OP7_SQL,
     "op8_url_rules": urls.OP8_SQL,
     "op11_filter_audit": interactions.OP11_SQL,
+    "op12_collocations": phrases.OP12_SQL,
     "op13_decontamination": decontamination.OP13_SQL,
 }
