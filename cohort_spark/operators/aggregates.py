@@ -221,11 +221,6 @@ def grouped_records(df: DataFrame, patient: str, unique: str, fields: Sequence[s
     return kept.groupBy(patient).agg(F.array_sort(F.collect_list(F.struct(unique, *fields))).alias("records"))
 
 
-def mutation_index(hits: DataFrame, link: str, gene: str, event: str) -> DataFrame:
-    """Per case or patient: events, distinct genes and their sorted list; ``hits`` is one row a (link, event, gene)."""
-    return hits.where(non_blank(link).isNotNull()).groupBy(link).agg(F.count_distinct(event).alias("events"), F.count_distinct(non_blank(gene)).alias("genes"), collected(F.upper(gene)).alias("gene_list"))
-
-
 def driver_panel(first: DataFrame, second: DataFrame, kind: str, gene: str, q: str, both: float = 0.05, alone: float = 0.01) -> DataFrame:
     """(kind, panel): genes with q at most ``both`` in both tables, else those of the first at most ``alone``."""
     shared = first.where(F.col(q) <= both).select(kind, gene).join(second.where(F.col(q) <= both).select(kind, gene), [kind, gene], "left_semi")

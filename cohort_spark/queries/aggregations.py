@@ -188,11 +188,6 @@ def a18_grouped_records(t):
     return r.select("o_custkey", F.col("records.o_orderkey").alias("orders"))
 
 
-@Q("SELECT user_id, count(DISTINCT event_id) AS events, count(DISTINCT event_type) AS genes, list_sort(list(DISTINCT upper(event_type))) AS gene_list FROM events GROUP BY 1")
-def a19_mutation_index(t):
-    return A.mutation_index(t("events"), "user_id", "event_type", "event_id")
-
-
 @Q("""WITH a AS (SELECT p_brand AS kind, p_type AS gene, min(p_size) / 1000 AS q FROM part GROUP BY 1, 2), b AS (SELECT p_brand AS kind, p_type AS gene, max(p_size) / 1000 AS q FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2),
       s AS (SELECT kind, gene FROM a WHERE q <= 0.02 AND (kind, gene) IN (SELECT (kind, gene) FROM b WHERE q <= 0.02)),
       u AS (SELECT * FROM s UNION SELECT kind, gene FROM a WHERE q <= 0.005 AND kind NOT IN (SELECT kind FROM s))
