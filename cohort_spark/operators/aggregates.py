@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohort_spark.functions.arrays import gcd_of
 from cohort_spark.functions.text import frames, image_reject_reason, is_derived, is_localizer, is_secondary_capture, non_blank
+from cohort_spark.operators.quantiles import quantiles
 
 
 def collected(c) -> Column:
@@ -134,15 +135,19 @@ def distribution(df: DataFrame, keys: Sequence[str], value: str, low: float, hig
     v = F.col(value)
     ok = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     share = lambda c: F.avg(c.cast("int"))
-    return ok.groupBy(*keys).agg(
+    counts = ok.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(v).alias("mean"),
         F.stddev_pop(v).alias("sd"),
-        F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
         share(v < low).alias("below"),
         share(v.between(low, high)).alias("between"),
         share(v > high).alias("above"),
-    ).select(*keys, "n", "mean", "sd", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"), "below", "between", "above")
+    )
+    ranked = quantiles(ok, keys, value, [0.25, 0.5, 0.75]).toDF(*[f"_{i}" for i in range(len(keys))], "_q")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    return counts.join(ranked, same).select(*keys, "n", "mean", "sd", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"), "below", "between", "above")
 
 
 def merged_records(df: DataFrame, key: str, fields: Sequence[str], source: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohort_spark.functions.text import boolean, clean, col, number
+from cohort_spark.operators.quantiles import quantiles
 from cohort_spark.sources.registry import is_blank
 
 
@@ -54,7 +55,7 @@ def quantile_band(df: DataFrame, column: str, low: float | None = None, high: fl
     """Rows within the exact, interpolated quantiles, inclusive; a missing bound is the extreme; nulls go if there is a bound."""
     if low is None and high is None:
         return df
-    bounds = df.agg(F.percentile(column, F.array(F.lit(low or 0.0), F.lit(1.0 if high is None else high))).alias("_b"))
+    bounds = quantiles(df, [], column, [low or 0.0, 1.0 if high is None else high]).withColumnRenamed("quantiles", "_b")
     return df.join(F.broadcast(bounds)).where(F.col(column).between(F.col("_b")[0], F.col("_b")[1])).drop("_b")
 
 

@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohort_spark.queries.base import Registry
 from cohort_spark.sources import files as S
 from cohort_spark.sources import registry as R
+from cohort_spark.sources.scratch import scratch_path
 from cohort_spark.streaming import refresh
 
 Q = Registry()
 
 
 def scratch(df: DataFrame, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one in local mode."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(df.sparkSession, name)
 
 
 @Q("SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, o_orderstatus AS source, 'F' AS split FROM orders WHERE o_orderstatus = 'F'")
