@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,10 +185,14 @@ def bucketed(df: DataFrame, slide: str, k: int, x: str = "x", y: str = "y", posi
 
 
 def mean_vectors(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
-    """Mean vector of each group, dimension by dimension, with partial aggregation."""
-    each = df.select(*keys, F.posexplode(vector).alias("_d", "_v")).groupBy(*keys, "_d").agg(F.avg(F.col("_v").cast("double")).alias("_m"))
-    ordered = F.array_sort(F.collect_list(F.struct("_d", "_m")))
-    return each.groupBy(*keys).agg(F.transform(ordered, lambda p: p["_m"]).alias(vector))
+    """Mean vector of each group; vectors are summed whole where they are read, so a group costs a vector a task.
+
+    Null vectors do not count; a null component makes its group's mean NaN
+    there; vectors of a group that differ in length are an error.
+    """
+    dense = array_to_vector(F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(float("nan")))))
+    out = df.where(F.col(vector).isNotNull()).groupBy(*keys).agg(Summarizer.mean(dense).alias("_m"))
+    return out.select(*keys, vector_to_array("_m").alias(vector))
 
 
 def spatial_mean_pool(df: DataFrame, slide: str, k: int, vector: str = "embedding", **named) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,36 @@ def occurrence(keys: Sequence[str], order: Sequence) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
 
 
+#: Rows of a group that one window task numbers, about, and the most parts of a group.
+ROWS_A_PART, MOST_PARTS = 1_000_000, 1024
+
+
+def positioned(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows: int = ROWS_A_PART) -> DataFrame:
+    """``df`` with gapless positions from 0 within the keys, in the order given, without one task for a large group.
+
+    Groups of more than ``rows`` rows are cut into ranges of the first order
+    column, a number, at sketched quantiles; rows are numbered within their range
+    and shifted by the rows of the group's earlier ranges. Rows that share a
+    value of that column stay together. Without such groups one window numbers
+    all. A null group and null values are numbered, nulls first.
+    """
+    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    by = [F.col(o) for o in order]
+    if most <= rows:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)).cast("long") - 1)
+    parts = min(MOST_PARTS, -(-most // rows))
+    cuts = F.percentile_approx(F.col(order[0]).cast("double"), [i / parts for i in range(1, parts)], 10 * parts)
+    names = [f"_g{i}" for i in range(len(keys))]
+    large = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.when(F.count(F.lit(1)) > rows, F.array_distinct(cuts)).alias("_cuts")).where("_cuts is not null")
+    same = lambda own, other: functools.reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(own, other, strict=True)], F.lit(True))
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order[0]).cast("double"))), F.lit(0))
+    cut = df.join(large, same(keys, names), "left").withColumn("_part", part).drop("_cuts", *names)
+    sizes = cut.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*names).orderBy("_p")) - F.col("_n")).drop("_n")
+    inner = cut.withColumn("_inner", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*by)) - 1)
+    return inner.join(before, same([*keys, "_part"], [*names, "_p"])).withColumn(name, F.col("_before") + F.col("_inner")).drop("_part", "_p", "_before", "_inner", *names)
+
+
 def value_index(df: DataFrame, keys: Sequence[str], value: str, position: str, name: str = "value_index") -> DataFrame:
     """``df`` with the index of its value among the group's distinct values by first appearance."""
     first = df.groupBy(*keys, value).agg(F.min(position).alias("_p"))
@@ -107,7 +138,9 @@ def top(df: DataFrame, text: str, k: int | None) -> DataFrame:
 
 
 def dropped_out(df: DataFrame, group: str, key: str, p: float, seed: int = 7) -> DataFrame:
-    """Rows whose hash score is at least ``p``, and each group's highest scorer."""
+    """Rows whose hash score is at least ``p``, and each group's highest scorer: of equal scores the smallest key's rows."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("_u"), key))
-    return df.withColumn("_u", u).withColumn("_r", rank).where((F.col("_u") >= p) | (F.col("_r") == 1)).drop("_u", "_r")
+    scored = df.withColumn("_u", u)
+    best = scored.groupBy(F.col(group).alias("_group")).agg(F.min(F.struct((-F.col("_u")).alias("minus"), F.col(key).alias("key"))).alias("_best"))
+    both = scored.join(best, F.col(group).eqNullSafe(F.col("_group")))
+    return both.where((F.col("_u") >= p) | F.col(key).eqNullSafe(F.col("_best.key"))).drop("_u", "_group", "_best")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohort_spark.functions.arrays import unique
@@ -12,7 +12,7 @@ from cohort_spark.functions.text import clean, row_id, sample_id, slide_kind, sp
 from cohort_spark.operators.aggregates import bucketed, collected, mean_vectors
 from cohort_spark.operators.joins import expanded
 from cohort_spark.operators.projection import allowed, quantile_band, without_normal_tissue
-from cohort_spark.operators.windows import evenly_spaced, strided
+from cohort_spark.operators.windows import evenly_spaced, positioned, strided
 
 
 def training_set(
@@ -70,17 +70,40 @@ def caption_registry(captions: DataFrame, source: str) -> DataFrame:
 
 
 def compressed(features: DataFrame, slide: str, method: str = "none", k: int = 1, most: int | None = None, vector: str = "embedding", position: str = "row_idx") -> DataFrame:
-    """A slide's sequence compressed (none, mean_pool, stride) and then capped evenly."""
+    """A slide's sequence compressed (none, mean_pool, stride) and then capped evenly.
+
+    Pooled rows keep their bucket (bucket_x, bucket_y), which orders them.
+    """
     if method not in ("none", "mean_pool", "stride"):
         raise ValueError(f"unknown method {method}")
-    out = features
+    out, order = features, [position]
     if method == "stride" and k > 1:
         out = strided(features, slide, k, position)
     elif method == "mean_pool" and k > 1:
-        out = mean_vectors(bucketed(features, slide, k, position=position), [slide, "bucket_x", "bucket_y"], vector).withColumn(position, F.struct("bucket_x", "bucket_y"))
+        order = ["bucket_x", "bucket_y"]
+        out = mean_vectors(bucketed(features, slide, k, position=position), [slide, *order], vector)
     if not most:
         return out
-    from pyspark.sql import Window
+    return evenly_spaced(positioned(out, [slide], order, "_at"), slide, most, "_at").drop("_at")
+
 
-    numbered = out.withColumn("_at", F.row_number().over(Window.partitionBy(slide).orderBy(position)) - 1)
-    return evenly_spaced(numbered, slide, most, "_at").drop("_at")
+def assembled(rows: DataFrame, features: DataFrame, row: str, refs: str, slide: str, method: str = "none", k: int = 1, most: int | None = None, vector: str = "embedding", position: str = "row_idx") -> DataFrame:
+    """(row, ref_pos, ref, token, vector): each row's sequence, its references' sequences one behind the other.
+
+    ``refs`` lists a row's references (slides), blank ones skipped. Each slide
+    that is named is compressed and capped once, for however many rows name it,
+    then its tokens are numbered; a row's token is that number after the tokens
+    of its earlier references, whose counts alone meet in the row. A reference
+    without features adds nothing; a row without any has no tokens. A reference
+    that a row names twice comes twice.
+    """
+    each = rows.select(row, F.posexplode(refs).alias("ref_pos", "_ref")).select(row, "ref_pos", clean("_ref").alias("ref")).where("ref <> ''")
+    asked = each.select(F.col("ref").alias("_asked")).distinct()
+    own = features.withColumn("_own", clean(F.col(slide).cast("string"))).join(asked, F.col("_own") == F.col("_asked"), "left_semi")
+    short = compressed(own.drop(slide).withColumnRenamed("_own", "ref"), "ref", method, k, most, vector, position)
+    order = ["bucket_x", "bucket_y"] if method == "mean_pool" and k > 1 else [position]
+    numbered = positioned(short, ["ref"], order, "_at").select("ref", "_at", vector)
+    sizes = numbered.groupBy("ref").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(row).orderBy("ref_pos")) - F.col("_n")
+    placed = each.join(sizes, "ref").withColumn("_before", earlier)
+    return placed.join(numbered, "ref").select(row, "ref_pos", "ref", (F.col("_before") + F.col("_at")).alias("token"), vector)

@@ -144,6 +144,42 @@ def ar23_compressed(t):
     return cohort.compressed(grid(t), "label", "stride", 3, 8, position="vec_id").select("label", "vec_id")
 
 
+_REFS = """r AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN [] WHEN 1 THEN ['1'] WHEN 2 THEN ['3', '', '1'] ELSE ['2', 'none', '2'] END AS refs FROM customer),
+  e AS (SELECT c_custkey, unnest(refs) AS ref, CAST(unnest(range(0, len(refs))) AS INTEGER) AS ref_pos FROM r),
+  p AS (SELECT ref, i, n, v FROM (SELECT ref, v, row_number() OVER (PARTITION BY ref ORDER BY o) - 1 AS i, count(*) OVER (PARTITION BY ref) AS n FROM s)),
+  k AS (SELECT DISTINCT n, CASE WHEN j = 4 THEN n - 1 ELSE CAST(floor(j * ((n - 1) / CAST(4 AS DOUBLE))) AS BIGINT) END AS i FROM (SELECT DISTINCT n FROM p), (SELECT unnest(range(0, 5)) AS j)),
+  c AS (SELECT ref, v, row_number() OVER (PARTITION BY ref ORDER BY i) - 1 AS spot, count(*) OVER (PARTITION BY ref) AS m FROM p WHERE n <= 5 OR (n, i) IN (SELECT (n, i) FROM k)),
+  z AS (SELECT e.*, coalesce(sum(m) OVER (PARTITION BY c_custkey ORDER BY ref_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e JOIN (SELECT DISTINCT ref, m FROM c) USING (ref))
+  SELECT c_custkey, ref_pos, ref, CAST(before + spot AS BIGINT) AS token, round(v, 5) AS lead FROM z JOIN c USING (ref)"""
+
+
+def referring(t):
+    """Customers that refer to no, one, two, blank, missing and repeated slides."""
+    refs = F.when(F.col("c_custkey") % 4 == 0, F.array().cast("array<string>")).when(F.col("c_custkey") % 4 == 1, F.array(F.lit("1"))).when(F.col("c_custkey") % 4 == 2, F.array(F.lit("3"), F.lit(""), F.lit("1")))
+    return t("customer").select("c_custkey", refs.otherwise(F.array(F.lit("2"), F.lit("none"), F.lit("2"))).alias("refs"))
+
+
+def sequences(t, method: str, k: int):
+    out = cohort.assembled(referring(t), grid(t), "c_custkey", "refs", "label", method, k, 5, position="vec_id")
+    return out.select("c_custkey", "ref_pos", "ref", "token", F.round(F.col("embedding")[0].cast("double"), 5).alias("lead"))
+
+
+@Q(f"WITH s AS (SELECT CAST(label AS VARCHAR) AS ref, vec_id AS o, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings), {_REFS}")
+def ar23_assembled(t):
+    """Sequences of several references, each capped for itself."""
+    return sequences(t, "none", 1)
+
+
+@Q(f"WITH {_STEP}, s AS (SELECT CAST(label AS VARCHAR) AS ref, vec_id AS o, CAST(embedding[1] AS DOUBLE) AS v FROM (SELECT *, row_number() OVER (PARTITION BY label, bucket_x, bucket_y ORDER BY vec_id) AS r FROM b) WHERE r = 1), {_REFS}")
+def ar23_assembled_strided(t):
+    return sequences(t, "stride", 3)
+
+
+@Q(f"WITH {_STEP}, s AS (SELECT CAST(label AS VARCHAR) AS ref, [bucket_x, bucket_y] AS o, avg(CAST(embedding[1] AS DOUBLE)) AS v FROM b GROUP BY label, bucket_x, bucket_y), {_REFS}")
+def ar23_assembled_pooled(t):
+    return sequences(t, "mean_pool", 3)
+
+
 @Q("""SELECT 'src-' || substr(sha256('src||' || c_name || '||st||case'), 1, 16) AS sample_id, coalesce(f, []) AS paths,
              CASE WHEN (CAST(('0x' || substr(sha256('src:' || c_mktsegment || ':' || c_name), 1, 8)) AS BIGINT) % 10000) / 10000.0::DOUBLE < 0.9::DOUBLE THEN 'train' ELSE 'test' END AS split
       FROM customer LEFT JOIN (SELECT o_custkey, list_sort(list(DISTINCT 'f' || o_orderkey)) AS f FROM orders GROUP BY 1) ON o_custkey = c_custkey""")

@@ -70,7 +70,7 @@ def w9_strided(t):
       SELECT label, vec_id FROM p WHERE n <= 16 OR (label, i) IN (SELECT (label, i) FROM k)""")
 def w10_evenly_spaced(t):
     """At most 16 evenly spaced rows of each label."""
-    p = t("embeddings").withColumn("row_idx", W.occurrence(["label"], ["vec_id"]))
+    p = W.positioned(t("embeddings"), ["label"], ["vec_id"], "row_idx")
     return W.evenly_spaced(p, "label", 16).select("label", "vec_id")
 
 
