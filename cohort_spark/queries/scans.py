@@ -117,3 +117,16 @@ def st1_refresh(t):
 def st2_unprocessed(t):
     e = t("events").select("event_id")
     return refresh.unprocessed(e, e.where("event_id % 4 <> 0"), "event_id")[0]
+
+
+@Q("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'fresh' ELSE 'carried' END AS how, upper(event_type) AS kind FROM events")
+def st2_process_once(t):
+    """Inputs that arrive twice, over two runs of a stream, are each worked on once; finished rows are carried through."""
+    e = t("events").select("event_id", "event_type")
+    spark, source, target, progress = e.sparkSession, scratch(e, "inputs"), scratch(e, "results"), scratch(e, "progress")
+    done = e.where("event_id % 4 <> 0").select("event_id", F.lit("carried").alias("how"), F.upper("event_type").alias("kind"))
+    work = lambda df: df.select("event_id", F.lit("fresh").alias("how"), F.upper("event_type").alias("kind"))
+    for parts in (2, 3):
+        e.repartition(parts, "event_id").write.mode("append").parquet(source)
+        refresh.process_once(spark, source, "event_id long, event_type string", "event_id", target, progress, work, done, 1)
+    return refresh.all_results(spark, target, done)

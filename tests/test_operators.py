@@ -1,7 +1,6 @@
 """Operators on small literals: edge cases and expected values."""
 
 import hashlib
-import shutil
 
 import numpy as np
 import pytest
@@ -211,22 +210,6 @@ def test_path_columns(spark):
     assert registry.path_columns(spark.createDataFrame([(1, 2, 3)], "a_path int, b_paths int, paths_c int")) == ["a_path", "b_paths"]
 
 
-def test_refresh_does_not_depend_on_the_order_of_files(spark, tmp_path):
-    from cohort_spark.streaming import refresh
-
-    parts = [[(k, 4 * k + p, f"e{p}") for k in range(5)] for p in range(3)]
-    for order in ([2, 0, 1], [1, 2, 0]):
-        base = f"{tmp_path}/{order[0]}"
-        for p in order:
-            spark.createDataFrame(parts[p], "k long, at long, v string").coalesce(1).write.mode("append").parquet(f"{base}/in")
-            refresh.refresh(spark, f"{base}/in", "k long, at long, v string", f"{base}/out", f"{base}/done", "k", "at")
-        assert sorted(tuple(r) for r in refresh.latest(spark, f"{base}/out").collect()) == sorted(parts[2])
-        shutil.rmtree(f"{base}/out/v={refresh.versions(spark, f'{base}/out')[-1]}")  # a version is lost: the next one starts from the one before
-        spark.createDataFrame([(9, 0, "new")], "k long, at long, v string").coalesce(1).write.mode("append").parquet(f"{base}/in")
-        refresh.refresh(spark, f"{base}/in", "k long, at long, v string", f"{base}/out", f"{base}/done", "k", "at")
-        assert {r.k for r in refresh.latest(spark, f"{base}/out").collect()} == {0, 1, 2, 3, 4, 9}
-
-
 def test_upsert_of_repeated_keys_is_settled(spark):
     old = spark.createDataFrame([("a", 5), ("a", 3), ("b", 1)], "id string, v int")
     new = spark.createDataFrame([("b", 7), ("b", 9), (None, 1), (None, 2)], "id string, v int")
