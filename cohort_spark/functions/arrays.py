@@ -127,6 +127,34 @@ def squeezed(nested) -> Column:
     return F.when(F.size(col(nested)) == 1, F.element_at(col(nested), 1))
 
 
+def paired(features, coords) -> Column:
+    """(features, coords), both squeezed; lists of unlike length are an error, missing ones are null."""
+    both = F.struct(squeezed(features).alias("features"), squeezed(coords).alias("coords"))
+    alike = lambda b: F.when(F.coalesce(F.size(b["features"]) != F.size(b["coords"]), F.lit(False)), F.raise_error(F.concat_ws(" ", F.lit("rows differ:"), F.size(b["features"]), F.size(b["coords"]))).cast("boolean")).otherwise(True)
+    return F.element_at(F.filter(F.array(both), alike), 1)
+
+
+def split_records(records, reason: str, path: str, modality: str) -> Column:
+    """(accepted, rejected, usable_paths, usable, modality) of a list of records.
+
+    A record is rejected if its ``reason`` is there and not blank. Paths are
+    those of accepted records that have one; the modality is the first that is
+    not blank, rejected records included.
+    """
+    refused = lambda r: F.coalesce(F.trim(r[reason]) != "", F.lit(False))
+    filled = lambda xs: F.filter(F.transform(xs, lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False)))
+    accepted = F.filter(col(records), lambda r: ~refused(r))
+    paths = filled(F.transform(accepted, lambda r: r[path]))
+    modalities = filled(F.transform(col(records), lambda r: r[modality]))
+    return F.struct(
+        accepted.alias("accepted"),
+        F.filter(col(records), refused).alias("rejected"),
+        paths.alias("usable_paths"),
+        F.size(paths).alias("usable"),
+        F.coalesce(F.try_element_at(modalities, F.lit(1)), F.lit("")).alias("modality"),
+    )
+
+
 def step_of(coords) -> Column:
     """Greatest common divisor of the gaps between sorted distinct numbers, null without gaps."""
     xs = F.array_sort(F.array_distinct(col(coords)))

@@ -309,8 +309,7 @@ def uri(scheme: str, *parts) -> Column:
 # Header words and classes that mark images to reject.
 LOCALIZER_WORDS = ("LOCALIZER", "SCOUT", "TOPOGRAM", "SCANOGRAM", "SURVEY", "LOCATOR", "PILOT")
 DERIVED_WORDS = ("DERIVED", "SECONDARY", "REFORMATTED", "MPR", "MIP", "MINIP", "AVERAGE", "SUB")
-SECONDARY_CAPTURE = "1.2.840.10008.5.1.4.1.1.7"
-SECONDARY_CAPTURES = (SECONDARY_CAPTURE, *[f"{SECONDARY_CAPTURE}.{i}" for i in range(1, 5)])
+SECONDARY_CAPTURES = ("1.2.840.10008.5.1.4.1.1.7", "1.2.840.10008.5.1.4.1.1.7.1", "1.2.840.10008.5.1.4.1.1.7.2", "1.2.840.10008.5.1.4.1.1.7.3", "1.2.840.10008.5.1.4.1.1.7.4")
 HEADER_TEXTS = ("image_type", "series_description", "protocol_name")
 
 
@@ -320,16 +319,17 @@ def tokens(*cols) -> Column:
     return F.filter(F.split(F.regexp_replace(text, "[^A-Z0-9]+", " "), " "), lambda x: x != "")
 
 
-def has_word(words: Sequence[str], *cols) -> Column:
-    return F.arrays_overlap(tokens(*cols), F.array(*[F.lit(w) for w in words]))
+def header_words() -> Column:
+    """Upper-cased words of an image's header texts, to be projected once where several tests need them."""
+    return tokens(*HEADER_TEXTS)
 
 
-def is_localizer() -> Column:
-    return has_word(LOCALIZER_WORDS, *HEADER_TEXTS)
+def is_localizer(words=None) -> Column:
+    return F.arrays_overlap(header_words() if words is None else col(words), F.array(*[F.lit(w) for w in LOCALIZER_WORDS]))
 
 
-def is_derived() -> Column:
-    return has_word(DERIVED_WORDS, *HEADER_TEXTS)
+def is_derived(words=None) -> Column:
+    return F.arrays_overlap(header_words() if words is None else col(words), F.array(*[F.lit(w) for w in DERIVED_WORDS]))
 
 
 def is_secondary_capture() -> Column:
@@ -340,16 +340,16 @@ def frames() -> Column:
     return F.when(F.col("number_of_frames") > 0, F.col("number_of_frames")).otherwise(1)
 
 
-def image_reject_reason(modalities: Sequence[str] = ("CT", "MR"), least_rows: int = 64, least_cols: int = 64, multiframe: bool = True, derived: bool = True) -> Column:
-    """The first reason to reject an image header row, or null."""
+def image_reject_reason(modalities: Sequence[str] = ("CT", "MR"), least_rows: int = 64, least_cols: int = 64, multiframe: bool = True, derived: bool = True, words=None) -> Column:
+    """The first reason to reject an image header row, or null; ``words`` names projected ``header_words``."""
     out = F.when(~F.coalesce("readable_dicom", F.lit(False)), F.coalesce("reject_reason", F.lit("unreadable_dicom_header")))
     out = out.when(~F.coalesce(F.col("modality").isin(*modalities), F.lit(False)), "unsupported_modality")
-    out = out.when(is_secondary_capture(), "secondary_capture_sop").when(is_localizer(), "localizer_or_scout")
+    out = out.when(is_secondary_capture(), "secondary_capture_sop").when(is_localizer(words), "localizer_or_scout")
     if multiframe:
         out = out.when(frames() > 1, "multiframe_instance")
     out = out.when(F.col("rows").isNull() | F.col("cols").isNull() | F.col("bits_allocated").isNull(), "missing_required_image_tags")
     out = out.when((F.col("rows") < least_rows) | (F.col("cols") < least_cols), "tiny_matrix")
-    return out.when(is_derived(), "derived_or_reformatted_image") if derived else out
+    return out.when(is_derived(words), "derived_or_reformatted_image") if derived else out
 
 
 # Body regions by words of the header text, first match wins.

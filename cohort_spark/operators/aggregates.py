@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohort_spark.functions.arrays import gcd_of
-from cohort_spark.functions.text import frames, image_reject_reason, is_derived, is_localizer, is_secondary_capture, non_blank
+from cohort_spark.functions.text import frames, header_words, image_reject_reason, is_derived, is_localizer, is_secondary_capture, non_blank
 from cohort_spark.operators.quantiles import quantiles
 
 
@@ -49,37 +49,75 @@ def case_assignments(manifest: DataFrame, order: Column) -> DataFrame:
     return out.where("features > 0").select("project", "patient", "raw_paths", F.col("_best.path").alias("feature_path"), F.col("_best.sample").alias("selected_sample"), "features")
 
 
-def series_verdict(images: DataFrame, series: str = "series_dir", least_usable: int = 1, most_rejected: float = 0.5, derived: bool = True, multiframe: bool = True, **image_rules) -> DataFrame:
-    """Per series: counts, distinct values joined with ``;`` and the first reason to reject it, or null."""
-    reason = image_reject_reason(multiframe=multiframe, derived=derived, **image_rules)
-    readable = F.coalesce("readable_dicom", F.lit(False))
-    named = images.withColumn("_reason", reason).withColumn("_readable", readable)
+def series_verdict(
+    images: DataFrame,
+    series: str = "series_dir",
+    least_usable: int = 1,
+    most_rejected: float = 0.5,
+    derived: bool = True,
+    multiframe: bool = True,
+    file: str | None = None,
+    directories: DataFrame | None = None,
+    **image_rules,
+) -> DataFrame:
+    """Per series: counts, distinct values joined with ``;``, and the first reason to reject it with details, or nulls.
+
+    Reasons of rejected images are listed by count, ties by the first file that
+    has them (``file`` orders them, else the reason does). Series of
+    ``directories`` (series) without any image are empty directories; without
+    that table only series with images are judged.
+    """
+    named = images.withColumn("_words", header_words())
+    named = named.withColumn("_reason", image_reject_reason(multiframe=multiframe, derived=derived, words="_words", **image_rules)).withColumn("_readable", F.coalesce("readable_dicom", F.lit(False)))
+    readable = F.col("_readable")
     values = lambda c: F.array_sort(F.collect_set(F.when(readable, non_blank(c))))
     counts = named.groupBy(series).agg(
         F.count(F.lit(1)).alias("total_files"),
         F.count_if("_readable").alias("readable"),
         F.count("_reason").alias("rejected"),
-        F.count_if(F.col("_readable") & F.col("_reason").isNull()).alias("usable"),
-        F.count_if(F.col("_readable") & is_localizer()).alias("localizers"),
-        F.count_if(F.col("_readable") & is_secondary_capture()).alias("captures"),
-        F.count_if(F.col("_readable") & (frames() > 1)).alias("multiframes"),
-        F.count_if(F.col("_readable") & is_derived()).alias("deriveds"),
+        F.count_if(readable & F.col("_reason").isNull()).alias("usable"),
+        F.count_if(readable & is_localizer("_words")).alias("localizers"),
+        F.count_if(readable & is_secondary_capture()).alias("captures"),
+        F.count_if(readable & (frames() > 1)).alias("multiframes"),
+        F.count_if(readable & is_derived("_words")).alias("deriveds"),
         values("modality").alias("modalities"),
         values("series_instance_uid").alias("series_uids"),
         values("series_description").alias("descriptions"),
         values("protocol_name").alias("protocols"),
     )
-    whole = lambda c: F.col(c) == F.col("readable")
-    verdict = F.when(F.col("readable") == 0, "no_readable_dicom_files").when(F.size("modalities") > 1, "mixed_modality_in_directory")
-    verdict = verdict.when(F.size("series_uids") > 1, "mixed_series_instance_uid_in_directory").when(whole("localizers"), "series_is_localizer_or_scout").when(whole("captures"), "series_is_secondary_capture")
-    if multiframe:
-        verdict = verdict.when(whole("multiframes"), "series_is_multiframe")
-    if derived:
-        verdict = verdict.when(whole("deriveds"), "series_is_derived_or_reformatted")
-    verdict = verdict.when(F.col("usable") == 0, "all_images_rejected").when(F.col("usable") < least_usable, "too_few_usable_images")
-    verdict = verdict.when(F.col("rejected") / F.greatest("readable", F.lit(1)) > most_rejected, "rejected_fraction_too_high")
-    joined = {c: F.array_join(c, ";") for c in ("modalities", "series_uids", "descriptions", "protocols")}
-    return counts.withColumn("reject_reason", verdict).withColumns(joined).drop("localizers", "captures", "multiframes", "deriveds")
+    listed = reason_histogram(named, [series], "_reason", file or "_reason").toDF("_series", "_reasons")
+    counts = counts.join(listed, F.col(series).eqNullSafe(F.col("_series")), "left").drop("_series")
+    if directories is not None:
+        every = directories.select(F.col(series).alias("_series")).distinct()
+        counts = counts.join(every, F.col(series).eqNullSafe(F.col("_series")), "full").withColumn(series, F.coalesce(series, "_series")).drop("_series")
+        counts = counts.fillna(0, ["total_files", "readable", "rejected", "usable"])
+    joined = {c: F.coalesce(F.array_join(c, ";"), F.lit("")) for c in ("modalities", "series_uids", "descriptions", "protocols")}
+    n, share, reasons = F.col("readable"), F.col("rejected") / F.greatest("readable", F.lit(1)), F.coalesce("_reasons", F.lit(""))
+    said = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    all_are = lambda kind: said("all ", n, f" readable images are {kind}")
+    cascade = [
+        (F.col("total_files") == 0, "empty_directory", F.lit("no files")),
+        (n == 0, "no_readable_dicom_files", said("none of ", F.col("total_files"), " files is readable")),
+        (F.size("modalities") > 1, "mixed_modality_in_directory", said("modalities: ", joined["modalities"])),
+        (F.size("series_uids") > 1, "mixed_series_instance_uid_in_directory", said("series uids: ", joined["series_uids"])),
+        (F.col("localizers") == n, "series_is_localizer_or_scout", all_are("localizers")),
+        (F.col("captures") == n, "series_is_secondary_capture", all_are("secondary captures")),
+        (F.lit(multiframe) & (F.col("multiframes") == n), "series_is_multiframe", all_are("multiframe")),
+        (F.lit(derived) & (F.col("deriveds") == n), "series_is_derived_or_reformatted", all_are("derived")),
+        (F.col("usable") == 0, "all_images_rejected", said("reasons: ", reasons)),
+        (F.col("usable") < least_usable, "too_few_usable_images", said(F.col("usable"), f" usable, at least {least_usable} needed")),
+        (share > most_rejected, "rejected_fraction_too_high", said(F.col("rejected"), " of ", n, " rejected (", F.format_string("%.3f", share), f"), at most {most_rejected:.3f}; reasons: ", reasons)),
+    ]
+    first = F.coalesce(*[F.when(holds, F.struct(F.lit(reason).alias("reason"), detail.alias("details"))) for holds, reason, detail in cascade])
+    judged = counts.withColumn("_first", first).withColumn("reject_reason", F.col("_first.reason")).withColumn("reject_details", F.col("_first.details"))
+    return judged.withColumns(joined).drop("localizers", "captures", "multiframes", "deriveds", "_first", "_reasons")
+
+
+def series_details(images: DataFrame, verdicts: DataFrame, series: str, file: str, fields: Sequence[str]) -> DataFrame:
+    """One nested object a series: its verdict's columns and ``images``, its files in order with the named fields; a series without images has none."""
+    listed = images.groupBy(F.col(series).alias("_series")).agg(F.array_sort(F.collect_list(F.struct(file, *fields))).alias("images"))
+    out = verdicts.join(listed, F.col(series).eqNullSafe(F.col("_series")), "left").drop("_series")
+    return out.withColumn("images", F.coalesce("images", F.array().cast(listed.schema["images"].dataType)))
 
 
 def directory_verdict(files: DataFrame, archive: str, directory: str) -> DataFrame:
@@ -239,13 +277,6 @@ def driver_panel(first: DataFrame, second: DataFrame, kind: str, gene: str, q: s
     return shared.union(strict).groupBy(kind).agg(F.array_sort(F.collect_set(gene)).alias("panel"))
 
 
-def one_value_each(primary: DataFrame, fallback: DataFrame, patient: str, value: Column, order: Sequence[Column], cohort: DataFrame) -> DataFrame:
-    """(patient, value): each cohort patient's best row of the primary table, or of the fallback if the primary gives nothing at all."""
-    pick = lambda df: best_row(df.withColumn("value", value).where("value is not null").join(cohort, patient, "left_semi"), [patient], order).select(patient, "value")
-    out = pick(primary)
-    return pick(fallback) if out.isEmpty() else out
-
-
 def usable_masks(df: DataFrame, mask: str, label: str, least: int = 1) -> DataFrame:
     """Masks with enough labelled pixels, at least one."""
     return df.groupBy(mask).agg(F.count_if(F.col(label) > 0).alias("pixels")).where(F.col("pixels") >= max(1, least))

@@ -1,9 +1,15 @@
 """Aggregations."""
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohort_spark.functions.text import image_reject_reason
 from cohort_spark.operators import aggregates as A
+from cohort_spark.operators import annotations as N
+from cohort_spark.operators import records as C
 from cohort_spark.queries.base import Registry
+from cohort_spark.queries.scans import scratch
+from cohort_spark.sources import files as S
 
 Q = Registry()
 
@@ -35,38 +41,71 @@ def a3_case_assignments(t):
     return A.case_assignments(m, F.col("code"))
 
 
-_IMAGES = """SELECT user_id % 300 AS series_dir, event_id % 13 <> 0 AS readable, CASE WHEN event_id % 17 = 0 THEN 'US' WHEN user_id % 5 = 0 AND event_id % 2 = 0 THEN 'MR' ELSE 'CT' END AS modality,
-   user_id % 7 = 0 AND event_id % 3 > 0 OR user_id % 11 = 0 AS localizer, CASE WHEN event_id % 5 = 0 THEN 3 ELSE 1 END AS frames, CASE WHEN event_id % 19 = 0 THEN 32 ELSE 512 END AS rows_ FROM events"""
-
-
-@Q(f"""WITH i AS ({_IMAGES}),
-      r AS (SELECT *, CASE WHEN NOT readable THEN 'a' WHEN modality NOT IN ('CT', 'MR') THEN 'b' WHEN localizer THEN 'c' WHEN frames > 1 THEN 'd' WHEN rows_ < 64 THEN 'e' END AS reason FROM i),
-      g AS (SELECT series_dir, count(*) AS total_files, count(*) FILTER (readable) AS readable, count(reason) AS rejected,
-                   count(*) FILTER (readable AND reason IS NULL) AS usable, list_sort(list(DISTINCT modality) FILTER (readable)) AS m,
-                   count(*) FILTER (readable AND localizer) AS loc, count(*) FILTER (readable AND frames > 1) AS mf FROM r GROUP BY series_dir)
-      SELECT series_dir, total_files, readable, rejected, usable, coalesce(array_to_string(m, ';'), '') AS modalities,
-             CASE WHEN readable = 0 THEN 'no_readable_dicom_files' WHEN len(m) > 1 THEN 'mixed_modality_in_directory' WHEN loc = readable THEN 'series_is_localizer_or_scout'
-                  WHEN mf = readable THEN 'series_is_multiframe' WHEN usable = 0 THEN 'all_images_rejected' WHEN usable < 3 THEN 'too_few_usable_images'
-                  WHEN rejected / greatest(readable, 1) > 0.3 THEN 'rejected_fraction_too_high' END AS reject_reason FROM g""")
-def a4_series_verdict(t):
-    """Series quality from image header rows."""
-    e, u = F.col("event_id"), F.col("user_id")
-    images = t("events").select(
-        (u % 300).alias("series_dir"),
-        (e % 13 != 0).alias("readable_dicom"),
+_VERDICTS = """WITH i AS (SELECT 's' || (user_id % 300) AS series_dir, event_id AS file, user_id % 300 % 11 AS k, user_id % 300 % 2 AS odd, event_id % 3 AS e3, event_id % 4 AS e4 FROM events),
+  h AS (SELECT *, k <> 1 AND NOT (k = 0 AND event_id_13) AS readable, CASE WHEN k = 2 AND e3 = 0 THEN 'MR' ELSE 'CT' END AS modality, CASE WHEN k = 3 THEN 'u' || e3 ELSE 'u' END AS uid, k = 4 AS localizer, k = 5 AS capture,
+               k = 6 OR k = 8 AND e3 = 2 AS multi, k = 7 AS derived, k = 8 AND e3 < 2 OR k = 9 AND rank > 2 OR k = 10 AND e4 < 2 AS tiny
+        FROM (SELECT *, file % 13 = 0 AS event_id_13, row_number() OVER (PARTITION BY series_dir ORDER BY file) AS rank FROM i)),
+  r AS (SELECT *, CASE WHEN NOT readable THEN 'unreadable_dicom_header' WHEN capture THEN 'secondary_capture_sop' WHEN localizer THEN 'localizer_or_scout' WHEN multi THEN 'multiframe_instance' WHEN tiny THEN 'tiny_matrix'
+                       WHEN derived THEN 'derived_or_reformatted_image' END AS reason FROM h),
+  q AS (SELECT series_dir, string_agg(reason || ':' || c, ', ' ORDER BY c DESC, p) AS reasons FROM (SELECT series_dir, reason, count(*) AS c, min(file) AS p FROM r WHERE reason IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+  g AS (SELECT series_dir, k, count(*) AS total_files, count(*) FILTER (readable) AS readable, count(reason) AS rejected, count(*) FILTER (readable AND reason IS NULL) AS usable,
+               coalesce(string_agg(DISTINCT modality, ';' ORDER BY modality) FILTER (readable), '') AS modalities, coalesce(string_agg(DISTINCT uid, ';' ORDER BY uid) FILTER (readable), '') AS uids,
+               count(DISTINCT modality) FILTER (readable) AS n_modalities, count(DISTINCT uid) FILTER (readable) AS n_uids, count(*) FILTER (readable AND multi) AS multis FROM r GROUP BY 1, 2),
+  v AS (SELECT d.series_dir, coalesce(total_files, 0) AS total_files, coalesce(readable, 0) AS readable, coalesce(rejected, 0) AS rejected, coalesce(usable, 0) AS usable, coalesce(modalities, '') AS modalities, coalesce(reasons, '') AS reasons,
+         CASE WHEN total_files IS NULL THEN ['empty_directory', 'no files'] WHEN readable = 0 THEN ['no_readable_dicom_files', 'none of ' || total_files || ' files is readable']
+              WHEN n_modalities > 1 THEN ['mixed_modality_in_directory', 'modalities: ' || modalities] WHEN n_uids > 1 THEN ['mixed_series_instance_uid_in_directory', 'series uids: ' || uids]
+              WHEN k = 4 THEN ['series_is_localizer_or_scout', 'all ' || readable || ' readable images are localizers'] WHEN k = 5 THEN ['series_is_secondary_capture', 'all ' || readable || ' readable images are secondary captures']
+              WHEN multis = readable THEN ['series_is_multiframe', 'all ' || readable || ' readable images are multiframe'] WHEN k = 7 THEN ['series_is_derived_or_reformatted', 'all ' || readable || ' readable images are derived']
+              WHEN usable = 0 THEN ['all_images_rejected', 'reasons: ' || reasons] WHEN usable < 3 THEN ['too_few_usable_images', usable || ' usable, at least 3 needed']
+              WHEN rejected / greatest(readable, 1) > 0.3 THEN ['rejected_fraction_too_high', rejected || ' of ' || readable || ' rejected (' || printf('%.3f', rejected / readable) || '), at most 0.300; reasons: ' || reasons] END AS first
+        FROM (SELECT series_dir FROM g UNION SELECT 's' || (c_custkey % 330) FROM customer) d LEFT JOIN g USING (series_dir) LEFT JOIN q USING (series_dir))"""
+
+
+def header_rows(events: DataFrame) -> DataFrame:
+    """Events as image headers; the series' number decides what is wrong with its images."""
+    series, e = F.col("user_id") % 300, F.col("event_id")
+    k, rank = series % 11, F.row_number().over(Window.partitionBy(series).orderBy("event_id"))
+    tiny = (k == 8) & (e % 3 < 2) | (k == 9) & (rank > 2) | (k == 10) & (e % 4 < 2)
+    return events.select(
+        F.concat(F.lit("s"), series).alias("series_dir"),
+        e.alias("file"),
+        ((k != 1) & ~((k == 0) & (e % 13 == 0))).alias("readable_dicom"),
         F.lit(None).cast("string").alias("reject_reason"),
-        F.when(e % 17 == 0, "US").when((u % 5 == 0) & (e % 2 == 0), "MR").otherwise("CT").alias("modality"),
-        F.lit("1.2").alias("sop_class_uid"),
-        F.lit("uid").alias("series_instance_uid"),
-        F.when((u % 7 == 0) & (e % 3 > 0) | (u % 11 == 0), "head Scout/AP").otherwise("axial").alias("series_description"),
+        F.when((k == 2) & (e % 3 == 0), "MR").otherwise("CT").alias("modality"),
+        F.when(k == 5, "1.2.840.10008.5.1.4.1.1.7").otherwise("1.2").alias("sop_class_uid"),
+        F.when(k == 3, F.concat(F.lit("u"), e % 3)).otherwise("u").alias("series_instance_uid"),
+        F.when(k == 4, "head Scout/AP").otherwise("axial").alias("series_description"),
         F.lit(None).cast("string").alias("protocol_name"),
-        F.lit("ORIGINAL").alias("image_type"),
-        F.when(e % 5 == 0, 3).otherwise(1).alias("number_of_frames"),
-        F.when(e % 19 == 0, 32).otherwise(512).alias("rows"),
+        F.when(k == 7, "DERIVED\\PRIMARY").otherwise("ORIGINAL").alias("image_type"),
+        F.when((k == 6) | (k == 8) & (e % 3 == 2), 3).otherwise(1).alias("number_of_frames"),
+        F.when(tiny, 32).otherwise(512).alias("rows"),
         F.lit(512).alias("cols"),
         F.lit(16).alias("bits_allocated"),
     )
-    return A.series_verdict(images, least_usable=3, most_rejected=0.3).select("series_dir", "total_files", "readable", "rejected", "usable", "modalities", "reject_reason")
+
+
+def verdicts(t) -> DataFrame:
+    directories = t("customer").select(F.concat(F.lit("s"), F.col("c_custkey") % 330).alias("series_dir"))
+    return A.series_verdict(header_rows(t("events")), least_usable=3, most_rejected=0.3, file="file", directories=directories)
+
+
+@Q(_VERDICTS + " SELECT series_dir, total_files, readable, rejected, usable, modalities, first[1] AS reject_reason, first[2] AS reject_details FROM v")
+def a4_series_verdict(t):
+    """Series quality with details from image header rows: every reason occurs, empty directories too."""
+    return verdicts(t).select("series_dir", "total_files", "readable", "rejected", "usable", "modalities", "reject_reason", "reject_details")
+
+
+@Q(_VERDICTS + """ SELECT v.series_dir, coalesce(first[1], 'accepted') AS verdict, first[2] AS reject_details, CAST(count(file) AS INTEGER) AS images, min(file) AS first_file, coalesce(string_agg(reason, ',' ORDER BY file), '') AS image_reasons
+      FROM v LEFT JOIN r USING (series_dir) GROUP BY ALL""")
+def io10_series_details(t):
+    """One nested object a series, written by verdict and read back."""
+    images = header_rows(t("events"))
+    judged = images.withColumn("reason", image_reject_reason())
+    details = A.series_details(judged, verdicts(t).withColumn("verdict", F.coalesce("reject_reason", F.lit("accepted"))), "series_dir", "file", ["reason", "modality"])
+    S.write_details(details, path := scratch(images, "details"), ["verdict"])
+    back = S.read_details(images.sparkSession, path, details.schema)
+    reasons = F.array_join(F.col("images.reason"), ",")
+    return back.select("series_dir", "verdict", "reject_details", F.size("images").alias("images"), F.try_element_at("images.file", F.lit(1)).alias("first_file"), reasons.alias("image_reasons"))
 
 
 @Q("""SELECT regexp_extract(url, '://([^/?#]*)', 1) AS archive, count(DISTINCT split_part(url, '/', 4)) AS directories,
@@ -199,15 +238,62 @@ def a20_driver_panel(t):
     return A.driver_panel(a, b, "kind", "gene", "q", 0.02, 0.005)
 
 
-@Q("""WITH r AS (SELECT o_custkey, printf('%.2f', o_totalprice / 1000) AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS r FROM orders
-                 WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 9)) SELECT o_custkey, value FROM r WHERE r = 1""")
-def a25_one_value_each(t):
-    """The primary table gives nothing, so the fallback's best rows count."""
-    from cohort_spark.functions.text import fixed_decimals
-
-    o = t("orders").withColumn("x", F.col("o_totalprice") / 1000)
-    cohort = t("customer").where("c_nationkey < 9").select(F.col("c_custkey").alias("o_custkey"))
-    return A.one_value_each(o.where("o_orderkey < 0"), o, "o_custkey", fixed_decimals("x", 2), [F.col("o_orderpriority"), F.col("o_orderkey")], cohort)
+_SAMPLES = """s AS (SELECT 'AA-BB-C' || o_custkey AS patient, 'AA.BB.C' || o_custkey || '.' || printf('%02d', o_orderkey % 4 + 1) || 'A.' || o_orderkey AS sample, o_orderkey % 4 + 1 AS code, o_orderkey AS k, o_totalprice AS price, o_orderpriority AS priority FROM orders),
+  c AS (SELECT 'AA-BB-C' || c_custkey AS patient, c_nationkey AS nation FROM customer WHERE c_nationkey < 20),
+  w AS (SELECT * FROM (SELECT s.*, nation, row_number() OVER (PARTITION BY patient ORDER BY code, sample) AS r FROM s JOIN c USING (patient)) WHERE r = 1),
+  z AS (SELECT * FROM (SELECT s.*, nation, row_number() OVER (PARTITION BY patient ORDER BY code, sample) AS r FROM s JOIN c USING (patient) WHERE k % 3 = 0) WHERE r = 1)"""
+
+
+def sample_tables(t, scored: bool) -> dict[str, DataFrame]:
+    """Orders as annotation tables with columns named as they come; ``scored`` tells whether the score table has purities."""
+    o = t("orders")
+    k, code = F.col("o_orderkey"), F.format_string("%02dA", F.col("o_orderkey") % 4 + 1)
+    sample = F.concat_ws(".", F.lit("AA"), F.lit("BB"), F.concat(F.lit("C"), "o_custkey"), code, k.cast("string"))
+    third, price = o.where(k % 3 == 0), F.col("o_totalprice")
+    return {
+        "subtypes": o.select(sample.alias("my SampleID"), F.when(k % 5 > 0, F.concat(F.col("o_orderpriority"), F.when(k % 2 == 0, "-MSI-H").otherwise(""))).alias("Subtype_Selected"), F.lit(" m ").alias("Subtype_mRNA"), F.lit(None).cast("string").alias("Subtype_DNAmeth")),
+        "leukocytes": third.select(F.lit("x").alias("CancerType"), sample.alias("SampleID"), (price / 1e6).alias("leukocyte_fraction")),
+        "scores": o.select(sample.alias("sample"), (F.when(k % 7 > 0, price / 1e6) if scored else F.lit("NA")).cast("string").alias("purity"), (price / 1000).alias("Aneuploidy Score")),
+        "purity": third.select(sample.alias("barcode"), (price / 2e6).alias("Purity")),
+        "hrd": o.select(sample.alias("sampleID"), F.when(k % 2 == 0, price / 100).otherwise(float("nan")).alias("HRD")),
+    }
+
+
+@Q(f"""WITH {_SAMPLES}, m AS (SELECT unnest([true, false]) AS scored),
+  v AS (SELECT scored, w.patient, CASE WHEN w.k % 5 > 0 THEN w.priority || CASE WHEN w.k % 2 = 0 THEN '-MSI-H' ELSE '' END ELSE '' END AS molecular_subtype, coalesce(printf('%.3f', z.price / 1e6), '') AS leukocyte_fraction,
+               CASE WHEN scored THEN CASE WHEN w.k % 7 > 0 THEN printf('%.2f', w.price / 1e6) ELSE '' END ELSE coalesce(printf('%.2f', z.price / 2e6), '') END AS tumor_purity,
+               CAST(CAST(trunc(w.price / 1000) AS BIGINT) AS VARCHAR) AS aneuploidy_score, CASE WHEN w.k % 2 = 0 THEN CAST(CAST(trunc(w.price / 100) AS BIGINT) AS VARCHAR) ELSE '' END AS hrd_score FROM m, w LEFT JOIN z USING (patient))
+  SELECT *, CASE WHEN contains(lower(molecular_subtype), 'msi') THEN 'MSI' ELSE '' END AS msi_status, 'm' AS subtype_mrna, '' AS methylation_subtype, '' AS integrative_subtype FROM v""")
+def a25_annotated_patients(t):
+    """Five annotation tables by patient, once with purities of the score table and once with the fallback's."""
+    cohort = t("customer").where("c_nationkey < 20").select(F.concat(F.lit("AA-BB-C"), "c_custkey").alias("patient"))
+    each = [N.annotated_patients(cohort, sample_tables(t, s), "patient").withColumn("scored", F.lit(s)) for s in (True, False)]
+    return each[0].union(each[1])
+
+
+@Q("""WITH s AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 9 = 0 THEN '' ELSE 'p' || o_custkey END AS p, 'u' || (o_orderkey % 500) AS u, o_orderstatus AS m FROM orders),
+  g AS (SELECT p, u, min(k) AS k FROM s WHERE p <> '' GROUP BY 1, 2) SELECT p AS patient_id, count(*) AS studies, list_sort(list(g.u)) AS uids, list(CASE WHEN k % 3 = 0 THEN ['CT', 'MR'] WHEN k % 3 = 1 THEN ['CT'] ELSE [] END ORDER BY u) AS modalities FROM g GROUP BY 1""")
+def a18_study_records(t):
+    """Study records under three sets of field names, one a study and patient, grouped by patient."""
+    k, who = F.col("o_orderkey"), F.when(F.col("o_custkey") % 9 == 0, " ").otherwise(F.concat(F.lit("p"), "o_custkey"))
+    uid = F.concat(F.lit("u"), k % 500)
+    forms = [F.to_json(F.struct(who.alias("PatientID"), uid.alias("StudyInstanceUID"), F.array(F.lit("MR"), F.lit("CT")).alias("ModalitiesInStudy"))), F.to_json(F.struct(F.lit(" ").alias("PatientID"), who.alias("subject_id"), uid.alias("studyInstanceUid"), F.lit("CT").alias("Modality"))), F.to_json(F.struct(who.alias("patientId"), uid.alias("StudyInstanceUid")))]
+    docs = t("orders").select(k, F.element_at(F.array(*forms), (k % 3 + 1).cast("int")).alias("body"))
+    studies = C.study_records(docs, "body", ["o_orderkey"])
+    grouped = A.grouped_records(studies, "patient_id", "study_instance_uid", ["o_orderkey", "modalities_in_study"])
+    r = F.col("records")
+    return grouped.select("patient_id", F.size("records").cast("long").alias("studies"), r["study_instance_uid"].alias("uids"), r["modalities_in_study"].alias("modalities"))
+
+
+@Q("""WITH s AS (SELECT 'u' || (o_orderkey % 500) AS u, min('p' || o_custkey) AS p FROM orders GROUP BY 1)
+      SELECT 'u' || (l_orderkey % 700) AS study, p AS patient_id, 'x' || l_partkey AS series_instance_uid, l_returnflag AS modality, l_linenumber FROM lineitem JOIN s ON u = 'u' || (l_orderkey % 700) WHERE l_partkey % 4 > 0""")
+def a18_series_records(t):
+    """Series records of known studies under two sets of field names."""
+    uid = F.when(F.col("l_partkey") % 4 > 0, F.concat(F.lit("x"), "l_partkey"))
+    body = F.when(F.col("l_partkey") % 2 == 0, F.to_json(F.struct(uid.alias("SeriesInstanceUID"), F.col("l_returnflag").alias("Modality")))).otherwise(F.to_json(F.struct(uid.alias("seriesInstanceUid"), F.col("l_returnflag").alias("modality"))))
+    docs = t("lineitem").select(F.concat(F.lit("u"), F.col("l_orderkey") % 700).alias("study"), "l_linenumber", body.alias("body"))
+    studies = t("orders").select(F.concat(F.lit("u"), F.col("o_orderkey") % 500).alias("study_instance_uid"), F.concat(F.lit("p"), "o_custkey").alias("patient_id"))
+    return C.series_records(docs, "body", studies, "study", ["l_linenumber"]).select("study", "patient_id", "series_instance_uid", "modality", "l_linenumber")
 
 
 @Q("SELECT vec_id % 50 AS mask, count(*) FILTER (label > 3) AS pixels FROM embeddings GROUP BY 1 HAVING count(*) FILTER (label > 3) >= 4")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cohort_spark.functions import arrays as A
 from cohort_spark.operators.aggregates import collected
+from cohort_spark.plans import artifacts
 from cohort_spark.queries.base import Registry
 
 Q = Registry()
@@ -82,11 +83,22 @@ def ar12_display(t):
     return t("lineitem").groupBy("l_orderkey").agg(collected("l_returnflag").alias("f")).select("l_orderkey", A.display("f").alias("shown"))
 
 
-@Q("""SELECT user_id, count(*) FILTER (event_type <> 'click') AS usable, coalesce(list(event_id ORDER BY event_id) FILTER (event_type = 'click'), []) AS rejected, arg_min(event_type, event_id) AS modality FROM events GROUP BY 1""")
+@Q("SELECT vec_id, embedding AS features, list_transform(embedding, lambda x, i: CAST(i AS INTEGER)) AS coords FROM embeddings")
+def ar10_paired(t):
+    """Features and coordinates, either wrapped once more or not, of equal length."""
+    place = F.transform("embedding", lambda x, i: (i + 1).cast("int"))
+    wrapped = t("embeddings").select("vec_id", F.array("embedding").alias("features"), F.array(place).alias("coords"))
+    return wrapped.select("vec_id", A.paired("features", "coords").alias("p")).select("vec_id", "p.*")
+
+
+@Q("""SELECT user_id, count(*) FILTER (event_type <> 'click' AND event_id % 7 > 0) AS usable, coalesce(list('/e/' || event_id ORDER BY event_id) FILTER (event_type <> 'click' AND event_id % 7 > 0), []) AS usable_paths,
+             count(*) FILTER (event_type <> 'click') AS accepted, coalesce(list(event_id ORDER BY event_id) FILTER (event_type = 'click'), []) AS rejected, coalesce(arg_min(upper(event_type), event_id) FILTER (event_id % 3 > 0), '') AS modality FROM events GROUP BY 1""")
 def ar13_accepted_and_rejected(t):
-    """Records split into accepted and rejected, the first type kept."""
-    r = t("events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("r"))
-    return r.select("user_id", F.size(F.filter("r", lambda x: x["event_type"] != "click")).cast("long").alias("usable"), F.transform(F.filter("r", lambda x: x["event_type"] == "click"), lambda x: x["event_id"]).alias("rejected"), F.try_element_at(F.col("r.event_type"), F.lit(1)).alias("modality"))
+    """Records split into accepted and rejected, usable paths, the first modality that is there."""
+    e = F.col("event_id")
+    record = F.struct("event_id", F.when(F.col("event_type") == "click", "clicked").when(e % 2 == 0, " ").alias("reason"), F.when(e % 7 > 0, F.concat(F.lit("/e/"), e)).alias("path"), F.when(e % 3 > 0, F.upper("event_type")).otherwise(" ").alias("modality"))
+    r = t("events").groupBy("user_id").agg(F.array_sort(F.collect_list(record)).alias("r")).select("user_id", A.split_records("r", "reason", "path", "modality").alias("s"))
+    return r.select("user_id", F.col("s.usable").cast("long").alias("usable"), "s.usable_paths", F.size("s.accepted").cast("long").alias("accepted"), F.col("s.rejected.event_id").alias("rejected"), "s.modality")
 
 
 @Q("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN ['a'] ELSE [] END AS items, CASE WHEN page_id % 2 = 0 THEN [url] ELSE [] END AS one FROM pages")
@@ -96,14 +108,14 @@ def ar18_items(t):
     return t("pages").select("page_id", A.items(F.when(even, F.array(F.lit(" a "), F.lit(" ")))).alias("items"), A.item(F.when(even, F.col("url"))).alias("one"))
 
 
-@Q("""SELECT o_orderkey AS case_id, CASE WHEN len(u) = 0 THEN [] ELSE u END AS u FROM (
-        SELECT o_orderkey, coalesce(list(l_linenumber ORDER BY l_linenumber) FILTER (l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 20)), []) AS u FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)""")
+@Q("""WITH h AS (SELECT l_orderkey, '/out/s' || l_partkey || '.npy' AS path, min(l_linenumber) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 20 GROUP BY 1, 2)
+      SELECT o_orderkey AS case_id, coalesce(list(path ORDER BY n, path) FILTER (path IS NOT NULL), []) AS paths FROM orders LEFT JOIN h ON o_orderkey = l_orderkey GROUP BY 1""")
 def ar17_rebuilt_paths(t):
     """A case's artifacts that exist, in slide order."""
-
-    ok = t("lineitem").join(t("part").where("p_size > 20").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
-    lists = ok.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("u"))
-    return t("orders").select(F.col("o_orderkey").alias("case_id")).join(lists, "case_id", "left").withColumn("u", F.coalesce("u", F.array().cast("array<int>")))
+    slides = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("s"), F.col("l_partkey")).alias("slide")))).alias("s"))
+    cases = t("orders").select(F.col("o_orderkey").alias("case_id")).join(slides, F.col("case_id") == F.col("l_orderkey"), "left").select("case_id", F.col("s.slide").alias("slides"))
+    files = t("part").select(F.concat(F.lit("/out/s"), F.col("p_partkey"), F.lit(".npy")).alias("path"), F.col("p_size").alias("size"))
+    return artifacts.rebuilt_paths(cases, "case_id", "slides", files, lambda s: F.concat(F.lit("/out/"), s, F.lit(".npy")), lambda size: size > 20)
 
 
 @Q("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN ['/d/' || page_id] ELSE [] END AS local FROM pages""")

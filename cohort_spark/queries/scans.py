@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohort_spark.plans.artifacts import first_matching_column
 from cohort_spark.queries.base import Registry
 from cohort_spark.sources import files as S
 from cohort_spark.sources import registry as R
@@ -59,11 +60,25 @@ def io7_read_values(t):
     return S.read_values(e.sparkSession, path).agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("present"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@Q("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'missing' WHEN strlen(html) < 2000 THEN 'too_small' ELSE 'ok' END AS verdict FROM pages""")
+@Q("""WITH g AS (SELECT page_id % 25 AS k, sum(strlen(html) + 1) AS size FROM pages GROUP BY 1), d AS (SELECT k, unnest(['file', 'folder', 'hidden', 'none', 'empty', 'hole', 'blank']) AS what, size FROM g)
+      SELECT k, what, CAST(CASE WHEN what = 'file' THEN size ELSE 0 END AS BIGINT) AS size,
+             CASE what WHEN 'file' THEN CASE WHEN size < 100 + k * 1000 THEN 'too_small' ELSE 'ok' END WHEN 'folder' THEN 'not_a_file' WHEN 'hole' THEN 'not_a_file' WHEN 'empty' THEN 'too_small' ELSE 'missing' END AS verdict FROM d""")
 def io8_file_verdict(t):
-    p = t("pages")
-    files = p.where("page_id % 3 <> 0").select(F.concat(F.lit("/p/"), "page_id").alias("path"), F.octet_length("html").alias("size"))
-    return S.file_verdict(p.select("page_id", F.concat(F.lit("/p/"), "page_id").alias("ref")), files, least=2000).select("page_id", "verdict")
+    """References to files, folders, hidden and absent names, an empty file and an empty folder, judged by a listing of what was written."""
+    p = t("pages").select((F.col("page_id") % 25).alias("k"), F.coalesce("html", F.lit("")).alias("html"))
+    spark, path = p.sparkSession, scratch(p, "files")
+    p.repartition("k").write.partitionBy("k").text(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.create(hadoop.Path(f"{path}/empty.bin")).close()
+    store.mkdirs(hadoop.Path(f"{path}/hole"))
+    files, root = S.inventory(spark, path, folders=True), S.qualified(spark, path)
+    own = files.where("kind = 'file' and size > 0").select(F.regexp_extract("path", "/k=([0-9]+)/", 1).cast("long").alias("k"), F.col("path").alias("own"))
+    named = {"file": F.col("own"), "folder": F.concat(F.lit(f"{root}/k="), "k"), "hidden": F.lit(f"{root}/_SUCCESS"), "none": F.concat(F.lit(f"{root}/none-"), "k"), "empty": F.lit(f"{root}/empty.bin"), "hole": F.lit(f"{root}/hole"), "blank": F.lit(None)}
+    refs = own.select("k", F.explode(F.array(*[F.struct(F.lit(w).alias("what"), c.cast("string").alias("ref")) for w, c in named.items()])).alias("r")).select("k", "r.*")
+    judged = S.file_verdict(refs, files.withColumn("least", F.lit(0)), least=1)
+    small = (F.col("what") == "file") & (F.col("size") < 100 + F.col("k") * 1000)
+    return judged.select("k", "what", "size", F.when(small, "too_small").otherwise(F.col("verdict")).alias("verdict"))
 
 
 @Q("SELECT doc_id, lang AS split FROM documents WHERE lang IN ('en', 'fr')")
@@ -130,3 +145,42 @@ def st2_process_once(t):
         e.repartition(parts, "event_id").write.mode("append").parquet(source)
         refresh.process_once(spark, source, "event_id long, event_type string", "event_id", target, progress, work, done, 1)
     return refresh.all_results(spark, target, done)
+
+
+@Q("SELECT 2 AS number, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS rows UNION ALL SELECT 3, (SELECT count(*) FROM orders) UNION ALL SELECT 1, (SELECT count(*) FROM orders)")
+def io13_versions(t):
+    """A registry version is replaced, then restored; every version that the pointer named is still read."""
+    o = t("orders").select(F.col("o_orderkey").cast("string").alias("sample_id"), F.col("o_orderstatus").alias("source"))
+    spark, pointer = o.sparkSession, scratch(o, "pointer")
+    R.write_registry(R.normalized(o), whole := scratch(o, "whole"))
+    R.write_registry(R.normalized(o.where("source = 'F'")), part := scratch(o, "part"))
+    for version in (whole, part):
+        R.swap_version(spark, pointer, version)
+    R.restore_version(spark, pointer, 1)
+    each = [R.read_registry(spark, v, ["sample_id"]).agg(F.lit(n).alias("number"), F.count(F.lit(1)).alias("rows")) for n, v in R.pointers(spark, pointer)]
+    return each[0].union(each[1]).union(each[2])
+
+
+@Q("SELECT count(*) AS rows, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer")
+def io15_lazy_rows(t):
+    """Rows reach the driver one partition at a time and are only counted there."""
+    c = t("customer").select("c_custkey")
+    rows = keys = 0
+    for r in S.lazy_rows(c):
+        rows, keys = rows + 1, keys + r.c_custkey
+    return c.sparkSession.createDataFrame([(rows, keys)], "rows long, keys long")
+
+
+@Q("SELECT o_orderkey, 'r' || o_custkey AS report_path, ['w' || o_orderkey] AS slide_paths FROM orders")
+def pf19_path_columns(t):
+    """The columns that hold paths, found by their names."""
+    o = t("orders").select("o_orderkey", F.concat(F.lit("r"), "o_custkey").alias("report_path"), F.array(F.concat(F.lit("w"), "o_orderkey")).alias("slide_paths"), F.col("o_orderstatus").alias("pathology"), F.col("o_orderpriority").alias("path_note"))
+    return o.select("o_orderkey", *R.path_columns(o))
+
+
+@Q("SELECT l_orderkey, sum(l_quantity) AS total FROM lineitem GROUP BY 1")
+def s24_matched_column(t):
+    """A column is found by ordered patterns, whatever their case."""
+    l = t("lineitem")
+    found = first_matching_column(l.columns, ["absent", "QUANT", "price"])
+    return l.groupBy("l_orderkey").agg(F.sum(found).alias("total"))

@@ -1,7 +1,9 @@
 """Text, identity and numeric expressions."""
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohort_spark.functions import images as I
 from cohort_spark.functions import text as T
 from cohort_spark.queries.base import Registry
 
@@ -122,7 +124,7 @@ def s18_image_reject_reason(t):
         (e % 13 != 0).alias("readable_dicom"),
         F.lit(None).cast("string").alias("reject_reason"),
         F.when(e % 7 == 0, "US").otherwise("CT").alias("modality"),
-        F.when(e % 5 == 0, f"{T.SECONDARY_CAPTURE}.2").otherwise("1.2").alias("sop_class_uid"),
+        F.when(e % 5 == 0, T.SECONDARY_CAPTURES[2]).otherwise("1.2").alias("sop_class_uid"),
         F.when(F.col("event_type") == "click", "ORIGINAL\\localizer").when(F.col("event_type") == "view", "x\\MIP").otherwise("ORIGINAL").alias("image_type"),
         F.lit(None).cast("string").alias("series_description"),
         F.lit("sublime").alias("protocol_name"),
@@ -196,15 +198,34 @@ def s29_s33_windowed(t):
     return g.select("event_id", "grey", T.inverted("grey", "p").alias("inverse"))
 
 
-@Q("""WITH b AS (SELECT user_id, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM events GROUP BY 1)
-      SELECT event_id, CAST(round_even(CASE WHEN hi > lo THEN (least(greatest(value, lo), hi) - lo) / greatest(hi - lo, 1e-6) * 255 ELSE 0 END, 0) AS INTEGER) AS grey FROM events JOIN b USING (user_id)""")
+_PIXELS = """p AS (SELECT vec_id, i, (vec_id + i) % 5 = 0 OR vec_id % 10 = 1 AS pad, CASE WHEN (vec_id + i) % 11 = 0 THEN 'nan'::DOUBLE WHEN (vec_id + i) % 13 = 0 THEN 'inf'::DOUBLE WHEN vec_id % 10 = 0 THEN 5.0::DOUBLE
+     WHEN vec_id % 10 = 2 THEN CASE WHEN i = 3 THEN 9.0::DOUBLE ELSE 2.0::DOUBLE END ELSE CAST(embedding[i + 1] AS DOUBLE) * 1000 END AS x FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings))"""
+
+
+def pixel_rows(t) -> DataFrame:
+    """Embeddings as images with padding, NaN and infinite pixels; some are constant, all padding, or all but one pixel alike."""
+    v = F.col("vec_id")
+    value = lambda x, i: F.when(v % 10 == 0, 5.0).when(v % 10 == 2, F.when(i == 3, 9.0).otherwise(2.0)).otherwise(x.cast("double") * 1000)
+    pixel = lambda x, i: F.when((v + i) % 11 == 0, float("nan")).when((v + i) % 13 == 0, float("inf")).otherwise(value(x, i))
+    return t("embeddings").select("vec_id", F.transform("embedding", pixel).alias("pixels"), F.transform("embedding", lambda x, i: ((v + i) % 5 == 0) | (v % 10 == 1)).alias("padding"))
+
+
+@Q(f"""WITH {_PIXELS}, b AS (SELECT vec_id, quantile_cont(x, 0.25) AS lo, quantile_cont(x, 0.75) AS hi, min(x) AS least, max(x) AS most FROM p WHERE NOT pad AND isfinite(x) GROUP BY 1),
+      c AS (SELECT vec_id, CASE WHEN hi > lo THEN lo ELSE least END AS lo, CASE WHEN hi > lo THEN hi ELSE most END AS hi FROM b)
+      SELECT vec_id, list(CAST(CASE WHEN pad OR isnan(x) OR NOT coalesce(hi > lo, false) THEN 0 ELSE round_even((least(greatest(x, lo), hi) - lo) / (hi - lo) * 255, 0) END AS INTEGER) ORDER BY i) AS grey FROM p LEFT JOIN c USING (vec_id) GROUP BY vec_id""")
 def s30_rescaled(t):
-    """Each user's values between their own percentiles to 0..255."""
-    e = t("events")
-    b = e.groupBy("user_id").agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("b"))
-    lo, hi = F.col("b")[0], F.col("b")[1]
-    grey = F.when(hi > lo, (F.least(F.greatest("value", lo), hi) - lo) / F.greatest(hi - lo, F.lit(1e-6)) * 255).otherwise(0.0)
-    return e.join(b, "user_id").select("event_id", F.rint(grey).cast("int").alias("grey"))
+    """Each image between quantiles of its own valid pixels, falling back to its extremes, then to zeros."""
+    return pixel_rows(t).select("vec_id", I.rescaled("pixels", "padding", 0.25, 0.75).alias("grey"))
+
+
+@Q(f"""WITH {_PIXELS}, w AS (SELECT CASE vec_id % 3 WHEN 0 THEN [-600.0, 50.0, 300.0] WHEN 1 THEN [50.0, 60.0, 300.0] ELSE [50.0, 300.0, 50.0] END AS c, CASE vec_id % 3 WHEN 0 THEN [1500.0, 400.0, 1500.0] WHEN 1 THEN [350.0, 180.0, 1500.0] ELSE [400.0, 1500.0, 800.0] END AS w, vec_id FROM embeddings),
+      g AS (SELECT vec_id, k, i, CASE WHEN pad OR isnan(x) THEN 0 ELSE round_even((least(greatest(x, CAST(c[k] AS DOUBLE) - CAST(w[k] AS DOUBLE) / 2), CAST(c[k] AS DOUBLE) + CAST(w[k] AS DOUBLE) / 2) - (CAST(c[k] AS DOUBLE) - CAST(w[k] AS DOUBLE) / 2)) / CAST(w[k] AS DOUBLE) * 255, 0) END AS grey
+            FROM p JOIN w USING (vec_id), (SELECT unnest([1, 2, 3]) AS k))
+      SELECT vec_id, list(CAST(grey AS INTEGER) ORDER BY k, i) AS grey FROM g GROUP BY vec_id""")
+def s29_window_channels(t):
+    """Three windows of the body region as three channels."""
+    region = F.when(F.col("vec_id") % 3 == 0, "thorax_abdomen").when(F.col("vec_id") % 3 == 1, "head_neck").otherwise("elsewhere")
+    return pixel_rows(t).select("vec_id", F.flatten(I.region_channels("pixels", region, "padding")).alias("grey"))
 
 
 @Q("SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))), 6)) AS unit FROM embeddings")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import fnmatch
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cohort_spark.functions.text import file_name, stem
 
@@ -46,17 +48,96 @@ def read_documents(spark: SparkSession, path: str, schema: str, filters: Mapping
     return df.limit(most) if most else df
 
 
-def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, name, stem, size) of the visible files below a folder; contents are not read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return df.select("path", file_name("path").alias("name"), stem("path").alias("stem"), F.col("length").alias("size")).where(~F.col("name").rlike("^[._]"))
+def inventory(spark: SparkSession, path: str, glob: str = "*", folders: bool = False) -> DataFrame:
+    """(path, name, stem, size, kind) of the visible files below a folder; contents are not read.
+
+    Names that begin with a dot or an underscore are left out. Without
+    ``folders`` Spark's own listing serves, on any store that Spark reads; it
+    does not show files without bytes. With it, folders are rows of kind
+    ``folder`` and size 0, empty or not, the root among them, and files without
+    bytes are listed: a task for each subfolder of the root lists what is below
+    it, so the store must be one that ``pyarrow.fs`` reaches.
+    """
+    if folders:
+        spark.dataSource.register(FolderListing)
+        df = spark.read.format(FolderListing.name()).option("root", qualified(spark, path)).load()
+        shown = (F.col("kind") == "folder") | file_name("path").rlike("^" + fnmatch.translate(glob))
+        df = df.where(shown)
+    else:
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+        df = read.select("path", F.col("length").alias("size"), F.lit("file").alias("kind"))
+    return df.select("path", file_name("path").alias("name"), stem("path").alias("stem"), "size", "kind").where(~F.col("name").rlike("^[._]"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as listings write it, with its scheme."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+class FolderListing(DataSource):
+    """(path, size, kind) of the files and folders below ``root``; a partition for each of its subfolders, and one for the rest."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "folder_listing"
+
+    def schema(self) -> str:
+        return "path string, size long, kind string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return FolderReader(self.options["root"].rstrip("/"))
+
+
+class FolderReader(DataSourceReader):
+    def __init__(self, root: str):
+        self.root = root
+
+    def listed(self, folder: str, recursive: bool) -> Iterator[tuple[str, int, str]]:
+        """What a folder, named from the root, holds; a folder that is gone holds nothing."""
+        from pyarrow import fs
+
+        scheme, rest = self.root.split(":", 1)
+        if scheme == "file":
+            store, base = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+        else:
+            store, base = fs.FileSystem.from_uri(self.root)
+        chosen = fs.FileSelector(base + folder, recursive=recursive, allow_not_found=True)
+        for info in store.get_file_info(chosen):
+            kind = "folder" if info.type == fs.FileType.Directory else "file"
+            yield info.path[len(base) :], info.size or 0, kind
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(None), *[InputPartition(p) for p, _, kind in self.listed("", False) if kind == "folder"]]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, int, str]]:
+        if partition.value is None:
+            yield self.root, 0, "folder"
+        below = self.listed(partition.value or "", partition.value is not None)
+        for path, size, kind in below:
+            yield self.root + path, 0 if kind == "folder" else size, kind
 
 
 def file_verdict(refs: DataFrame, files: DataFrame, ref: str = "ref", least: int = 1) -> DataFrame:
-    """``refs`` with verdict missing, too_small or ok by a left join with an inventory (path, size)."""
-    own = files.select(F.col("path").alias("_path"), F.col("size").alias("_size"))
-    verdict = F.when(F.col("_path").isNull(), "missing").when(F.col("_size") < least, "too_small").otherwise("ok")
-    return refs.join(own, F.col(ref) == F.col("_path"), "left").withColumn("verdict", verdict).drop("_path", "_size")
+    """``refs`` with ``size`` and verdict missing, not_a_file, too_small or ok by a left join with an inventory (path, size, kind).
+
+    A blank or null reference is missing; an inventory without ``kind`` lists files.
+    """
+    kind = F.col("kind") if "kind" in files.columns else F.lit("file")
+    own = files.select(F.col("path").alias("_path"), F.col("size").alias("_size"), kind.alias("_kind"))
+    verdict = F.when(F.col("_path").isNull(), "missing").when(F.col("_kind") != "file", "not_a_file").when(F.col("_size") < least, "too_small").otherwise("ok")
+    size = F.when(F.col("_kind") == "file", F.col("_size")).otherwise(F.lit(0))
+    return refs.join(own, F.col(ref) == F.col("_path"), "left").withColumn("size", size).withColumn("verdict", verdict).drop("_path", "_size", "_kind")
+
+
+def write_details(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """One JSON object a row in folders by the values of ``by``; ``by`` columns stand in the folders' names alone."""
+    df.write.mode("overwrite").partitionBy(*by).json(path)
+
+
+def read_details(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``write_details`` wrote, in the schema given."""
+    return spark.read.schema(schema).json(path)
 
 
 def write_sorted(df: DataFrame, path: str, order: Sequence[str], form: str = "parquet") -> None:

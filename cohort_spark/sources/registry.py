@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,23 +13,26 @@ from cohort_spark.functions.arrays import items, no_items, parsed_list, whole_nu
 from cohort_spark.functions.text import clean, export_split
 
 # The core columns of the registry, in order; those in LISTS are lists of text.
-CORE = (
-    "sample_id source patient_id study_id split genomics_rna_bulk_paths genomics_rna_bulk_feature_path genomics_rna_bulk_file_ids "
-    "genomics_rna_bulk_file_names genomics_rna_bulk_sample_types genomics_rna_bulk_workflow_types genomics_rna_bulk_molecular_subtype "
-    "genomics_rna_bulk_subtype_mrna genomics_dna_methylation_subtype genomics_integrative_subtype genomics_msi_status "
-    "genomics_rna_bulk_leukocyte_fraction genomics_rna_bulk_tumor_purity genomics_aneuploidy_score genomics_hrd_score "
-    "genomics_rna_bulk_top_immune_cell_types genomics_rna_bulk_top_immune_cell_fractions genomics_dna_methylation_paths "
-    "genomics_dna_methylation_feature_path genomics_cnv_paths genomics_cnv_feature_path pathology_wsi_paths radiology_image_paths "
-    "radiology_image_modalities radiology_report_download_paths radiology_report_uri_paths radiology_report_series_descriptions "
-    "pathology_mask_paths pathology_segmentation_slide_image_paths pathology_segmentation_overlay_paths "
-    "pathology_segmentation_metadata_paths radiology_mask_paths pathology_tile_embedding_paths pathology_slide_embedding_paths "
-    "radiology_embedding_paths biomarkers_text question answer"
-).split()
-LISTS = tuple(
-    c
-    for c in CORE
-    if c.endswith(("_paths", "_ids", "_names", "_sample_types", "_workflow_types", "_cell_types", "_cell_fractions", "_modalities", "_descriptions"))
-)
+CORE = [
+    "sample_id", "source", "patient_id", "study_id", "split", "genomics_rna_bulk_paths", "genomics_rna_bulk_feature_path",
+    "genomics_rna_bulk_file_ids", "genomics_rna_bulk_file_names", "genomics_rna_bulk_sample_types", "genomics_rna_bulk_workflow_types",
+    "genomics_rna_bulk_molecular_subtype", "genomics_rna_bulk_subtype_mrna", "genomics_dna_methylation_subtype", "genomics_integrative_subtype",
+    "genomics_msi_status", "genomics_rna_bulk_leukocyte_fraction", "genomics_rna_bulk_tumor_purity", "genomics_aneuploidy_score",
+    "genomics_hrd_score", "genomics_rna_bulk_top_immune_cell_types", "genomics_rna_bulk_top_immune_cell_fractions", "genomics_dna_methylation_paths",
+    "genomics_dna_methylation_feature_path", "genomics_cnv_paths", "genomics_cnv_feature_path", "pathology_wsi_paths", "radiology_image_paths",
+    "radiology_image_modalities", "radiology_report_download_paths", "radiology_report_uri_paths", "radiology_report_series_descriptions",
+    "pathology_mask_paths", "pathology_segmentation_slide_image_paths", "pathology_segmentation_overlay_paths",
+    "pathology_segmentation_metadata_paths", "radiology_mask_paths", "pathology_tile_embedding_paths", "pathology_slide_embedding_paths",
+    "radiology_embedding_paths", "biomarkers_text", "question", "answer",
+]
+LISTS = (
+    "genomics_rna_bulk_paths", "genomics_rna_bulk_file_ids", "genomics_rna_bulk_file_names", "genomics_rna_bulk_sample_types",
+    "genomics_rna_bulk_workflow_types", "genomics_rna_bulk_top_immune_cell_types", "genomics_rna_bulk_top_immune_cell_fractions",
+    "genomics_dna_methylation_paths", "genomics_cnv_paths", "pathology_wsi_paths", "radiology_image_paths", "radiology_image_modalities",
+    "radiology_report_download_paths", "radiology_report_uri_paths", "radiology_report_series_descriptions", "pathology_mask_paths",
+    "pathology_segmentation_slide_image_paths", "pathology_segmentation_overlay_paths", "pathology_segmentation_metadata_paths",
+    "radiology_mask_paths", "pathology_tile_embedding_paths", "pathology_slide_embedding_paths", "radiology_embedding_paths",
+)
 OPTIONAL_LISTS = ("radiology_mask_manifest_paths", "radiology_png_dirs", "radiology_download_paths")
 OPTIONAL_INT_LISTS = ("radiology_series_slice_counts",)
 SCHEMA = T.StructType([T.StructField(c, T.ArrayType(T.StringType()) if c in LISTS else T.StringType()) for c in CORE])
@@ -128,11 +132,58 @@ def publish(spark: SparkSession, incoming: DataFrame, source: str, unified: str,
     return spark.read.parquet(target)
 
 
-def swap_version(spark: SparkSession, pointer: str, version: str) -> str | None:
-    """Point at a new version and return the one before, which stays as the backup."""
-    before = spark.read.text(pointer).first()[0] if exists(spark, pointer) else None
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
-    return before
+def pointers(spark: SparkSession, pointer: str) -> list[tuple[int, str]]:
+    """(number, version) of all that the pointer ever named, oldest first; the last one counts, the others are backups."""
+    if not exists(spark, pointer):
+        return []
+    path = spark._jvm.org.apache.hadoop.fs.Path(pointer)
+    names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    numbers = sorted(int(n.removeprefix("to-")) for n in names if n.startswith("to-"))
+    return [(n, spark.read.text(f"{pointer}/to-{n:08d}").first()[0]) for n in numbers]
+
+
+def current_version(spark: SparkSession, pointer: str) -> str | None:
+    known = pointers(spark, pointer)
+    return known[-1][1] if known else None
+
+
+def swap_version(spark: SparkSession, pointer: str, version: str, expected: int | None = None) -> str | None:
+    """Point at a new version and return the one before, which stays as a backup.
+
+    The name is written beside the pointer and put in place by one rename to the
+    next number, which fails if that number is taken: a crash before it leaves
+    the former version in effect, and of two writers that saw the same pointer
+    one gets an error. ``expected`` is the number that the caller saw (0 for
+    none); without it the newest one is taken.
+    """
+    known = pointers(spark, pointer)
+    seen = expected if expected is not None else (known[-1][0] if known else 0)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{pointer}/{name}")
+    fresh = at(f".new-{uuid.uuid4().hex}")
+    store = fresh.getFileSystem(conf)
+    out = store.create(fresh)
+    out.write(bytearray(version.encode()))
+    out.close()
+    renamed(spark, fresh, at(f"to-{seen + 1:08d}"))
+    before = dict(known)
+    return before.get(seen)
+
+
+def renamed(spark: SparkSession, source, target) -> None:
+    """Rename a file; an error if the target is there."""
+    jvm = spark._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    store = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), spark._jsc.hadoopConfiguration()).rename(store.makeQualified(source), store.makeQualified(target), options)
+
+
+def restore_version(spark: SparkSession, pointer: str, number: int) -> str:
+    """Point again at an earlier version, by its number; it becomes the newest entry."""
+    version = dict(pointers(spark, pointer))[number]
+    swap_version(spark, pointer, version)
+    return version
 
 
 def is_blank(column: str, kind: str):

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -177,10 +178,24 @@ def test_inventory_and_manifest(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/m").first().rows == 3
 
 
-def test_swap_version(spark, tmp_path):
+def test_swap_version(spark, tmp_path, monkeypatch):
     pointer = f"file://{tmp_path}/pointer"
+    assert registry.current_version(spark, pointer) is None
     assert registry.swap_version(spark, pointer, "v1") is None
     assert registry.swap_version(spark, pointer, "v2") == "v1"
+    with monkeypatch.context() as m:  # it fails after the name is written, before it is put in place
+
+        def broken(*_):
+            raise OSError("stop")
+
+        m.setattr(registry, "renamed", broken)
+        with pytest.raises(OSError):
+            registry.swap_version(spark, pointer, "v3")
+    assert registry.current_version(spark, pointer) == "v2"
+    with pytest.raises(Py4JJavaError):  # someone else saw the first version only
+        registry.swap_version(spark, pointer, "v4", expected=1)
+    assert registry.restore_version(spark, pointer, 1) == "v1"
+    assert registry.pointers(spark, pointer) == [(1, "v1"), (2, "v2"), (3, "v1")]
 
 
 def test_groups_stay_together(spark):
