@@ -45,7 +45,7 @@ class WordTokenizer:
     The tokenizer lower-cases, cuts at white space and between letters and other
     signs before anything else, so a text's ids are those of its chunks, and a
     chunk's that ends in a letter and a stop or comma are those of its word and
-    of the sign. Texts of Latin letters, for which Python lower-cases alike, are
+    of the sign, where the word lower-cased still ends in a letter. Texts of Latin letters, for which Python lower-cases alike, are
     lower-cased first. Words of such letters alone need no normalising and no
     cutting, so ``bare`` encodes them without. Chunks met before are looked up.
     """
@@ -63,7 +63,7 @@ class WordTokenizer:
 
     def learn(self, chunks: set[str]) -> None:
         """Hold the ids of chunks that are not held."""
-        ended = {w for w in chunks if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and w[-2] < "\u0250"}
+        ended = {w for w in chunks if len(w) > 1 and w[-1] in ".," and w[-2] < "\u0250" and w[-2].lower()[-1].isalpha()}
         fresh = [w for w in (chunks - ended) | {w[:-1] for w in ended} if w not in self.held]
         words = [w for w in fresh if w.isalpha() and w.islower() and max(w) < "\u0250"]
         for own, tokenizer in ((words, self.bare), (list(set(fresh).difference(words)), self.tokenizer)):
