@@ -77,12 +77,16 @@ def host_rates(judged: DataFrame, host: str = "host", failed: str = "failed") ->
     s = m (1 - m) / between - 1. Without such a spread s is ``FLAT_PRIOR``, so
     small hosts follow the overall rate. rate = (failures + m s) / (n + s).
     """
-    hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("failures"))
+    return shrunken(judged.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("failures")))
+
+
+def shrunken(hosts: DataFrame) -> DataFrame:
+    """``hosts`` (host, n, failures) with the ``rate`` of ``host_rates``; counts may be as large as a long."""
     t = hosts.agg(
         F.sum("n").alias("rows"),
         F.sum("failures").alias("bad"),
         F.count(F.lit(1)).alias("hosts"),
-        F.sum(F.col("failures") * F.col("failures") / F.col("n")).alias("squares"),
+        F.sum(F.col("failures").cast("double") * F.col("failures") / F.col("n")).alias("squares"),
     ).first()
     rows, bad = t.rows or 0, t.bad or 0
     mean = bad / rows if rows else 0.0
