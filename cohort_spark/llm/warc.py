@@ -26,10 +26,13 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def file_system(uri: str):
-    """(file system, path) of a folder shared by driver and executors."""
+    """(file system, path) of a folder or file on any store that Arrow reaches; Spark's names of S3 are taken for it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition("://")
+    if scheme == "file":
+        return fs.LocalFileSystem(), rest
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None) -> bytes:
@@ -57,11 +60,12 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write a record for each row and return the manifest (path, bytes, records).
+    """Write a record for each row and return the manifest (path, bytes, records); paths keep the folder's scheme.
 
     Of records with equal payloads of at least ``least_bytes`` bytes, that with
     the largest id is a response and those with smaller ids revisit it; all
-    others, and rows with a null id, are responses. A null payload is empty.
+    others, and rows with a null id, are responses, so rows that share the
+    largest id and a payload are responses all. A null payload is empty.
 
     Tasks write archives of their own names; only those that the committed
     manifest lists count, so a task that ran twice leaves no record twice.
@@ -81,8 +85,8 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
         for frame in frames:
             for page, url, payload, refers in zip(frame["page_id"], frame["url"], frame["payload"], frame["refers_to"], strict=True):
                 if out is None:
-                    name = f"{root}/{uuid.uuid4().hex}.warc.gz"
-                    out, size, n = store.open_output_stream(name, compression=None), 0, 0
+                    own = f"{uuid.uuid4().hex}.warc.gz"
+                    name, out, size, n = f"{folder.rstrip('/')}/{own}", store.open_output_stream(f"{root.rstrip('/')}/{own}", compression=None), 0, 0
                 payload = bytes(payload)
                 raw = record(None if pd.isna(page) else int(page), url, payload, base32_sha1(payload), None if pd.isna(refers) else int(refers))
                 out.write(raw)
@@ -185,15 +189,13 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = S
     schema = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         def frame_of(rows: list[tuple]) -> pd.DataFrame:
             out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"], dtype=object)
             return out.assign(page_id=out["page_id"].astype("Int64"), refers_to=out["refers_to"].astype("Int64"), payload_bytes=out["payload_bytes"].astype("int64"))
 
         for frame in frames:
             for path, start in zip(frame["path"], frame["start"], strict=True):
-                store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                store, name = file_system(path)
                 with store.open_input_file(name) as file:
                     rows, held = [], 0
                     for raw in records_in(file, start, start + split_bytes):
