@@ -127,23 +127,29 @@ def matched(units: DataFrame, templates=TEMPLATES, least: float = SIMILAR) -> Da
     unit is its count times ln((N + 1) / (df + 1)) + 1 over all N occurrences.
     Cosines are rounded to 6 digits; ties go to the first licence by name.
     """
+    keyed = units.withColumn("key", F.sha2("unit", 256))
+    return matched_keys(keyed, templates, least).join(keyed.select("key", "unit"), "key").select("unit", "licence", "score")
+
+
+def matched_keys(units: DataFrame, templates=TEMPLATES, least: float = SIMILAR) -> DataFrame:
+    """``matched`` for (key, unit, n), as (key, licence, score): words go with their unit's key, never with its text."""
     spark = units.sparkSession
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"at most {MOST_TEMPLATES} templates")
     total = units.agg(F.sum("n")).first()[0] or 0
-    counts = units.select("unit", "n", F.explode(_words("unit")).alias("word")).groupBy("unit", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"))
+    counts = units.select("key", "n", F.explode(_words("unit")).alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"))
     df = counts.groupBy("word").agg(F.sum("n").alias("df"))
     idf = F.log((F.lit(total) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     known = spark.createDataFrame([(i, *x) for i, x in enumerate(templates)], "t int, licence string, unit string")
     given = known.select("t", "licence", F.explode(_words("unit")).alias("word")).groupBy("t", "licence", "word").agg(F.count(F.lit(1)).alias("tf"))
     given = given.join(df, "word", "left").select("t", "licence", "word", (F.col("tf") * idf).alias("w"))
     given = given.join(given.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "t").select("t", "licence", "word", (F.col("w") / F.col("norm")).alias("of"))
-    own = counts.join(df, "word").select("unit", "word", (F.col("tf") * idf).alias("w"))
-    norms = own.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = own.join(F.broadcast(given), "word").groupBy("unit", "t", "licence").agg(F.sum(F.col("w") * F.col("of")).alias("dot"))
-    cosines = dots.join(norms, "unit").select("unit", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    own = counts.join(df, "word").select("key", "word", (F.col("tf") * idf).alias("w"))
+    norms = own.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = own.join(F.broadcast(given), "word").groupBy("key", "t", "licence").agg(F.sum(F.col("w") * F.col("of")).alias("dot"))
+    cosines = dots.join(norms, "key").select("key", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     best = F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best")
-    return cosines.where(F.col("score") >= least).groupBy("unit").agg(best).select("unit", "best.licence", (-F.col("best.minus")).alias("score"))
+    return cosines.where(F.col("score") >= least).groupBy("key").agg(best).select("key", "best.licence", (-F.col("best.minus")).alias("score"))
 
 
 def directory_of(path: str) -> F.Column:
@@ -166,10 +172,11 @@ def licensed_files(files: DataFrame, path_col: str = "path", text_col: str = "te
     rows = own_names.frame.withColumn("_path", F.col(own_names[path_col])).withColumn("_text", F.col(own_names[text_col]))
     is_file = F.coalesce(F.col("_path").rlike(LICENCE_FILE), F.lit(False))
     noticed = rows.where(F.col("_text").rlike(NOTICE) | is_file).select("_path", F.sha2("_text", 256).alias("_sha"), is_file.alias("_is_file"), notice_units("_text", is_file).alias("_units"))
-    noticed = saved(noticed, "notices").withColumn("unit", F.explode("_units")).drop("_units")
-    found = matched(noticed.groupBy("unit").agg(F.count(F.lit(1)).alias("n")), templates, least)
+    noticed = noticed.withColumn("unit", F.explode("_units")).drop("_units").withColumn("key", F.sha2("unit", 256))
+    noticed = saved(noticed, "notices")
+    found = matched_keys(saved(noticed.groupBy("key").agg(F.any_value("unit").alias("unit"), F.count(F.lit(1)).alias("n")), "units"), templates, least)
     best = F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best")
-    own = noticed.join(checked_broadcast(saved(found, "matches"), 100_000), "unit").groupBy("_path", "_sha").agg(best, F.first("_is_file").alias("_is_file"))
+    own = noticed.select("_path", "_sha", "_is_file", "key").join(checked_broadcast(saved(found, "matches"), 100_000), "key").groupBy("_path", "_sha").agg(best, F.first("_is_file").alias("_is_file"))
     own = saved(own.select("_path", "_sha", "_is_file", F.col("best.licence").alias("_own"), (-F.col("best.minus")).alias("_score")), "own")
     by = own.where("_path is not null").groupBy(directory_of("_path").alias("dir"), "_is_file").agg(F.min("_own").alias("low"), F.max("_own").alias("high"))
     declared = by.groupBy("dir").agg(F.max(F.struct(F.col("_is_file").alias("f"), "low", "high")).alias("d")).where("d.low = d.high").select("dir", F.col("d.low").alias("declared"))
