@@ -8,7 +8,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from cohort_spark.llm import decontamination, interactions
+from cohort_spark.llm import decontamination, interactions, phrases
 
 
 # -- filter interaction audit -----------------------------------------------------
@@ -206,3 +206,69 @@ def test_proximity_matches_equal_brute_force(spark):
         assert found == sorted(wanted) and found
     with pytest.raises(ValueError):
         decontamination.proximity_matches(index, words, 1000)
+
+
+# -- phrase mining ------------------------------------------------------------------
+
+
+def collocations_by_hand(rows, longest=3, least=10, top=2000, covered=50):
+    f, total = Counter(), Counter()
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            ws = re.findall(r"[^\x20\x09]+", piece)
+            total[lang or "und" if lang != "" else ""] += len(ws)
+            for k in range(1, longest + 1):
+                f.update((lang or "und" if lang != "" else "", tuple(ws[i : i + k])) for i in range(len(ws) - k + 1))
+    out = []
+    for lang in total:
+        found = []
+        candidates = {p: a for (g, p), a in f.items() if g == lang and len(p) > 1 and a >= least}
+        for p, a in candidates.items():
+            inside = lambda q: any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))  # noqa: B023, E731
+            if any(len(q) > len(p) and 100 * b >= covered * a and inside(q) for q, b in candidates.items()):
+                continue
+            cuts = [(1000000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            found.append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+        out += [(lang, i, p.decode(), -a, le, r, total[lang], -s) for i, (s, a, p, le, r) in enumerate(sorted(found)[:top], 1)]
+    return sorted(out)
+
+
+def phrase_rows(n):
+    pick = random.Random(8)
+    words = ["New", "york", "city", "the", "of", "Ünder", "a\x00b", "x" * 300]
+    text = lambda: "".join(pick.choice(words) + pick.choice([" ", " ", " ", "\t", ", ", ".\n", " . "]) for _ in range(pick.randrange(40)))
+    rows = [(text(), pick.choice(["en", "en", "en", "de", None, "und", ""])) for _ in range(n)]
+    return rows + [(None, "en"), ("", None), ("?!", "en"), ("ha " * 5000, "de"), ("the new york times " * 700 + "no stop", "fr"), ("once only", "xx")] + [("copy of a copy", "en")] * 30
+
+
+@pytest.mark.parametrize("longest, bound", [(2, 10**6), (3, 10**6), (3, 1), (4, 10**6)])
+def test_collocations_equal_brute_force(spark, monkeypatch, longest, bound):
+    monkeypatch.setattr(phrases, "BROADCAST_GROUPS", bound)
+    monkeypatch.setattr(phrases, "BUCKET_ROWS", 3000)
+    monkeypatch.setattr(phrases, "ROWS_AT_ONCE", 700)
+    rows = phrase_rows(150)
+    docs = spark.createDataFrame(rows, "text string, lang string").withColumns({c: F.lit("clash") for c in ("doc", "word", "code", "rank", "n", "key", "a")})
+    found = phrases.collocations(docs.repartition(3), longest=longest).collect()
+    assert sorted(tuple(r) for r in found) == collocations_by_hand(rows, longest)
+
+
+def test_collocations_keep_the_best_and_take_empty_tables(spark):
+    rows = phrase_rows(60)
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    assert sorted(tuple(r) for r in phrases.collocations(docs, top=7, least=3).collect()) == collocations_by_hand(rows, top=7, least=3)
+    assert phrases.collocations(docs.limit(0)).count() == 0
+    assert phrases.collocations(docs.where("lang = 'xx'")).count() == 0
+
+
+def test_words_that_share_a_key_change_the_seed(spark, monkeypatch):
+    plain = phrases.word_keys
+    monkeypatch.setattr(phrases, "word_keys", lambda lang, words, seed: plain(lang, words, seed) % (7 if seed == 0 else 1 << 62))
+    docs = spark.createDataFrame([(" ".join(f"w{i} v{i}" for i in range(30)) + " ",)] * 10, "text string").withColumn("lang", F.lit("en"))
+    assert phrases.keyed_counts(docs.withColumn("doc", F.monotonically_increasing_id()))[1] == 1
+
+
+def test_scores_are_exact_beyond_64_bits(spark):
+    a, le, r = 9_000_000_000_001, 9_000_000_000_123, 9_000_000_000_007
+    level = spark.createDataFrame([(a, [le], [r])], "a long, lefts array<long>, rights array<long>")
+    assert level.select(phrases.weakest_cut(2).alias("c")).first().c.score == 1000000 * a * a // (le * r)

@@ -6,8 +6,10 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -123,6 +125,15 @@ REAL = [
 ]
 
 
+def test_a_licence_file_of_a_megabyte(spark):
+    words = " ".join(f"word{i % 20011} licence" for i in range(60_000))
+    files = spark.createDataFrame([("big/LICENSE", words), ("small/LICENSE", MIT_FILE), ("small/x.py", "pass")], "path string, text string")
+    began = time.time()
+    found = {r.path: r._licence.name for r in licences.licensed_files(files).select("path", "_licence").collect()}
+    assert len(words) > 900_000 and found == {"big/LICENSE": None, "small/LICENSE": "MIT", "small/x.py": "MIT"}
+    assert time.time() - began < 60
+
+
 def test_real_licence_texts(spark):
     df = spark.createDataFrame([(p, t) for p, t, _ in REAL], "path string, text string")
     out = {r.path: r._licence for r in licences.licensed_files(df).collect()}
@@ -242,6 +253,21 @@ def test_warc_round_trip(spark, least, split, archive):
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in out) == wanted
 
 
+def test_archive_paths_keep_their_scheme(spark, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    folder = f"file://{tmp_path}/with space %20"
+    df = spark.createDataFrame([(1, "u", "x"), (2, None, None)], "page_id long, url string, html string")
+    manifest = warc.write_archives(df, folder)
+    assert all(r.path.startswith(folder + "/") for r in manifest.collect())
+    assert {r.page_id for r in warc.read_archives(spark, manifest).collect()} == {1, 2}
+    asked = []
+    monkeypatch.setattr(fs, "FileSystem", SimpleNamespace(from_uri=asked.append))
+    for uri in ("s3a://bucket/a", "s3n://bucket/a", "s3://bucket/a", "gs://bucket/a", "hdfs://host:1/a"):
+        warc.file_system(uri)
+    assert asked == ["s3://bucket/a"] * 3 + ["gs://bucket/a", "hdfs://host:1/a"]
+
+
 def test_warc_of_nothing(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(spark, warc.write_archives(df, fresh_path(spark, "warc"))).count() == 0

@@ -107,6 +107,13 @@ def test_quality_verdicts(spark, texts):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in out if r.kept)
 
 
+def test_host_rates_of_large_counts(spark):
+    hosts = spark.createDataFrame([("a", 4 * 10**9, 4 * 10**9), ("b", 9 * 10**18, 10**18), ("c", 10, 0)], "host string, n long, failures long")
+    rates = {r.host: r.rate for r in quality.shrunken(hosts.limit(3).where("n < 9e17")).collect()}
+    assert rates["a"] > 0.99 and rates["c"] < 0.9
+    assert abs({r.host: r.rate for r in quality.shrunken(hosts).collect()}["b"] - 1 / 9) < 1e-3
+
+
 def test_small_hosts_follow_the_overall_rate(spark):
     rows = [(f"h{h}", h % 10 == 0 and i == 0) for h in range(100) for i in range(5)] + [("tiny", True)]
     rates = {r.host: r.rate for r in quality.host_rates(spark.createDataFrame(rows, "host string, failed boolean")).collect()}
@@ -446,6 +453,18 @@ def test_chunked_ids_equal_whole_ids(texts):
     assert [np.frombuffer(raw, "<u4").tolist() for raw in packing.WordTokenizer(vocabulary()).ids(cases)] == wanted
 
 
+def test_ids_of_random_strings_equal_whole_ids():
+    from tokenizers import Tokenizer
+
+    whole, pick = Tokenizer.from_file(vocabulary()), random.Random(12)
+    parts = [*"abzAZÀéßİıŞşĞğŁøŒœŸÿªº·ſŉǅǆΑΣςσωέЖж中文字かな한글अआ", *".,.,.,'’!?-\"0189½²٣", *"\u0301\u0307\u0308\u0327\u0345\u00ad\u200b\u200d\ufeff\u0130", *"  \t\n\x0b\x1c\x85\u00a0\u2003", "<|endoftext|>", "<|startoftext|>", "the", "İ.", "it's", "ﬁ", "👩", "🏽", "Yılmaz", "ÇOK."]
+    cases = ["".join(pick.choice(parts) for _ in range(pick.randrange(1, 14))) for _ in range(100_000)]
+    wanted = [e.ids for e in whole.encode_batch(cases, add_special_tokens=False)]
+    found = packing.WordTokenizer(vocabulary()).ids(cases)
+    wrong = [c for c, w, f in zip(cases, wanted, found, strict=True) if np.frombuffer(f, "<u4").tolist() != w]
+    assert not wrong, wrong[:5]
+
+
 def test_ids_with_a_small_memo_and_cut_texts(texts, monkeypatch):
     whole = list(packing.WordTokenizer(vocabulary()).ids([t for _, t, _ in texts]))
     monkeypatch.setattr(packing, "MEMO_BYTES", 5000)
