@@ -9,8 +9,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +19,10 @@ from cohort_spark.llm.common import CLEANUP, at_most, discard, fresh_path, saved
 LONGEST, LEAST, TOP, COVERED = 3, 10, 2000, 50
 #: Occurrences of a bucket, about, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 2_000_000, 50_000
-#: Frequent groups up to which they are broadcast to their occurrences: three numbers, or a word and two, each.
+#: Frequent groups up to which they are broadcast to their occurrences: three numbers each.
 BROADCAST_GROUPS = 1_000_000
 #: Counted words and emitted rows of a task at once; groups into which a language's candidates are dealt.
-WORDS_AT_ONCE, ROWS_AT_ONCE, RANK_GROUPS = 500_000, 200_000, 64
+WORDS_AT_ONCE, ROWS_AT_ONCE, RANK_GROUPS = 500_000, 200_000, 16
 #: A-Z small; ends of pieces a full stop; tabs spaces.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 PIECE_BYTES = bytes(b + 32 if 65 <= b <= 90 else 46 if b in PIECE_ENDS else 32 if b == 9 else b for b in range(256))
@@ -36,8 +36,14 @@ def marked_words(text: bytes | None) -> Iterator[list[bytes]]:
     return word_slices(text.translate(PIECE_BYTES).replace(b".", b" . ")) if text else iter(())
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(lang, word, n): occurrences of each word of (doc, lang, text), counted in tasks first."""
+def word_keys(lang: str, words: list[bytes], seed: int) -> np.ndarray:
+    """A 64-bit number of each word of a language."""
+    named = [lang.encode() + b" " + w for w in words]
+    return pd.util.hash_array(np.array(named, object), hash_key=f"phrase words {seed:03d}", categorize=False).view(np.int64)
+
+
+def word_counts(rows: DataFrame, seed: int) -> DataFrame:
+    """(lang, word, key, n): occurrences of each word of (doc, lang, text), counted in tasks first."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
@@ -45,7 +51,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
         def flushed() -> Iterator[pa.RecordBatch]:
             for lang, words in found.items():
                 words.pop(b".", None)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
+                keys = pa.array(word_keys(lang, list(words), seed))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.binary()), keys, pa.array(list(words.values()), pa.int64())], ["lang", "word", "key", "n"])
             found.clear()
 
         for batch in batches:
@@ -56,42 +63,55 @@ def word_counts(rows: DataFrame) -> DataFrame:
                         yield from flushed()
         yield from flushed()
 
-    each = rows.select("lang", "text").mapInArrow(counted, "lang string, word binary, n long")
-    return each.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    each = rows.select("lang", "text").mapInArrow(counted, "lang string, word binary, key long, n long")
+    return each.groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
+
+
+def keyed_counts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(counts, seed): ``word_counts``, written, with the first seed that gives no two words one key."""
+    seed = 0
+    while True:
+        counted = saved(word_counts(rows, seed), "word-counts")
+        if counted.groupBy("key").agg(F.count(F.lit(1)).alias("words")).where("words > 1").isEmpty():
+            return counted, seed
+        discard(counted)
+        seed += 1
 
 
-def word_occurrences(rows: DataFrame) -> DataFrame:
-    """(doc, lang, at, word): each word at its place in its text; between pieces a place stays free."""
-    names = ["doc", "lang", "at", "word"]
+def word_occurrences(rows: DataFrame, seed: int) -> DataFrame:
+    """(doc, at, key): each word's key at its place in its text; between pieces a place stays free."""
 
     def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        words: list[bytes] = []
-
-        def flushed() -> pa.RecordBatch:
-            flat = pa.array(words, pa.binary())
-            docs, langs, firsts, sizes = zip(*held, strict=True)
-            kept = np.flatnonzero(pc.not_equal(flat, b".").to_numpy(zero_copy_only=False))
-            which = np.repeat(np.arange(len(held)), sizes)[kept]
-            at = np.arange(len(words)) + np.repeat(np.array(firsts) - np.cumsum(sizes) + np.array(sizes), sizes)
-            columns = [pa.array(docs, pa.int64()).take(pa.array(which)), pa.array(langs, pa.string()).take(pa.array(which)), pa.array(at[kept], pa.int32()), flat.take(pa.array(kept))]
+        held: dict[str, tuple[list, list, list, list]] = {}  # of each language: texts, their first places, their words, all words
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for lang, (docs, firsts, sizes, words) in held.items():
+                coded = pa.array(words, pa.binary()).dictionary_encode()
+                codes = coded.indices.to_numpy()
+                distinct = coded.dictionary.to_pylist()
+                kept = np.flatnonzero(codes != distinct.index(b".")) if b"." in distinct else np.arange(len(codes))
+                at = np.arange(len(codes)) + np.repeat(np.array(firsts) - np.cumsum(sizes) + np.array(sizes), sizes)
+                columns = [np.repeat(docs, sizes)[kept], at[kept].astype(np.int32), word_keys(lang, distinct, seed)[codes[kept]]]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["doc", "at", "key"])
             held.clear()
-            words.clear()
-            return pa.RecordBatch.from_arrays(columns, names)
 
+        size = 0
         for batch in batches:
             for doc, lang, text in zip(batch.column("doc").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 first = 0
                 for part in marked_words(text):
-                    held.append((doc, lang, first, len(part)))
-                    words += part
-                    first += len(part)
-                    if len(words) > ROWS_AT_ONCE:
-                        yield flushed()
-        if held:
-            yield flushed()
+                    if part:
+                        own = held.setdefault(lang, ([], [], [], []))
+                        for values, value in zip(own, (doc, first, len(part)), strict=False):
+                            values.append(value)
+                        own[3].extend(part)
+                        first, size = first + len(part), size + len(part)
+                    if size > ROWS_AT_ONCE:
+                        yield from flushed()
+                        size = 0
+        yield from flushed()
 
-    return rows.mapInArrow(occurring, "doc long, lang string, at int, word binary")
+    return rows.mapInArrow(occurring, "doc long, at int, key long")
 
 
 @contextmanager
@@ -156,15 +176,15 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     spark = docs.sparkSession
     text_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("doc"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    counted = saved(word_counts(rows), "word-counts")
+    counted, seed = keyed_counts(rows)
     totals = saved(counted.groupBy("lang").agg(F.sum("n").alias("words")), "totals")
     number, none = F.monotonically_increasing_id().alias("code"), F.array().cast("array<long>")
-    frequent = counted.where(F.col("n") >= least).select(number, "lang", "word", F.col("n").alias("a"))
+    frequent = counted.where(F.col("n") >= least).select(number, "lang", "word", "key", F.col("n").alias("a"))
     words = saved(frequent, "frequent-words")
     levels = [words.select("code", "lang", F.array(F.col("word").cast("string")).alias("phrase"), "a", none.alias("lefts"), none.alias("rights"))]
     buckets = min(MOST_BUCKETS, 1 + (words.agg(F.sum("a")).first()[0] or 0) // BUCKET_ROWS)
     spread = rows.where("text is not null").repartition(buckets, "doc")
-    relation = kept_occurrences(word_occurrences(spread), words.select("lang", "word", "code"), ["lang", "word"], buckets)
+    relation = kept_occurrences(word_occurrences(spread, seed), words.select("key", "code"), ["key"], buckets)
     discard(counted)
     for k in range(2, longest + 1):
         with joined_in_buckets(spark):
