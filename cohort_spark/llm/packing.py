@@ -5,7 +5,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -21,7 +23,7 @@ END_ID = 1
 #: Pieces of a length that one task ranks, about.
 RANK_ROWS = 1_000
 #: Bytes, about, of the chunks that a Python worker holds with their ids; it then goes back to half, the first it met.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 128 << 20
 #: Characters that are cut and looked up at once; ids of one batch that leave a task.
 CHARS, ID_BYTES = 1 << 20, 4 << 20
 #: Characters other than white space that every reader takes for such, ASCII, and Latin letters and signs.
@@ -39,6 +41,14 @@ def text_slices(text: str, most: int = CHARS) -> Iterator[str]:
         at = end
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit bytes."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordTokenizer:
     """Ids of whole texts as little-endian 32-bit bytes, one white-space chunk at a time.
 
@@ -65,12 +75,12 @@ class WordTokenizer:
         """Hold the ids of chunks that are not held."""
         ended = {w for w in chunks if len(w) > 1 and w[-1] in ".," and w[-2] < "\u0250" and w[-2].lower()[-1].isalpha()}
         fresh = [w for w in (chunks - ended) | {w[:-1] for w in ended} if w not in self.held]
-        words = [w for w in fresh if w.isalpha() and w.islower() and max(w) < "\u0250"]
+        words = [w for w in fresh if w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0250")]
         for own, tokenizer in ((words, self.bare), (list(set(fresh).difference(words)), self.tokenizer)):
             for i in range(0, len(own), 4096):
                 part = own[i : i + 4096]
                 for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.held[w] = np.array(e.ids, "<u4").tobytes()
+                    self.held[w] = packed_ids(e.ids)
                     self.size += 200 + 2 * len(w)
         for w in ended:
             self.held[w] = self.held[w[:-1]] + self.held[w[-1]]
