@@ -42,16 +42,17 @@ def mutation_records(docs: DataFrame, json: str, keep: Sequence[str] = ()) -> Da
     and distinct. Documents that cannot be read, and those with neither gene nor
     id, go. JSON nulls are missing values.
     """
-    walk = docs.select(*keep, document(json).alias("_root"), walked(json).alias("_nodes"))
-    genes = F.array_sort(F.array_distinct(F.transform(texts_in(values_of("_nodes", GENE_NAMES)), F.upper)))
-    read = walk.select(
-        *keep,
-        field(F.col("_root"), *ID_NAMES).alias("ssm_id"),
-        field(F.col("_root"), *TYPE_NAMES).alias("mutation_type"),
-        genes.alias("gene_symbols"),
-        texts_in(values_of("_nodes", CONSEQUENCE_NAMES)).alias("consequence_terms"),
-        case_links(F.col("_root"), F.col("_nodes")).alias("links"),
+    # exploded, so that Spark computes the walk and the record once a document
+    walk = docs.select(*keep, F.explode(F.array(F.struct(document(json).alias("root"), walked(json).alias("nodes")))).alias("_w"))
+    root, nodes = F.col("_w.root"), F.col("_w.nodes")
+    record = F.struct(
+        field(root, *ID_NAMES).alias("ssm_id"),
+        field(root, *TYPE_NAMES).alias("mutation_type"),
+        F.array_sort(F.array_distinct(F.transform(texts_in(values_of(nodes, GENE_NAMES)), F.upper))).alias("gene_symbols"),
+        texts_in(values_of(nodes, CONSEQUENCE_NAMES)).alias("consequence_terms"),
+        case_links(root, nodes).alias("links"),
     )
+    read = walk.select(*keep, F.explode(F.array(record)).alias("_r")).select(*keep, "_r.*")
     return read.where((F.size("gene_symbols") > 0) | (F.col("ssm_id") != ""))
 
 

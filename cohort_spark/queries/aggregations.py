@@ -95,7 +95,7 @@ def a4_series_verdict(t):
     return verdicts(t).select("series_dir", "total_files", "readable", "rejected", "usable", "modalities", "reject_reason", "reject_details")
 
 
-@Q(_VERDICTS + """ SELECT v.series_dir, coalesce(first[1], 'accepted') AS verdict, first[2] AS reject_details, CAST(count(file) AS INTEGER) AS images, min(file) AS first_file, coalesce(string_agg(reason, ',' ORDER BY file), '') AS image_reasons
+@Q(_VERDICTS + """ SELECT v.series_dir, coalesce(first[1], 'accepted') AS verdict, first[2] AS reject_details, CAST(count(file) AS INTEGER) AS images, coalesce(min(file), -1) AS first_file, coalesce(string_agg(reason, ',' ORDER BY file), '') AS image_reasons
       FROM v LEFT JOIN r USING (series_dir) GROUP BY ALL""")
 def io10_series_details(t):
     """One nested object a series, written by verdict and read back."""
@@ -105,7 +105,7 @@ def io10_series_details(t):
     S.write_details(details, path := scratch(images, "details"), ["verdict"])
     back = S.read_details(images.sparkSession, path, details.schema)
     reasons = F.array_join(F.col("images.reason"), ",")
-    return back.select("series_dir", "verdict", "reject_details", F.size("images").alias("images"), F.try_element_at("images.file", F.lit(1)).alias("first_file"), reasons.alias("image_reasons"))
+    return back.select("series_dir", "verdict", "reject_details", F.size("images").alias("images"), F.coalesce(F.try_element_at("images.file", F.lit(1)), F.lit(-1)).alias("first_file"), reasons.alias("image_reasons"))
 
 
 @Q("""SELECT regexp_extract(url, '://([^/?#]*)', 1) AS archive, count(DISTINCT split_part(url, '/', 4)) AS directories,
