@@ -71,17 +71,16 @@ def mixed_documents(
     Null or empty texts have size 0 but are drawn at their source's rate. A row
     with a null id is known by its text instead, so such rows spread out, too;
     rows that share an id, or have none and share a text, share their count.
+    Repetition has no bound of its own: a source with little text and a large
+    weight is repeated as often as its target asks for.
     """
     own = Own(docs)
     source, text = own[source_col], own[text_col]
     rates, everything = source_rates(own.frame, weights, default, source, F.length(F.coalesce(text, F.lit(""))), epochs)
     rates = checked_broadcast(rates.toDF("_source", "_rate", "_draws", "_table"), 10_000)
     key = F.coalesce(F.col(own[id_col]).cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce(text, F.lit("")), 256)))
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("_draws")),
-        F.lit(0),
-        lambda n, i: n + F.size(F.filter("_table", lambda c: c <= uniform(F.concat_ws(":", F.lit(str(seed)), key, i.cast("string"))))),
-    )
+    numbers = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda i: uniform(F.concat_ws(":", F.lit(str(seed)), key, i.cast("string"))))
+    drawn = F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter("_table", lambda c: c <= u)))
     rows = own.frame.join(rates, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_count", F.when(F.col("_rate") > 0, drawn).otherwise(0))
     copies = rows.where("_count > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
     shuffled = copies.withColumn("_shuffle", F.md5(F.concat_ws(":", F.lit(f"{seed}s"), key, F.col("_copy").cast("string"))))
