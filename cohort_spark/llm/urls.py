@@ -90,6 +90,17 @@ def matches(rows: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     return met.where(F.size(F.array_except("need", "own")) == 0).select(key, "rule_id")
 
 
+def token_groups(rows: DataFrame) -> DataFrame:
+    """(token, group) of ``rows`` (row, tokens): tokens of exactly the same rows are a group, named by its smallest token.
+
+    The rows of a token are told by their number and 128 bits of hashes.
+    """
+    seen = rows.select("row", F.explode("tokens").alias("token")).groupBy("token")
+    seen = seen.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y"))
+    named = seen.groupBy("n", "x", "y").agg(F.min("token").alias("group"))
+    return saved(seen.join(named, ["n", "x", "y"]).select("token", "group"), "token-groups")
+
+
 def judged_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", bad: str = "quality = 0 or toxic = 1", rules=RULES) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict.
 
@@ -97,15 +108,25 @@ def judged_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", ur
     if one of them is, and a label whose test is null counts as not bad. A url
     without a rule is blocked if a mined combination matches. Null urls and urls
     without ``://`` have empty host and path and no tokens: allowed.
+
+    Tokens that occur in exactly the same labelled urls are one token to the
+    miner, since n of them would make 2**n combinations of equal counts; a url
+    matches where it has any one of them. The verdicts are those of all
+    combinations.
     """
     parsed = pages.select(F.col(id_col).alias("_id"), host_of(url_col).alias("host"), path_of(url_col).alias("path"))
     parsed = parsed.withColumn("_rule", rule_of("host", "path", rules))
     known = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.max(F.coalesce(F.expr(bad), F.lit(False))).alias("bad"))
-    labelled = saved(parsed.select("_id", tokens_of("host", "path").alias("tokens")).join(known, "_id").select("tokens", "bad"), "labelled-urls")
-    mined = mined_rules(labelled)
+    labelled = parsed.select("_id", tokens_of("host", "path").alias("tokens")).join(known, "_id")
+    labelled = saved(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"), "labelled-urls")
+    groups = token_groups(labelled)
+    each = labelled.select("row", "bad", F.explode_outer("tokens").alias("token")).join(groups, "token", "left")
+    mined = mined_rules(saved(each.groupBy("row", "bad").agg(F.collect_set("group").alias("tokens")), "grouped-urls"))
+    used = saved(groups.join(mined.select(F.explode("tokens").alias("group")).distinct(), "group", "left_semi"), "mined-tokens")
     # each distinct (host, path) without a rule is matched once
     open_ = parsed.where("_rule is null").select("host", "path").distinct()
-    keyed = open_.select(F.struct("host", "path").alias("key"), tokens_of("host", "path").alias("tokens"))
+    met = open_.select("host", "path", F.explode(tokens_of("host", "path")).alias("token")).join(checked_broadcast(used), "token")
+    keyed = met.groupBy("host", "path").agg(F.collect_set("group").alias("tokens")).select(F.struct("host", "path").alias("key"), "tokens")
     blocked = matches(keyed, mined, "key").select(F.col("key.host").alias("_host"), F.col("key.path").alias("_path")).distinct().withColumn("_blocked", F.lit(True))
     out = parsed.join(checked_broadcast(saved(blocked, "blocked")), (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
     verdict = F.coalesce("_rule.verdict", F.when(F.col("_blocked"), "block"), F.lit("allow"))
@@ -117,7 +138,7 @@ def op8_url_rules(spark, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = f"""
-WITH parsed AS (
+WITH RECURSIVE parsed AS (
   SELECT page_id,
          translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
@@ -136,15 +157,17 @@ tok AS (
 lab AS (SELECT doc_id AS page_id, bool_or(coalesce(quality = 0 OR toxic = 1, false)) AS bad FROM labels GROUP BY doc_id),
 known AS (SELECT page_id, bad FROM lab WHERE page_id IN (SELECT page_id FROM r)),
 n AS (SELECT greatest({LEAST_URLS}, CAST(ceil(count(*) * {SUPPORT}) AS BIGINT)) AS most FROM known),
+often AS (
+  SELECT page_id, t FROM tok JOIN known USING (page_id)
+  WHERE t IN (SELECT t FROM tok JOIN known USING (page_id), n GROUP BY t, most HAVING count(*) >= most)),
 combos AS (
-  SELECT page_id, [t] AS c FROM tok
-  UNION ALL SELECT a.page_id, [a.t, b.t] FROM tok a JOIN tok b ON a.page_id = b.page_id AND a.t < b.t
-  UNION ALL SELECT a.page_id, [a.t, b.t, c.t] FROM tok a JOIN tok b ON a.page_id = b.page_id AND a.t < b.t
-                                              JOIN tok c ON a.page_id = c.page_id AND b.t < c.t),
+  SELECT page_id, [t] AS c, t AS latest FROM often
+  UNION ALL SELECT page_id, list_append(c, t), t FROM combos JOIN often USING (page_id) WHERE t > latest),
 mined AS (
   SELECT c FROM combos JOIN known USING (page_id), n GROUP BY c, most
   HAVING count(*) >= most AND count(*) FILTER (bad) / count(*) >= {CONFIDENCE}),
-hit AS (SELECT DISTINCT page_id FROM combos WHERE c IN (SELECT c FROM mined))
+lists AS (SELECT page_id, list(t) AS own FROM tok GROUP BY page_id),
+hit AS (SELECT DISTINCT page_id FROM lists JOIN mined ON list_has_all(own, c))
 SELECT page_id, host, path, rule,
        coalesce(v, CASE WHEN page_id IN (SELECT page_id FROM hit) THEN 'block' ELSE 'allow' END) AS verdict
 FROM r

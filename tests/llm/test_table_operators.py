@@ -346,6 +346,37 @@ def test_mined_rules_of_any_length(spark):
     assert found == wanted == {tuple(every)}  # every shorter combination is rather in good urls
 
 
+def test_long_paths_shared_by_bad_urls(spark):
+    deep = "/".join(f"s{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(i, f"http://deep.org/{deep}/{'abcdefgh'[i]}x") for i in range(8)] + [(10 + i, f"http://deep.org/{'abcdefgh'[i]}y") for i in range(8)]
+    rows += [(30, "http://other.org/sca"), (31, "http://deep.org/none"), (32, "http://deep.org/saa"), (33, "http://other.org/" + "q" * 1_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    lab = spark.createDataFrame([(i, 0 if i < 10 else 1, 0) for i, _ in rows if i < 30], "doc_id long, quality int, toxic int")
+    assert {r.page_id for r in urls.judged_urls(df, lab).where("verdict = 'block'").collect()} == {*range(8), 30, 32}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mined_verdicts_equal_all_combinations(spark, seed):
+    from itertools import combinations
+
+    rng = random.Random(seed)
+    paths = [[t for t in "abcdef" if rng.random() < 0.45] for _ in range(400)]
+    paths = [p + ["twin", "tear"] * ("b" in p) + ["solo"] * (rng.random() < 0.1) for p in paths]
+    paths += [[t for t in ("twin", "tear", "b", "a", "c", "solo") if rng.random() < 0.4] for _ in range(60)]
+    bad = {i: rng.random() < (0.8 if {"a", "b"} <= set(p) else 0.35) for i, p in enumerate(paths) if i < 400}
+    df = spark.createDataFrame([(i, "http://h.org/" + "/".join(p)) for i, p in enumerate(paths)], "page_id long, url string")
+    lab = spark.createDataFrame([(i, int(not b), 0) for i, b in bad.items()], "doc_id long, quality int, toxic int")
+    sets = [frozenset(p) | {"host"} for p in paths]
+    rules = []
+    for c in (set(c) for k in range(1, 11) for c in combinations(sorted(set().union(*sets)), k)):
+        hit = [b for i, b in bad.items() if c <= sets[i]]
+        if len(hit) >= urls.LEAST_URLS and sum(hit) / len(hit) >= urls.CONFIDENCE:
+            rules.append(c)
+    wanted = {i for i, s in enumerate(sets) if any(c <= s for c in rules)}
+    found = {r.page_id for r in urls.judged_urls(df, lab).where("verdict = 'block'").collect()}
+    assert found == wanted and 0 < len(wanted) < len(paths)
+
+
 # -- pipeline and queries ------------------------------------------------------
 
 
