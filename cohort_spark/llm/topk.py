@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from cohort_spark.llm.common import discard, saved
 
-PIVOTS = 16
+#: Pivots of a table, at least and at most; between them cells of about ``BLOCK`` vectors.
+PIVOTS, MOST_PIVOTS = 16, 1024
 RINGS = 8
 #: Vectors of a candidate block and queries of a query block, about.
 BLOCK, QUERIES = 2048, 512
@@ -75,18 +76,22 @@ class Space:
         return np.sqrt(np.maximum(0.0, square))
 
 
-def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, pivots: int = PIVOTS, rings: int = RINGS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, pivots: int | None = None, rings: int = RINGS) -> DataFrame:
     """(query_id, rank, id, score): each query's ``k`` largest inner products with all other ids, exact.
 
     ``vectors`` is (id, vec) from ``integer_vectors``; ``is_query`` picks queries
     among its rows. Ties go to smaller ids; with fewer candidates all come back.
 
-    Index: a bounded sample gives the pivots. Every vector is keyed by its
+    Index: a bounded sample gives the pivots, as many as the number of vectors
+    asks for up to ``MOST_PIVOTS``, unless told. Every vector is keyed by its
     nearest pivot and a ring of its distance to it; these cells, at most pivots x
     (rings + 1), are the directory. Cells are cut into blocks of about ``BLOCK``
     rows. Search: query blocks go through the cells in order of the triangle
     inequality's bound, a few at first, more each round, until no cell left can
     beat a query's k-th best score. Rounds end at written tables.
+
+    Rows that share an id and differ in their vectors are candidates of their
+    own; as queries their answers are ranked together, under the one id.
     """
     spark = vectors.sparkSession
     own = saved(vectors.withColumn("query", is_query), "vectors")
@@ -95,11 +100,12 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, pivots: int = PIV
     def square(vecs: pd.Series) -> pd.Series:
         return pd.Series([float((np.frombuffer(v, "<i8").astype(np.float64) ** 2).sum()) for v in vecs], dtype="float64")
 
-    size = own.agg(F.max(square("vec")).alias("most"), F.max(F.octet_length("vec")).alias("bytes"), F.count_if("query").alias("queries")).first()
+    size = own.agg(F.max(square("vec")).alias("most"), F.max(F.octet_length("vec")).alias("bytes"), F.count(F.lit(1)).alias("rows"), F.count_if("query").alias("queries")).first()
     schema = "query_id long, rank int, id long, score long"
     if not size.queries:
         return spark.createDataFrame([], schema)
     width = (size.bytes or 0) // 8
+    pivots = pivots or min(max(PIVOTS, size.rows // (BLOCK * RINGS)), MOST_PIVOTS)
     chosen = own.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").collect()
     space = Space(matrix([bytes(r.vec) for r in chosen], width), size.most or 0.0, width)
 
@@ -115,11 +121,12 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, pivots: int = PIV
     cell = (F.col("pivot") * (rings + 1) + F.floor(F.col("distance") / F.lit(max(far, 1e-9) / rings))).cast("int")
     keyed = placed.withColumn("cell", cell)
     counted = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high"))
-    cells = [(r.cell, r.n, r.low, r.high) for r in counted.collect()]
-    names = np.array([c[0] for c in cells])
-    low, high = np.array([c[2] for c in cells]), np.array([c[3] for c in cells])
-    parts = F.element_at(F.create_map(*[F.lit(int(x)) for c in cells for x in (c[0], -(-c[1] // BLOCK))]), F.col("cell"))
-    blocks = keyed.withColumn("part", F.pmod(F.xxhash64("id"), parts)).groupBy("cell", "part").agg(F.collect_list(F.struct("id", "vec")).alias("rows"))
+    counted = saved(counted.withColumn("parts", F.ceil(F.col("n") / BLOCK)), "cells")
+    cells = counted.collect()
+    names = np.array([c.cell for c in cells])
+    low, high = np.array([c.low for c in cells]), np.array([c.high for c in cells])
+    parted = keyed.join(F.broadcast(counted.select("cell", "parts")), "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    blocks = parted.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "vec")).alias("rows"))
     blocks = saved(blocks.select("cell", F.col("rows.id").alias("ids"), F.col("rows.vec").alias("vecs")), "blocks")
     per_pivot = placed.where("query").groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
     asked = placed.where("query").join(F.broadcast(per_pivot), "pivot")
@@ -129,7 +136,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, pivots: int = PIV
         def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 out = []
-                for block, ids, vecs, kth, seen in zip(f["block"], f["ids"], f["vecs"], f["kth"], f["seen"], strict=True):
+                for block, vecs, kth, seen in zip(f["block"], f["vecs"], f["kth"], f["seen"], strict=True):
                     q = matrix(vecs, width)
                     d = space.distances(q, True)[:, names // (rings + 1)]
                     gap = np.maximum(0.0, np.maximum(d - high, low - d))
@@ -141,8 +148,8 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, pivots: int = PIV
                     best[np.isin(names, np.asarray([] if seen is None else seen, np.int64))] = -np.inf
                     order = np.argsort(-best, kind="stable")
                     order = order[best[order] > -np.inf][:visit]
-                    out += [(block, int(names[c]), list(ids), list(vecs), [None if x is None or x != x else int(x) for x in kth]) for c in order]
-                yield pd.DataFrame(out, columns=["block", "cell", "ids", "vecs", "kth"])
+                    out += [(block, int(names[c])) for c in order]
+                yield pd.DataFrame(out, columns=["block", "cell"])
 
         return choose
 
@@ -172,17 +179,17 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, pivots: int = PIV
             state = asked.withColumn("kth", F.lit(None).cast("long"))
         # a null k-th score must keep its place in the list
         group = state.groupBy("block").agg(F.collect_list(F.struct("query_id", "vec", "kth")).alias("rows"))
-        group = group.select("block", F.col("rows.query_id").alias("ids"), F.col("rows.vec").alias("vecs"), F.col("rows.kth").alias("kth"))
+        group = saved(group.select("block", F.col("rows.query_id").alias("ids"), F.col("rows.vec").alias("vecs"), F.col("rows.kth").alias("kth")), "asking")
         seen = visited.groupBy("block").agg(F.collect_set("cell").alias("seen")) if visited is not None else spark.createDataFrame([], "block string, seen array<int>")
-        wanted = saved(group.join(seen, "block", "left").mapInPandas(wanted_by(visit), "block string, cell int, ids array<long>, vecs array<binary>, kth array<long>"), "wanted")
+        wanted = saved(group.join(seen, "block", "left").select("block", "vecs", "kth", "seen").mapInPandas(wanted_by(visit), "block string, cell int"), "wanted")
         if wanted.isEmpty():
             break
-        found = wanted.join(blocks.select("cell", F.col("ids").alias("cand"), F.col("vecs").alias("cand_vecs")), "cell")
+        found = wanted.join(group, "block").join(blocks.select("cell", F.col("ids").alias("cand"), F.col("vecs").alias("cand_vecs")), "cell")
         found = found.mapInPandas(score, "query_id long, id long, score long")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
         every = found if hits is None else hits.drop("rank").union(found)
         before, hits = hits, saved(every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank"), "hits")
-        discard(before)
+        discard(before, group)
         now = wanted.select("block", "cell")
         visited = now if visited is None else visited.union(now)
         visit = visit * MORE
