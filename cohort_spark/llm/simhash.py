@@ -15,6 +15,7 @@ loses no pair, gives all others.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -317,11 +318,24 @@ def shingle_hashes(column, words: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield first + i, rolled(ids[0][a:b], b - a) if b > a else np.zeros(1, np.uint64)
 
 
+def dealt(counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """A block of counts as (a byte for each, or nothing; places; what is to be added there).
+
+    A block with few counts is their places alone; in a fuller one a count over
+    255 leaves its excess to a place.
+    """
+    full = 6 * np.count_nonzero(counts) > len(counts)
+    low = np.minimum(counts, 255) if full else np.zeros_like(counts)
+    at = np.flatnonzero(counts > low)
+    return low.astype(np.uint8).tobytes() if full else b"", at.astype(np.uint16).tobytes(), (counts - low)[at].astype(np.uint32).tobytes()
+
+
 def shingle_counts(texts: DataFrame, words: int, size: int) -> np.ndarray:
     """How many of ``texts`` (one column) have a shingle in each of ``size`` hash buckets.
 
-    Every task counts its own texts and deals its counts in blocks; the blocks
-    are added up as they arrive, so a task holds its own counts only.
+    Every task counts its own texts and deals its counts in blocks, of which
+    empty ones stay out; the blocks are added up as they arrive, so a task holds
+    its own counts only.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,23 +344,26 @@ def shingle_counts(texts: DataFrame, words: int, size: int) -> np.ndarray:
             for _, h in shingle_hashes(batch.column(0), words):
                 np.add.at(own, (h % np.uint64(size)).astype(np.int64), np.uint32(1))
         if own.any():
-            blocks = own.astype(np.uint16 if own.max() < 1 << 16 else np.uint32).reshape(-1, COUNTS_AT_ONCE)
+            blocks = own.reshape(-1, COUNTS_AT_ONCE)
             for i in range(0, len(blocks), 256):
-                part = pa.array([x.tobytes() for x in blocks[i : i + 256]])
-                yield pa.RecordBatch.from_arrays([pa.array(range(i, i + len(part))), part], ["block", "counts"])
+                parts = [(j, *dealt(blocks[j])) for j in range(i, min(i + 256, len(blocks))) if blocks[j].any()]
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*parts, strict=True)], ["block", "low", "at", "more"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counts in zip(*batch.to_pydict().values(), strict=True):
-                kind = np.uint16 if len(counts) == 2 * COUNTS_AT_ONCE else np.uint32
-                sums[block] = sums.get(block, 0) + np.frombuffer(counts, kind).astype(np.int64)
+            for block, low, at, more in zip(*batch.to_pydict().values(), strict=True):
+                total = sums.setdefault(block, np.zeros(COUNTS_AT_ONCE, np.int64))
+                if low:
+                    total += np.frombuffer(low, np.uint8)
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(more, np.uint32)
         for block, total in sums.items():
             part = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part])], ["block", "counts"])
 
-    kinds = "block long, counts binary"
-    found = saved(texts.mapInArrow(count, kinds).repartition("block").mapInArrow(add, kinds), "counts")
+    dealt_counts = texts.mapInArrow(count, "block long, low binary, at binary, more binary")
+    found = saved(dealt_counts.repartition("block").mapInArrow(add, "block long, counts binary"), "counts")
     out = np.zeros((size // COUNTS_AT_ONCE, COUNTS_AT_ONCE), np.uint32)
     for block, counts in zip(*found.toArrow().to_pydict().values(), strict=True):
         out[block] = np.frombuffer(counts, np.uint32)
@@ -407,12 +424,12 @@ def share_enough(similarity: float) -> F.Column:
     return F.col("k") + behind >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = 6, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: one of each text, and of a group of near-duplicates the smallest id.
 
     A pair links if the Jaccard similarity of the texts' sets of ``words``-word
-    shingles (A-Z lower-cased) is at least ``similarity``, and, unless ``radius``
-    is None, their SimHash fingerprints differ in at most so many bits. Groups
+    shingles (A-Z lower-cased) is at least ``similarity``, and, if ``radius`` is
+    given, their SimHash fingerprints differ in at most so many bits. Groups
     are the components of all such links. First each text is judged with its
     nearest and its smallest neighbour by SimHash, which joins most of a dense
     group. Then texts meet in the buckets of their ``prefixes``, where
@@ -465,8 +482,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def judge(pairs: DataFrame) -> int:
         """How many new pairs (x, y) link; they and their links are kept."""
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        for before in judged:
-            pairs = pairs.join(before, ["x", "y"], "left_anti")
+        if judged:
+            pairs = pairs.join(functools.reduce(DataFrame.union, judged), ["x", "y"], "left_anti")
         judged.append(pairs := saved(pairs, "pairs"))
         if pairs.isEmpty():
             return 0
@@ -487,10 +504,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return links[-1].count()
 
     def groups() -> DataFrame:
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        return components(every)
+        return components(functools.reduce(DataFrame.union, links))
 
     leads = texts.groupBy("fp").agg(F.min("node").alias("lead"))
     twins = texts.join(leads, "fp").where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
