@@ -193,11 +193,15 @@ def brute_top(rows, k, step):
     return out
 
 
-@pytest.mark.parametrize("shape", ["clustered", "copies", "few", "large"])
-def test_top_k(spark, shape):
+@pytest.mark.parametrize("shape", ["clustered", "copies", "few", "large", "grown"])
+def test_top_k(spark, shape, monkeypatch):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(5, 8)) * 4
-    n = {"clustered": 700, "copies": 400, "few": 12, "large": 60}[shape]
+    n = {"clustered": 700, "copies": 400, "few": 12, "large": 60, "grown": 700}[shape]
+    pivots = 4
+    if shape == "grown":  # as many pivots as the table asks for
+        monkeypatch.setattr(topk, "BLOCK", 2)
+        pivots = None
     vectors = [(centres[i % 5] + rng.normal(size=8) * 0.3).tolist() for i in range(n)]
     if shape == "copies":
         vectors = [vectors[0] if i % 3 else v for i, v in enumerate(vectors)]
@@ -205,7 +209,7 @@ def test_top_k(spark, shape):
         vectors = [[x * 2.0**17 for x in v] for v in vectors]
     rows = list(enumerate(vectors)) + [(5000, None), (None, vectors[0]), (5001, [float("nan")] * 8), (5020, [1.0, None] + [0.0] * 6), (5040, [float("inf")] * 8), (0, vectors[0]), (5060, [0.0] * 8)]
     df = spark.createDataFrame([(i, v, 1, "q") for i, v in rows], "vec_id long, embedding array<double>, score int, query_id string")
-    out = topk.top_k(topk.integer_vectors(df), F.col("id") % 20 == 0, k=20, pivots=4, rings=3)
+    out = topk.top_k(topk.integer_vectors(df), F.col("id") % 20 == 0, k=20, pivots=pivots, rings=3)
     found = [(r.query_id, r.rank, r.id, r.score) for r in out.collect()]
     assert len(found) == len(set(found)) and set(found) == brute_top(rows, 20, 20)
 

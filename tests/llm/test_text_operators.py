@@ -233,7 +233,7 @@ def test_near_duplicates(spark, texts):
 def test_near_dedup_keeps_one_of_each_group(spark, texts):
     rows = texts
     docs = frame(spark, rows)
-    kept = simhash.deduplicated(docs)
+    kept = simhash.deduplicated(docs, radius=6)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     shingles = lambda t: {tuple((t or "").lower().split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))}
@@ -289,6 +289,29 @@ def test_near_dedup_finds_pairs_beyond_the_radius(spark, fruitful, monkeypatch):
     assert kept == by_jaccard(rows)
 
 
+def test_dealt_counts_add_up():
+    rng = np.random.default_rng(2)
+    for share in (0, 0.01, 0.15, 0.2, 1):
+        counts = (rng.random(simhash.COUNTS_AT_ONCE) < share) * rng.integers(1, 400, simhash.COUNTS_AT_ONCE).astype(np.uint32)
+        counts[:2] *= np.uint32(1 << 20)
+        low, at, more = simhash.dealt(counts.astype(np.uint32))
+        assert len(low) in (0, len(counts)) and len(low) + len(at) + len(more) <= 2 * len(counts) + 6 * (counts > 255).sum()
+        total = np.zeros(len(counts), np.int64)
+        total += np.frombuffer(low, np.uint8) if low else 0
+        total[np.frombuffer(at, np.uint16)] += np.frombuffer(more, np.uint32)
+        assert (total == counts).all()
+
+
+def test_shingle_counts(spark, texts, monkeypatch):
+    monkeypatch.setattr(simhash, "COUNTS_AT_ONCE", 64)
+    rows = frame(spark, texts * 3).select("text").repartition(5)
+    found = simhash.shingle_counts(rows, 5, 1 << 12)
+    wanted = Counter()
+    for _, h in simhash.shingle_hashes(pa.array([t for _, t, _ in texts] * 3, pa.string()), 5):
+        wanted.update((h % np.uint64(1 << 12)).tolist())
+    assert found.sum() > 0 and {i: int(n) for i, n in enumerate(found) if n} == dict(wanted)
+
+
 def test_near_dedup_looks_past_the_nearest_and_smallest_neighbour(spark, monkeypatch):
     rng = random.Random(3)
     words = prose(rng, 100, 5000).split()
@@ -303,7 +326,8 @@ def test_near_dedup_looks_past_the_nearest_and_smallest_neighbour(spark, monkeyp
 # -- substring -----------------------------------------------------------------
 
 
-def brute_substring(rows, k=13):
+def brute_kept(rows, k=13):
+    """(words, places removed) of each row."""
     first = {}
     big = 1 << 63
     own = [big if i is None else i for i, _, _ in rows]
@@ -312,9 +336,12 @@ def brute_substring(rows, k=13):
         for p in range(len(w) - k + 1):
             key = tuple(w[p : p + k])
             first[key] = min(first.get(key, i), i)
+    return [(w, {q for p in range(len(w) - k + 1) if first[tuple(w[p : p + k])] < i for q in range(p, p + k)}) for i, w in zip(own, words)]
+
+
+def brute_substring(rows, k=13):
     out = []
-    for (doc, _, _), i, w in zip(rows, own, words):
-        gone = {q for p in range(len(w) - k + 1) if first[tuple(w[p : p + k])] < i for q in range(p, p + k)}
+    for (doc, _, _), (w, gone) in zip(rows, brute_kept(rows, k)):
         kept = " ".join(x for q, x in enumerate(w) if q not in gone)
         out.append((doc, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return Counter(out)
@@ -528,6 +555,70 @@ def test_packing_nothing(spark):
     assert packing.packed_documents(frame(spark, []), vocabulary()).count() == 0
 
 
+# -- pipeline ------------------------------------------------------------------
+
+
+def brute_pipeline(rows):
+    """Pieces (doc_id, start, length, doc_tokens, ids_crc32) of the five stages, each by its definition."""
+    from tokenizers import Tokenizer
+
+    failed = [n < 10 or 100 * r > 20 * n for n, _, _, _, r in (brute_signals(t) for _, t, _ in rows)]
+    hosts = Counter(s for _, _, s in rows)
+    bad = Counter(s for (_, _, s), f in zip(rows, failed) if f)
+    mean = sum(failed) / len(rows)
+    between = sum(bad[s] ** 2 / n for s, n in hosts.items()) - len(rows) * mean**2 - (len(hosts) - 1) * mean * (1 - mean)
+    weight = max(1e-3, min(1000.0, mean * (1 - mean) * len(rows) / between - 1)) if between > 0 else 1000.0
+    rejected = {s for s, n in hosts.items() if (bad[s] + mean * weight) / (n + weight) > 0.5}
+    assert rejected
+    rows = [r for r, f in zip(rows, failed) if not f and r[2] not in rejected]
+
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t, _ in rows)]
+    comp = brute_components(list(range(len(rows))), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    best = {}
+    for k, c in comp.items():
+        best[c] = min(best.get(c, k), k, key=lambda j: (rows[j][0] is None, rows[j][0] or 0))
+    rows = [rows[k] for k in sorted(best.values())]
+
+    cut = [(i, " ".join(x for q, x in enumerate(w) if q not in gone) if gone else t, s) for (i, t, s), (w, gone) in zip(rows, brute_kept(rows))]
+    assert any(a[1] != b[1] for a, b in zip(rows, cut))
+
+    whole, out = Tokenizer.from_file(vocabulary()), Counter()
+    for (i, t), n in brute_counts(cut, mixing.WEIGHTS, 1.0).items():
+        ids = [*whole.encode(t, add_special_tokens=False).ids, 1]
+        for at in range(0, len(ids), 2048):
+            part = ids[at : at + 2048]
+            out[(i, at, len(part), len(ids), zlib.crc32(np.array(part, "<u4").tobytes()))] += n
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, texts, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = [(i, t, s and s.replace("s", "src")) for i, t, s in texts]
+    rows += [(900 + i, prose(rng, 5), "junk") for i in range(40)] + [(950, prose(rng, 60), "junk")]
+    frame(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.doc_tokens, r.ids_crc32) for r in out) == brute_pipeline(rows)
+    fill = defaultdict(list)
+    for r in out:
+        fill[r.sequence_id].append((r.offset, r.length))
+    assert sorted(fill) == list(range(len(fill)))
+    for places in fill.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = frame(spark, [])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
 # -- toxicity ------------------------------------------------------------------
 
 
