@@ -235,6 +235,12 @@ def integer(c) -> Column:
     return number(c).cast("long")
 
 
+def rounded(x, digits: int) -> Column:
+    """A double rounded as SQL engines in C do it: scaled, halves away from zero, scaled back, the sign of zero kept."""
+    x, scale = col(x).cast("double"), 10.0**digits
+    return F.when(F.abs(x * scale) == float("inf"), x).otherwise(F.signum(x) * F.round(F.abs(x * scale)) / scale)
+
+
 def fixed_decimals(c, digits: int) -> Column:
     """``%.Nf`` text, empty where the value is no number."""
     return F.when(number(c).isNotNull(), F.format_string(f"%.{digits}f", number(c))).otherwise("")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohort_spark.functions.text import image_reject_reason
+from cohort_spark.functions.text import image_reject_reason, rounded
 from cohort_spark.operators import aggregates as A
 from cohort_spark.operators import annotations as N
 from cohort_spark.operators import records as C
@@ -190,7 +190,7 @@ def a14_coordinate_step(t):
       SELECT label, bucket_x, bucket_y, list(round(m, 5) ORDER BY i) AS embedding FROM e GROUP BY label, bucket_x, bucket_y""")
 def a12_spatial_mean_pool(t):
     """Mean vector of each 3 x 3 cell of every slide's own grid."""
-    return A.spatial_mean_pool(grid(t), "label", 3).withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 5)))
+    return A.spatial_mean_pool(grid(t), "label", 3).withColumn("embedding", F.transform("embedding", lambda x: rounded(x, 5)))
 
 
 @Q("""WITH e AS (SELECT label, vec_id // 16 AS run, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL)
