@@ -196,7 +196,7 @@ def a12_spatial_mean_pool(t):
 @Q("""WITH e AS (SELECT label, vec_id // 16 AS run, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL)
       SELECT label, run, list(round(m, 5) ORDER BY i) AS embedding FROM e GROUP BY label, run""")
 def a13_contiguous_mean_pool(t):
-    return A.contiguous_mean_pool(t("embeddings"), "label", 16, position="vec_id").withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 5)))
+    return A.contiguous_mean_pool(t("embeddings"), "label", 16, position="vec_id").withColumn("embedding", F.transform("embedding", lambda x: rounded(x, 5)))
 
 
 @Q("""WITH c AS (SELECT vec_id % 10 AS slide, label, count(*) AS n FROM embeddings GROUP BY 1, 2)
