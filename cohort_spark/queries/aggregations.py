@@ -153,7 +153,7 @@ def a9_counters(t):
       FROM events WHERE isfinite(value) GROUP BY event_type""")
 def a10_distribution(t):
     d = A.distribution(t("events"), ["event_type"], "value", 20, 80).withColumnRenamed("between", "between_")
-    return d.withColumns({c: F.round(c, 6) for c in ("mean", "sd", "below", "between_", "above")})
+    return d.withColumns({c: rounded(c, 6) for c in ("mean", "sd", "below", "between_", "above")})
 
 
 @Q("""SELECT md5(text) AS hash, any_value(text) AS text, list_sort(list(DISTINCT source)) AS sources FROM documents GROUP BY 1""")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cohort_spark.functions.text import rounded
 from cohort_spark.operators import joins as J
 from cohort_spark.plans import artifacts, cohort
 from cohort_spark.queries.aggregations import _STEP, grid
@@ -161,7 +162,7 @@ def referring(t):
 
 def sequences(t, method: str, k: int):
     out = cohort.assembled(referring(t), grid(t), "c_custkey", "refs", "label", method, k, 5, position="vec_id")
-    return out.select("c_custkey", "ref_pos", "ref", "token", F.round(F.col("embedding")[0].cast("double"), 5).alias("lead"))
+    return out.select("c_custkey", "ref_pos", "ref", "token", rounded(F.col("embedding")[0], 5).alias("lead"))
 
 
 @Q(f"WITH s AS (SELECT CAST(label AS VARCHAR) AS ref, vec_id AS o, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings), {_REFS}")

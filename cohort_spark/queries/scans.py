@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohort_spark.functions.text import rounded
 from cohort_spark.plans.artifacts import first_matching_column
 from cohort_spark.queries.base import Registry
 from cohort_spark.sources import files as S
@@ -57,7 +58,7 @@ def io6_read_documents(t):
 def io7_read_values(t):
     e = t("events").select(F.col("event_id").cast("string").alias("name"), "value")
     e.write.option("sep", "\t").option("nullValue", "NA").csv(path := scratch(e, "values"))
-    return S.read_values(e.sparkSession, path).agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("present"), F.round(F.sum("value"), 4).alias("total"))
+    return S.read_values(e.sparkSession, path).agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("present"), rounded(F.sum("value"), 4).alias("total"))
 
 
 @Q("""WITH g AS (SELECT page_id % 25 AS k, sum(strlen(html) + 1) AS size FROM pages GROUP BY 1), d AS (SELECT k, unnest(['file', 'folder', 'hidden', 'none', 'empty', 'hole', 'blank']) AS what, size FROM g)

@@ -230,7 +230,7 @@ def s29_window_channels(t):
 
 @Q("SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))), 6)) AS unit FROM embeddings")
 def s31_normalised(t):
-    return t("embeddings").select("vec_id", F.transform(T.normalised("embedding"), lambda x: F.round(x, 6)).alias("unit"))
+    return t("embeddings").select("vec_id", F.transform(T.normalised("embedding"), lambda x: T.rounded(x, 6)).alias("unit"))
 
 
 @Q("SELECT n_nationkey, 'gdc://nation/' || n_name || '/' || n_regionkey AS uri FROM nation")
