@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -235,6 +235,39 @@ def integer(c) -> Column:
     return number(c).cast("long")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def decimals_text(x: Column, digits: int) -> Column:
+    """``%.Nf`` text of a double as C and Python write it: the binary value itself is rounded, exact halves to even.
+
+    The fraction times 10^N is its rounded product and that product's exact error
+    (Dekker), so the comparison with one half is exact. Java's formatter rounds the
+    shortest decimal text up instead; it serves from 2^63 on only.
+    """
+    scale = 10**digits
+
+    def exact(v: Column) -> Column:
+        whole = F.floor(F.abs(v))
+        fraction = F.abs(v) - whole.cast("double")
+        high = fraction * 134217729.0 - (fraction * 134217729.0 - fraction)
+        product = fraction * float(scale)
+        error = (high * float(scale) - product) + (fraction - high) * float(scale)
+        parts = F.struct(whole.alias("whole"), F.floor(product).alias("last"), (product - F.floor(product).cast("double") - 0.5 + error).alias("over"))
+
+        def units(p: Column) -> Column:
+            odd = (p["last"] if digits else p["whole"]) % 2 == 1
+            return F.struct(p["whole"], (p["last"] + ((p["over"] > 0) | (p["over"] == 0) & odd).cast("long")).alias("last"))
+
+        written = lambda p: F.concat((p["whole"] + F.floor(p["last"] / scale)).cast("string"), *([F.lit("."), F.lpad((p["last"] % scale).cast("string"), digits, "0")] if digits else []))
+        sign = F.when(v.cast("string").startswith("-"), "-").otherwise("")
+        return F.when(F.abs(v) < 2.0**63, F.concat(sign, let(let(parts, units), written))).otherwise(F.format_string(f"%.{digits}f", v))
+
+    return let(x.cast("double"), lambda v: F.when(v.isNotNull(), exact(v)))
+
+
 def rounded(x, digits: int) -> Column:
     """A double rounded as SQL engines in C do it: scaled, halves away from zero, scaled back, the sign of zero kept."""
     x, scale = col(x).cast("double"), 10.0**digits
