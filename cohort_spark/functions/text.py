@@ -276,7 +276,7 @@ def rounded(x, digits: int) -> Column:
 
 def fixed_decimals(c, digits: int) -> Column:
     """``%.Nf`` text, empty where the value is no number."""
-    return F.when(number(c).isNotNull(), F.format_string(f"%.{digits}f", number(c))).otherwise("")
+    return F.coalesce(decimals_text(number(c), digits), F.lit(""))
 
 
 def integer_text(c) -> Column:

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cohort_spark.functions.text import decimals_text, rounded
+from cohort_spark.functions.text import decimals_text, fixed_decimals, rounded
 from cohort_spark.operators.aggregates import series_verdict
 
 PICK = random.Random(5)
@@ -20,6 +20,8 @@ def test_decimals_are_those_of_python(spark, digits):
     df = spark.createDataFrame([(x,) for x in VALUES] + [(None,)], "x double").repartition(3)
     for r in df.select("x", decimals_text(F.col("x"), digits).alias("found")).collect():
         assert r.found == (None if r.x is None else f"{r.x:.{digits}f}")
+    text = spark.createDataFrame([("0.0625",), ("no",), (None,), ("NaN",)], "c string").select(fixed_decimals("c", 3).alias("t"))
+    assert [r.t for r in text.collect()] == ["0.062", "", "", ""]
 
 
 def test_rounded_is_that_of_sql_with_the_sign_of_zero(spark):
