@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cohort_spark.functions.text import clean, col
+from cohort_spark.functions.text import clean, col, let
 
 
 def document(json) -> Column:
@@ -69,4 +69,34 @@ def values_of(nodes, names: Sequence[str]) -> Column:
 def texts_in(values: Column) -> Column:
     """Sorted distinct texts of variants that are texts, comma-separated texts or lists of texts."""
     each = lambda v: F.coalesce(F.transform(elements(v), lambda x: x.try_cast("string")), F.when(fields(v).isNull(), F.split(v.try_cast("string"), ",")), F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.flatten(F.transform(values, each)), clean), lambda x: x != "")))
+    return F.sort_array(F.array_distinct(F.filter(F.transform(F.flatten(F.transform(values, each)), clean), lambda x: x != "")))
+
+
+def objects(root: Column, json) -> Column:
+    """All objects of a parsed document as maps, level by level; ``json`` is its text.
+
+    Each container is opened once: its map is kept and its values are the next
+    level. A text has no more levels than opening brackets; without a next level
+    nothing more is done.
+    """
+    none = F.array().cast("array<map<string,variant>>")
+    start = F.struct(none.alias("all"), F.filter(F.array(root), lambda n: n.isNotNull()).alias("last"))
+    brackets = F.length(col(json)) - F.length(F.translate(col(json), "[{", ""))
+
+    def deeper(seen: Column, _) -> Column:
+        opened = F.transform(seen["last"], lambda n: F.struct(fields(n).alias("map"), elements(n).alias("list")))
+        found = lambda o: F.struct(F.concat(seen["all"], F.filter(F.transform(o, lambda x: x["map"]), lambda m: m.isNotNull())).alias("all"), F.flatten(F.transform(o, lambda x: F.coalesce(F.map_values(x["map"]), x["list"], no_nodes()))).alias("last"))
+        return F.when(F.size(seen["last"]) == 0, seen).otherwise(let(opened, found))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), brackets)), start, deeper)["all"]
+
+
+def held(objects: Column, names: Sequence[str]) -> Column:
+    """The variants that objects, as maps, hold under any of the names."""
+    return F.flatten(F.transform(objects, lambda m: F.filter(F.array(*[m[n] for n in names]), lambda v: v.isNotNull())))
+
+
+def text_of(node: Column, *names: str) -> Column:
+    """``field`` of an object as a map."""
+    alone = lambda v: clean(F.when(fields(v).isNull() & elements(v).isNull(), v.try_cast("string")))
+    return F.coalesce(F.try_element_at(F.filter(F.transform(F.array(*[node[n] for n in names]), alone), lambda x: x != ""), F.lit(1)), F.lit(""))

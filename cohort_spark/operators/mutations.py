@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohort_spark.functions.nested import document, elements, field, fields, no_nodes, texts_in, values_of, walked
+from cohort_spark.functions.nested import document, elements, fields, held, no_nodes, objects, text_of, texts_in
+from cohort_spark.functions.text import let
+from cohort_spark.sources.scratch import written
 
 #: Names under which sources give the same field, the first that is there counting.
 ID_NAMES = ("ssm_id", "id")
@@ -19,19 +21,19 @@ PATIENT_NAMES = ("submitter_id", "submitterId", "patient_id", "patientId")
 PROJECT_NAMES = ("project_id", "projectId")
 
 
-def case_links(root: Column, nodes: Column) -> Column:
-    """Distinct (case_id, patient_id, project_id) of a document, in order of appearance.
+def case_links(root: Column, objects: Column) -> Column:
+    """Distinct (case_id, patient_id, project_id) of a document, in order of appearance; its objects are maps.
 
     Cases stand in ``occurrence`` (each entry or its ``case``), in ``case`` or in
     ``cases``, one or a list; a document with none of these is searched whole. A
     place without case and patient is no link.
     """
-    at = lambda node, name: F.try_variant_get(node, f"$.{name}", "variant")
-    occurring = F.transform(F.filter(F.coalesce(elements(at(root, "occurrence")), no_nodes()), lambda x: fields(x).isNotNull()), lambda x: F.coalesce(at(x, "case"), x))
-    direct = [F.coalesce(elements(at(root, n)), F.filter(F.array(at(root, n)), lambda x: x.isNotNull())) for n in ("case", "cases")]
-    named = F.filter(F.concat(occurring, *direct), lambda x: fields(x).isNotNull())
-    places = F.when(F.size(named) > 0, named).otherwise(F.filter(nodes, lambda x: fields(x).isNotNull()))
-    link = lambda c: F.struct(field(c, *CASE_NAMES).alias("case_id"), field(c, *PATIENT_NAMES).alias("patient_id"), field(at(c, "project"), *PROJECT_NAMES).alias("project_id"))
+    maps = lambda nodes: F.filter(F.transform(nodes, fields), lambda m: m.isNotNull())
+    occurring = F.transform(maps(F.coalesce(elements(root["occurrence"]), no_nodes())), lambda m: F.when(m["case"].isNull(), m).otherwise(fields(m["case"])))
+    direct = [maps(F.coalesce(elements(root[n]), F.filter(F.array(root[n]), lambda x: x.isNotNull()))) for n in ("case", "cases")]
+    named = F.filter(F.concat(occurring, *direct), lambda m: m.isNotNull())
+    link = lambda m: F.struct(text_of(m, *CASE_NAMES).alias("case_id"), text_of(m, *PATIENT_NAMES).alias("patient_id"), text_of(fields(m["project"]), *PROJECT_NAMES).alias("project_id"))
+    places = let(named, lambda n: F.when(F.size(n) > 0, n).otherwise(objects))
     return F.array_distinct(F.filter(F.transform(places, link), lambda x: (x["case_id"] != "") | (x["patient_id"] != "")))
 
 
@@ -42,17 +44,19 @@ def mutation_records(docs: DataFrame, json: str, keep: Sequence[str] = ()) -> Da
     and distinct. Documents that cannot be read, and those with neither gene nor
     id, go. JSON nulls are missing values.
     """
-    # exploded, so that Spark computes the walk and the record once a document
-    walk = docs.select(*keep, F.explode(F.array(F.struct(document(json).alias("root"), walked(json).alias("nodes")))).alias("_w"))
-    root, nodes = F.col("_w.root"), F.col("_w.nodes")
-    record = F.struct(
-        field(root, *ID_NAMES).alias("ssm_id"),
-        field(root, *TYPE_NAMES).alias("mutation_type"),
-        F.array_sort(F.array_distinct(F.transform(texts_in(values_of(nodes, GENE_NAMES)), F.upper))).alias("gene_symbols"),
-        texts_in(values_of(nodes, CONSEQUENCE_NAMES)).alias("consequence_terms"),
-        case_links(root, nodes).alias("links"),
-    )
-    read = walk.select(*keep, F.explode(F.array(record)).alias("_r")).select(*keep, "_r.*")
+
+    def record(root: Column, found: Column) -> Column:
+        return F.struct(
+            text_of(root, *ID_NAMES).alias("ssm_id"),
+            text_of(root, *TYPE_NAMES).alias("mutation_type"),
+            F.sort_array(F.array_distinct(F.transform(texts_in(held(found, GENE_NAMES)), F.upper))).alias("gene_symbols"),
+            texts_in(held(found, CONSEQUENCE_NAMES)).alias("consequence_terms"),
+            case_links(root, found).alias("links"),
+        )
+
+    walk = let(document(json), lambda root: F.struct(fields(root).alias("root"), objects(root, json).alias("objects")))
+    # exploded, so that Spark parses, walks and reads a document once
+    read = docs.select(*keep, F.explode(F.array(let(walk, lambda w: record(w["root"], w["objects"])))).alias("_r")).select(*keep, "_r.*")
     return read.where((F.size("gene_symbols") > 0) | (F.col("ssm_id") != ""))
 
 
@@ -88,6 +92,7 @@ def mutation_summary(entries: DataFrame) -> DataFrame:
 def with_mutations(cases: DataFrame, summary: DataFrame, case: str, patient: str) -> DataFrame:
     """``cases`` with the summary of its case, or of its patient where the case has no entry; missing counts are 0, lists empty."""
     lists = ["gene_symbols", "ssm_ids", "mutation_types", "consequence_terms"]
+    summary = written(summary, "mutations")  # read twice, computed once
     of = lambda kind, key: summary.where(F.col("kind") == kind).select(F.col("key").alias(f"_{key}"), F.struct("events", "genes", *lists).alias(f"_of_{kind}"))
     both = cases.join(of("case", "c"), F.col(case) == F.col("_c"), "left").join(of("patient", "p"), F.col(patient) == F.col("_p"), "left")
     own = F.coalesce("_of_case", "_of_patient")

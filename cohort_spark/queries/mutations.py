@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohort_spark.operators import mutations as M
-from cohort_spark.queries.base import Registry
+from cohort_spark.queries.base import Registry, spread
 
 Q = Registry()
 
 
 def documents(events: DataFrame) -> DataFrame:
     """Each event as a mutation document in one of five shapes: cases below occurrences, one case, several, none named, null levels."""
-    n, k, user = F.col("event_id"), F.get_json_object("props", "$.k").cast("int"), F.col("user_id")
+    events = spread(events.select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k")))
+    n, k, user = F.col("event_id"), F.col("k"), F.col("user_id")
     case = F.struct(F.concat(F.lit("c"), user % 40).alias("case_id"), F.concat(F.lit("P"), user % 15).alias("submitter_id"), F.struct(F.concat(F.lit("J"), user % 3).alias("project_id")).alias("project"))
     gene = F.struct(F.concat(F.lit("gene"), k % 7).alias("symbol"))
     deep = F.struct(F.struct(F.struct(gene.alias("gene"), F.col("event_type").alias("consequence_type")).alias("transcript")).alias("effect"))
@@ -28,7 +29,7 @@ def documents(events: DataFrame) -> DataFrame:
         F.to_json(F.struct(named, F.struct(F.struct(flat.alias("found"), gene.alias("gene")).alias("where")).alias("body"), F.lit("a, b").alias("consequence_type"))),
         F.concat(F.lit('{"ssm_id": null, "occurrence": null, "case": [], "consequence": [null, {"transcript": null}], "symbol": null, "note": "{[", "k": '), k, F.lit("}")),
     ]
-    body = F.element_at(F.array(*shapes), (n % 5 + 1).cast("int"))
+    body = F.coalesce(*[F.when(n % 5 == i, shape) for i, shape in enumerate(shapes)])  # of the five only one is written
     return events.select("event_id", body.alias("body"))
 
 
