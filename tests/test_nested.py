@@ -71,3 +71,12 @@ def test_index_counts_events_and_genes_under_both_keys(spark):
     cases = spark.createDataFrame([("c1", "P1"), ("c9", "P2"), ("c9", None)], "case string, patient string")
     joined = {(r.case, r.patient): (r.mutation_events, r.mutation_genes) for r in M.with_mutations(cases, summary, "case", "patient").collect()}
     assert joined == {("c1", "P1"): (2, 1), ("c9", "P2"): (1, 0), ("c9", None): (0, 0)}
+
+
+def test_objects_come_level_by_level_as_maps(spark):
+    from cohort_spark.functions.nested import document, objects
+
+    texts = ['{"a": [{"b": 1}, [{"c": "[{"}]], "d": {"e": null}}', "[1, {}]", "7", '"{"', "{", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, j string")
+    found = {r.i: r.keys for r in df.select("i", F.transform(objects(document("j"), "j"), lambda m: F.array_join(F.map_keys(m), "")).alias("keys")).collect()}
+    assert found == {0: ["ad", "e", "b", "c"], 1: [""], 2: [], 3: [], 4: [], 5: []}
