@@ -29,7 +29,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Seq
     sees how many ranks are pending, nothing else. Null keys are a group.
     """
     names = [f"k{i}" for i in range(len(keys))]
-    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).cast("double").alias("v")).where("v is not null")
+    rows = written(df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).cast("double").alias("v")).where("v is not null"), "values")  # each round reads them, what led to them runs once
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
     sizes = written(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "sizes")
     small = rows.join(matched(sizes.where(F.col("n") <= most), names), on_keys(names), "left_semi") if sizes.where(F.col("n") > most).limit(1).count() else rows
