@@ -13,7 +13,7 @@ from cohort_spark.sources.scratch import written
 MOST_VALUES = 100_000
 #: Parts into which a range of values is cut in each round, and the sketch's accuracy.
 CUTS, ACCURACY = 64, 2_000
-#: Pending ranks up to which they are broadcast to the rows.
+#: Pending ranges up to which they are broadcast to the rows.
 BROADCAST_RANKS = 50_000
 
 
@@ -22,11 +22,12 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Seq
 
     Groups of at most ``most`` values are sorted in one buffer. For the others
     the values at the needed ranks are selected: a sketch cuts the range that
-    holds a rank into ``CUTS`` parts, the rows of each part and of each cut value
-    are counted exactly, and only the part that holds the rank is cut again,
-    until it fits. A rank that falls on a cut value, as it does where many rows
-    share it, is found at once. Rows are counted where they are read; the driver
-    sees how many ranks are pending, nothing else. Null keys are a group.
+    holds ranks into ``CUTS`` parts, the rows of each part and of each cut value
+    are counted exactly, and only the parts that hold ranks are cut again,
+    until they fit. A rank that falls on a cut value, as it does where many rows
+    share it, is found at once. A row is in one range at most, however many ranks
+    that holds, and is counted where it is read; the driver sees how many ranges
+    are pending, nothing else. Null keys are a group.
     """
     names = [f"k{i}" for i in range(len(keys))]
     rows = written(df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).cast("double").alias("v")).where("v is not null"), "values")  # each round reads them, what led to them runs once
@@ -53,33 +54,40 @@ def selected(rows: DataFrame, sizes: DataFrame, names: list[str], probabilities:
     spots = F.array(*[F.lit(float(p)) * (F.col("n") - 1) for p in probabilities])
     ranks = F.array_distinct(F.flatten(F.transform(spots, lambda s: F.array(F.floor(s).cast("long"), F.ceil(s).cast("long")))))
     none = F.lit(None).cast("double")
-    pending = written(sizes.select(*names, F.explode(ranks).alias("rank"), none.alias("lower"), none.alias("upper"), F.lit(0).cast("long").alias("before")), "ranks")
+    pending = written(sizes.select(*names, none.alias("lower"), none.alias("upper"), F.lit(0).cast("long").alias("before"), "n", ranks.alias("ranks")), "ranges")
     left, found = pending.count(), []
+    own = [*names, "before"]
     while left:
         few = left <= BROADCAST_RANKS
-        own = [*names, "rank"]
 
-        def inside(state: DataFrame, few: bool = few) -> DataFrame:
-            """Rows of the ranges of the pending ranks, with their columns."""
+        def inside(ranges: DataFrame, *columns: str, few: bool = few) -> DataFrame:
+            """(own, v, columns): rows of the ranges, with the named columns of theirs."""
             there = (F.col("lower").isNull() | (F.col("v") > F.col("lower"))) & (F.col("upper").isNull() | (F.col("v") < F.col("upper")))
-            side = matched(state, names)
-            return rows.join(F.broadcast(side) if few else side, on_keys(names) & there)
-
+            side = matched(ranges.select(*own, "lower", "upper", *columns), names)
+            return rows.join(F.broadcast(side) if few else side, on_keys(names) & there).select(*own, "v", *columns)
+
+        def again(counted: DataFrame, ranges: DataFrame, few: bool = few) -> DataFrame:
+            """What was counted of ranges, with the ranges' columns."""
+            side = matched(ranges, own)
+            return counted.join(F.broadcast(side) if few else side, on_keys(own)).drop(*[f"_{c}" for c in own])
+
+        fitting, wide = pending.where(F.col("n") <= most), pending.where(F.col("n") > most)
+        held = inside(fitting).groupBy(*own).agg(F.array_sort(F.collect_list("v")).alias("vs"))
+        at_rank = lambda r: F.struct(r.alias("rank"), F.element_at("vs", (r - F.col("before") + 1).cast("int")).alias("v"))
+        found.append(again(held, fitting).select(*names, F.inline(F.transform("ranks", at_rank))))
         cuts = F.array_distinct(F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], ACCURACY))
-        cut = inside(pending).groupBy(*own).agg(F.count(F.lit(1)).alias("n"), cuts.alias("cuts"), F.first("lower").alias("lower"), F.first("upper").alias("upper"), F.first("before").alias("before"))
-        state = written(cut, "cuts")
-        fitting = inside(state.where(F.col("n") <= most)).groupBy(*own).agg(F.element_at(F.array_sort(F.collect_list("v")), (F.first("rank") - F.first("before") + 1).cast("int")).alias("v"))
+        cut = written(again(inside(wide).groupBy(*own).agg(cuts.alias("cuts")), wide), "cuts")
         below = F.size(F.filter("cuts", lambda c: c < F.col("v")))
         part = 2 * below + F.array_contains("cuts", F.col("v")).cast("int")
-        counts = inside(state.where(F.col("n") > most)).withColumn("part", part).groupBy(*own, "part").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("cuts", "lower", "upper", "before")])
-        until = F.col("before") + F.sum("n").over(Window.partitionBy(*own).orderBy("part"))
-        holding = counts.withColumn("until", until).where((F.col("rank") < F.col("until")) & (F.col("rank") >= F.col("until") - F.col("n")))
-        at = F.floor(F.col("part") / 2).cast("int")
-        holding = written(holding.withColumn("at", at), "holding")
-        found += [fitting, holding.where("part % 2 = 1").select(*own, F.element_at("cuts", F.col("at") + 1).alias("v"))]
+        counts = inside(cut, "cuts").select(*own, part.alias("part")).groupBy(*own, "part").agg(F.count(F.lit(1)).alias("rows"))  # only numbers are kept of a row: cuts in the aggregate's buffer would make it sort the rows
+        until = F.col("before") + F.sum("rows").over(Window.partitionBy(*own).orderBy("part"))
+        parts = again(counts.withColumn("until", until), cut).withColumn("first", F.col("until") - F.col("rows")).withColumn("at", F.floor(F.col("part") / 2).cast("int"))
+        ranks_in = F.filter("ranks", lambda r: (r >= F.col("first")) & (r < F.col("until")))
+        holding = written(parts.withColumn("ranks", ranks_in).where(F.size("ranks") > 0), "holding")
+        found.append(holding.where("part % 2 = 1").select(*names, F.explode("ranks").alias("rank"), F.element_at("cuts", F.col("at") + 1).alias("v")))
         lower = F.when(F.col("at") > 0, F.get("cuts", F.col("at") - 1)).otherwise(F.col("lower"))
         upper = F.coalesce(F.get("cuts", F.col("at")), "upper")
-        pending = written(holding.where("part % 2 = 0").select(*own, lower.alias("lower"), upper.alias("upper"), (F.col("until") - F.col("n")).alias("before")), "ranks")
+        pending = written(holding.where("part % 2 = 0").select(*names, lower.alias("lower"), upper.alias("upper"), F.col("first").alias("before"), F.col("rows").alias("n"), "ranks"), "ranges")
         left = pending.count()
     values = found[0]
     for more in found[1:]:

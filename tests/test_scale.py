@@ -40,6 +40,22 @@ def test_quantiles_without_groups(spark):
     assert quantiles.quantiles(df.limit(0), [], "x", SHARES).count() == 0
 
 
+def test_quantile_rounds_neither_sort_rows_nor_repeat_them_by_rank(spark, monkeypatch):
+    plans, tables, keep = {}, {}, quantiles.written
+
+    def watched(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().toString())
+        tables.setdefault(name, []).append(keep(df, name))
+        return tables[name][-1]
+
+    monkeypatch.setattr(quantiles, "written", watched)
+    df = spark.createDataFrame([(i % 2, float(i)) for i in range(4000)], "g int, x double").repartition(4)
+    found = {r.g: r.quantiles for r in quantiles.quantiles(df, ["g"], "x", SHARES, most=60).collect()}
+    assert all(np.allclose(found[g], np.quantile(np.arange(g, 4000, 2), SHARES)) for g in (0, 1))
+    assert plans["holding"] and "SortAggregate" not in "".join(plans["holding"])
+    assert tables["ranges"][0].count() == 2
+
+
 def test_band_and_distribution_beyond_one_buffer(spark, monkeypatch):
     monkeypatch.setattr(quantiles.quantiles, "__defaults__", (40,))
     xs = PICK.integers(0, 300, 2000)
