@@ -55,9 +55,10 @@ def walked(json) -> Column:
 
 
 def field(node: Column, *names: str) -> Column:
-    """The first of the named fields of an object that is a text, number or flag and not blank, cleaned; else an empty text."""
-    alone = lambda n: F.when(fields(F.try_variant_get(node, f"$.{n}", "variant")).isNull() & elements(F.try_variant_get(node, f"$.{n}", "variant")).isNull(), F.try_variant_get(node, f"$.{n}", "string"))
-    return F.coalesce(*[F.nullif(clean(alone(n)), F.lit("")) for n in names], F.lit(""))
+    """The first of the named fields of an object that is a text, number or flag and not blank, cleaned; else an empty text. Each is looked up once."""
+    found = F.array(*[F.try_variant_get(node, f"$.{n}", "variant") for n in names])
+    text = lambda v: F.when(v.isNotNull(), F.when(fields(v).isNull() & elements(v).isNull(), clean(v.try_cast("string"))))
+    return F.coalesce(F.try_element_at(F.filter(F.transform(found, text), lambda x: x != ""), F.lit(1)), F.lit(""))
 
 
 def values_of(nodes, names: Sequence[str]) -> Column:

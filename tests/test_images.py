@@ -89,3 +89,15 @@ def test_study_records_take_any_field_name(spark):
     rows = ['{"PatientId": 7, "StudyInstanceUid": "u", "Modalities": "MR,CT"}', '{"PatientID": null, "subject_id": " s ", "ModalitiesInStudy": ["b", "a", null]}', '{"PatientID": " "}', "broken", None, "[]"]
     found = [(r.patient_id, r.study_instance_uid, r.modalities_in_study) for r in records.study_records(spark.createDataFrame([(x,) for x in rows], "j string"), "j").collect()]
     assert sorted(found) == [("7", "u", ["CT", "MR"]), ("s", "", ["a", "b"])]
+
+
+def test_series_records_are_parsed_once(spark):
+    bodies = ['{"SeriesInstanceUid": " s1 ", "Modality": {"x": 1}, "modality": "CT", "BodyPart": 7}', '{"SeriesInstanceUID": " ", "seriesInstanceUid": 2.50, "Modality": ["a"]}', '{"SeriesInstanceUID": ["a"], "SeriesInstanceUid": {}}', '{"Modality": "MR"}', "broken", None, "[]"]
+    docs = spark.createDataFrame([(i, "u", "own", b) for i, b in enumerate(bodies)] + [(9, "v", "own", bodies[0]), (10, "", "own", bodies[0])], "i int, study string, patient_id string, j string")
+    studies = spark.createDataFrame([("u", "p2"), ("u", "p1"), ("w", "p3"), ("", "p4"), (None, "p5")], "study_instance_uid string, patient_id string")
+    out = records.series_records(docs, "j", studies, "study", ["i"])
+    assert out.columns == ["i", "study", "series_instance_uid", "modality", "body_part_examined", "series_description", "patient_id"]
+    assert sorted(map(tuple, out.collect())) == [(0, "u", "s1", "CT", "7", "", "p1"), (1, "u", "2.5", "", "", "", "p1")]
+    studies_out = records.study_records(docs, "j", ["i"])
+    for df in (out, studies_out):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
