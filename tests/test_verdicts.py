@@ -2,6 +2,8 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from cohort_spark.operators import aggregates as A
 from cohort_spark.sources import files as S
 
@@ -51,6 +53,15 @@ def test_every_reason_with_its_details(spark):
     assert [i.file for i in details["all"].images] == [1, 2, 3] and details["empty"].images == []
 
 
+def test_details_read_back_hold_the_share_as_sql_writes_it(spark, tmp_path):
+    images = spark.createDataFrame([header("half", i, rows=8 if i < 9 else 512) for i in range(16)], HEADER)
+    verdicts = A.series_verdict(images, most_rejected=0.3, file="file").withColumn("verdict", F.coalesce("reject_reason", F.lit("accepted")))
+    details = A.series_details(images, verdicts, "series_dir", "file", ["modality"])
+    S.write_details(details, str(tmp_path / "details"), ["verdict"])
+    back = S.read_details(spark, str(tmp_path / "details"), details.schema).collect()
+    assert [(r.series_dir, r.verdict, r.reject_details, [i.file for i in r.images]) for r in back] == [("half", "rejected_fraction_too_high", "9 of 16 rejected (0.562), at most 0.300; reasons: tiny_matrix:9", list(range(16)))]
+
+
 def test_verdicts_on_listed_files(spark, tmp_path):
     for name, text in (("a/one.txt", "12345"), ("a/b/two.txt", "1"), ("a/empty.txt", ""), (".hidden", "x"), ("_made", "x"), ("a b/ü %20.txt", "123")):
         os.makedirs(os.path.dirname(tmp_path / name), exist_ok=True)
