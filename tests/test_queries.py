@@ -47,3 +47,14 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(SQL) == set(QUERIES)
+
+
+@pytest.mark.parametrize("name", ["a4_series_verdict", "io10_series_details"])
+def test_share_of_an_exact_half_equals_sql(spark, tmp_path, name):
+    con = duckdb.connect()  # series 10: 9 of 16 images are tiny, 0.5625
+    con.execute("CREATE TABLE events AS SELECT IF(i = 14, 16, i) AS event_id, 10::BIGINT AS user_id FROM range(16) r(i)")
+    con.execute("CREATE TABLE customer AS SELECT 11::BIGINT AS c_custkey")
+    for table in ("events", "customer"):
+        con.execute(f"COPY {table} TO '{tmp_path}/{table}.parquet'")
+    found, wanted = rows(QUERIES[name](spark, str(tmp_path)).toPandas()), rows(con.execute(SQL[name]).df())
+    assert found == wanted and any("9 of 16 rejected (0.562)" in str(r) for r in found)
